@@ -46,19 +46,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _hash_piece(buf: np.ndarray) -> np.ndarray:
+def _hash_piece(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     separator = _IS_SEPARATOR[buf]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], separator, [True])).astype(np.int8)))
     start, end = edge[0::2], edge[1::2]
     if not len(start):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * _powers(_BASE, len(buf))[: len(buf)], out=total[1:])
-    return mix((total[end] - total[start]) * _powers(_INVERSE, len(buf))[start] + (end - start).astype(np.uint64))
+    return mix((total[end] - total[start]) * _powers(_INVERSE, len(buf))[start] + (end - start).astype(np.uint64)), start
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """Hash of each word of UTF-8 bytes, in order."""
+def hashes_and_starts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word of UTF-8 bytes, in order."""
     if len(data) <= PIECE:
         return _hash_piece(np.frombuffer(data, np.uint8))
     buf, parts, at = np.frombuffer(data, np.uint8), [], 0
@@ -71,9 +71,15 @@ def word_hashes(data: bytes) -> np.ndarray:
             else:
                 ahead = np.flatnonzero(_IS_SEPARATOR[buf[end:]])
                 end = end + int(ahead[0]) + 1 if len(ahead) else len(buf)
-        parts.append(_hash_piece(buf[at:end]))
+        hashes, start = _hash_piece(buf[at:end])
+        parts.append((hashes, start + at))
         at = end
-    return np.concatenate(parts)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """Hash of each word of UTF-8 bytes, in order."""
+    return hashes_and_starts(data)[0]
 
 
 def chunks(texts: Iterable[str | None], lower: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -81,32 +87,27 @@ def chunks(texts: Iterable[str | None], lower: bool = False) -> Iterator[tuple[n
 
     Texts are gathered up to PIECE bytes, so memory is bounded by that and the longest text.
     """
-    held: list[bytes] = []
-    size, first, n = 0, 0, 0
+    for first, held in gathered(texts):
+        data = b"\n".join(held)
+        hashes, start = hashes_and_starts(data.lower() if lower else data)  # bytes.lower: A-Z alone
+        ends = np.cumsum([len(x) + 1 for x in held])
+        yield hashes, np.concatenate(([0], np.searchsorted(start, ends))), first
 
-    def flush():
-        counts = np.array([_count(x) for x in held], np.int64)
-        return word_hashes(b"\n".join(held)), np.concatenate(([0], np.cumsum(counts))), first
 
+def gathered(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first text, UTF-8 bytes of texts) in runs of about PIECE bytes. Null is empty."""
+    held: list[bytes] = []
+    size, first, n = 0, 0, 0
     for text in texts:
         data = b"" if text is None else text.encode("utf-8", "surrogatepass")
-        if lower:
-            data = data.lower()  # bytes: A-Z alone
         if held and size + len(data) > PIECE:
-            yield flush()
+            yield first, held
             held, size, first = [], 0, n
         held.append(data)
         size += len(data) + 1
         n += 1
     if held:
-        yield flush()
-
-
-def _count(data: bytes) -> int:
-    if len(data) < 1024:
-        return len(data.split())
-    separator = _IS_SEPARATOR[np.frombuffer(data, np.uint8)]
-    return int(np.count_nonzero(separator[:-1] & ~separator[1:])) + int(not separator[0])
+        yield first, held
 
 
 def run_hashes(hashes: np.ndarray, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
@@ -116,19 +117,6 @@ def run_hashes(hashes: np.ndarray, start: np.ndarray, length: np.ndarray | int)
     return mix((total[start + length] - total[start]) * _powers(_INVERSE2, len(hashes))[start])
 
 
-def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
-    """For each text its distinct k-word shingles as sorted hashes; fewer words: the whole sequence as one; no words: none."""
-    n = len(hashes)
-    full = run_hashes(hashes, np.arange(n - k + 1), k) if n >= k else np.zeros(0, np.uint64)
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        if b - a >= k:
-            yield np.unique(full[a : b - k + 1])
-        elif b > a:
-            yield run_hashes(hashes[a:b], np.zeros(1, np.int64), np.array([b - a]))
-        else:
-            yield np.zeros(0, np.uint64)
-
-
 def signed(x: np.ndarray) -> np.ndarray:
     """The same bits as int64, the type that Spark has."""
     return np.ascontiguousarray(x).view(np.int64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing, quality_rules, sharding, url_filter
+from tessera.llm import classifier, decontaminate, line_dedup, mixing, ngram_join, packing, quality_rules, sharding, url_filter
 from tessera.llm._common import table
 
 _W = "[^\\x20\\x09-\\x0D]+"
@@ -15,6 +15,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -26,6 +30,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    solid = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0)
+    rows = docs.select("doc_id", F.size(solid).cast("long").alias("n_lines"))
+    out = rows.join(line_dedup.removed_lines(docs), "doc_id", "left")
+    lines = F.coalesce("removed_lines", F.array().cast("array<int>"))
+    return out.select("doc_id", "n_lines", F.size(lines).cast("long").alias("n_removed"), lines.alias("removed_lines"))
+
+
 def _captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Pages with a fetch day, and a dated list that a rule derives from their hosts (the tables hold neither)."""
     pages = table(spark, sf_dir, "pages")
@@ -45,6 +58,14 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_captures(captures, entries)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"), shingle_words=3, percent=90)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.select("doc_id", "source", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"), (F.col("_size") * F.col("_copies")).alias("taken"))
@@ -52,9 +73,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
     "op5_sharding": op5_sharding,
+    "op6_line_dedup": op6_line_dedup,
     "op7_url_filter": op7_url_filter,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_ngram_join": op9_ngram_join,
     "op10_mixing": op10_mixing,
 }
 
