@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches by rows; a smaller setting of the user stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -78,24 +87,25 @@ class Scratch:
                 fs.delete(at, True)
 
 
-def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Runs of equal key of rows that come sorted by it, whatever batches they arrive in."""
+def packs(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal key, each as short as it can be with `rows` rows at least, of rows sorted by key."""
     held: list[pa.RecordBatch] = []
-    last = None
+    size, last = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(key).to_pylist()
+        values = batch.column(key).to_numpy()
+        edges = (np.flatnonzero(values[1:] != values[:-1]) + 1).tolist()
         begin = 0
-        for i, value in enumerate(column):
-            if value != last:
-                if i > begin:
-                    held.append(batch.slice(begin, i - begin))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, begin, last = [], i, value
-        if begin < batch.num_rows:
-            held.append(batch.slice(begin))
+        for edge in ([0] if held and values[0] != last else []) + edges:
+            if size + edge - begin >= rows:
+                if edge > begin:
+                    held.append(batch.slice(begin, edge - begin))
+                yield pa.Table.from_batches(held)
+                held, size, begin = [], 0, edge
+        held.append(batch.slice(begin))
+        size += batch.num_rows - begin
+        last = values[-1]
     if held:
         yield pa.Table.from_batches(held)
 

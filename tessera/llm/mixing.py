@@ -43,25 +43,26 @@ def targets(sizes: DataFrame, *, source_col: str, weights: tuple[int, ...] = (1,
     fill = Window.orderBy(F.col("_cap") / F.col("_weight"), F.col("_src").isNull(), F.col("_src")).rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_all", F.sum("source_size").over(everything)).withColumn("_weights", F.sum("_weight").over(everything))
     per = per.withColumn("_filled", F.coalesce(F.sum("_cap").over(fill), F.lit(0))).withColumn("_used", F.coalesce(F.sum("_weight").over(fill), F.lit(0)))
-    # the level if this source and those after it all stay below their caps
+    # the level if this source and those after it all stay below their caps; it rises up to the first that does, then falls
     per = per.withColumn("_level", (F.col("_all") - F.col("_filled")) / (F.col("_weights") - F.col("_used")))
     open_ = F.col("_level") * F.col("_weight") <= F.col("_cap")
-    per = per.withColumn("_final", F.min(F.when(open_, F.col("_level"))).over(everything))
+    per = per.withColumn("_final", F.max(F.when(open_, F.col("_level"))).over(everything))
     target = F.when(F.col("_final").isNull(), F.col("_cap").cast("double")).otherwise(F.least(F.col("_cap").cast("double"), F.col("_final") * F.col("_weight")))
     return per.select("_src", "source_size", target.alias("target"))
 
 
 def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
-    """The documents with _size, _source_size, _target and _copies: how often each is emitted."""
-    sized = docs.withColumn("_size", F.size(words(F.col(text_col))).cast("long"))
-    goal = targets(sized, source_col=source_col, weights=weights, max_repeats=max_repeats)
+    """Rows (_row, _size, _source_size, _target, _copies): each document as a struct, and how often it is emitted."""
+    sized = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source_col).alias("_source"), F.size(words(F.col(text_col))).cast("long").alias("_size"))
+    goal = targets(sized.select("_source", "_size"), source_col="_source", weights=weights, max_repeats=max_repeats)
     goal = goal.select("_src", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    rows = sized.join(goal, F.col(source_col).eqNullSafe(F.col("_src")), "left").drop("_src")
+    rows = sized.join(goal, F.col("_source").eqNullSafe(F.col("_src")), "left")
     rate = F.when(F.col("_source_size") > 0, F.least(F.lit(float(max_repeats)), F.col("_target") / F.col("_source_size"))).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    return rows.withColumn("_copies", (whole + F.when(draw(F.col(id_col), seed) < rate - whole, 1).otherwise(0)).cast("int"))
+    copies = (whole + F.when(draw(F.col("_row")[id_col], seed) < rate - whole, 1).otherwise(0)).cast("int")
+    return rows.select("_row", "_size", "_source_size", "_target", copies.alias("_copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix: each document as often as it is taken, with the columns of docs."""
-    return assign(docs, **options).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return assign(docs, **options).select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -72,7 +72,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return rows.select("doc_id", "source", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return rows.select("_row.doc_id", "_row.source", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 QUERIES = {
@@ -165,7 +165,7 @@ per as (select source, sum(size)::bigint source_size, 3 * sum(size)::bigint cap,
 f as (select *, (sum(source_size) over ())::bigint a, (sum(w) over ())::bigint ws, coalesce(sum(cap) over o, 0)::bigint filled, coalesce(sum(w) over o, 0)::bigint used from per
   window o as (order by cap::double / w, source is null, source rows between unbounded preceding and 1 preceding)),
 l as (select *, (a - filled)::double / (ws - used) lev from f),
-t as (select *, min(case when lev * w <= cap then lev end) over () fin from l),
+t as (select *, max(case when lev * w <= cap then lev end) over () fin from l),
 g as (select source, source_size, case when fin is null then cap::double else least(cap::double, fin * w) end target from t),
 r as (select doc_id, s.source, size, source_size, target, case when source_size > 0 then least(3.0::double, target / source_size) else 0.0::double end rate,
   ('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::varchar, ''))[1:13])::bigint::double / {2**52}.0::double u from s join g on s.source is not distinct from g.source),

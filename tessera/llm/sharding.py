@@ -75,10 +75,12 @@ def communication_matrix(parts: list[int], shards: list[int], seed: int) -> list
 
 
 def shuffle_into_shards(rows: DataFrame, *, shards: int = SHARDS, seed: int = 1, part_rows: int = PART_ROWS) -> DataFrame:
-    """The rows with shard (0 to shards - 1) and slot (gapless from 0 in each shard)."""
-    spark, scratch, cols = rows.sparkSession, Scratch(rows.sparkSession), rows.columns
+    """The rows with shard (0 to shards - 1) and slot (gapless from 0 in each shard); columns of these names are replaced."""
+    spark, scratch = rows.sparkSession, Scratch(rows.sparkSession)
+    names = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
+    cols = [f"c{i}" for i in range(len(names))]
     key = lambda k: F.xxhash64(F.lit(seed), F.lit(k), *[F.col(c) for c in cols])
-    held = scratch.write(rows)
+    held = scratch.write(rows.select(*names).toDF(*cols))
     total = held.count()
     parts = max(1, min(MAX_PARTS, math.ceil(total / part_rows)))
     dealt = held.withColumn("_part", F.pmod(key(1), F.lit(parts)).cast("int"))
@@ -100,4 +102,5 @@ def shuffle_into_shards(rows: DataFrame, *, shards: int = SHARDS, seed: int = 1,
     second = Window.partitionBy("shard", "_slice").orderBy(key(3), *cols)
     out = exchanged.withColumn("_r", F.row_number().over(second) - 1).join(starts, ["shard", "_slice"])
     scratch.drop(held)
-    return out.select(*cols, "shard", (F.col("_before") + F.col("_r")).cast("long").alias("slot"))
+    back = [F.col(c).alias(n) for c, n in zip(cols, names, strict=True)]
+    return out.select(*back, "shard", (F.col("_before") + F.col("_r")).cast("long").alias("slot"))

@@ -36,8 +36,9 @@ def intervals(entries: DataFrame, *, pattern_col: str = "pattern", action_col: s
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", day_col: str = "fetched_on", **list_cols) -> DataFrame:
-    """The captures with host, rule (the deciding pattern), rule_action, rule_from and kept."""
-    seen = captures.withColumn("host", host_of(F.col(url_col))).withColumn("_day", F.col(day_col).cast("date"))
+    """The captures with host, rule (the deciding pattern), rule_action, rule_from and kept; columns of these names are replaced."""
+    kept = [c for c in captures.columns if c.lower() not in ("host", "rule", "rule_action", "rule_from", "kept")]
+    seen = captures.select(F.struct(*kept).alias("_row"), host_of(F.col(url_col)).alias("host"), F.col(day_col).cast("date").alias("_day"))
     looked_up = seen.where("host is not null and _day is not null").select("host", "_day").distinct()
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -46,4 +47,4 @@ def filter_captures(captures: DataFrame, entries: DataFrame, *, url_col: str = "
     hits = asked.join(valid, (asked["pattern"] == valid["pattern"]) & (F.col("valid_from") <= F.col("_day")) & (F.col("valid_to").isNull() | (F.col("_day") < F.col("valid_to"))))
     best = hits.groupBy(F.col("host").alias("_host"), F.col("_day").alias("_at")).agg(F.max(F.struct(F.length(valid["pattern"]).alias("n"), valid["pattern"].alias("rule"), F.col("action"), F.col("valid_from"))).alias("_b"))
     out = seen.join(best, (F.col("host") == F.col("_host")) & (F.col("_day") == F.col("_at")), "left")
-    return out.select(*captures.columns, "host", F.col("_b.rule").alias("rule"), F.col("_b.action").alias("rule_action"), F.col("_b.valid_from").alias("rule_from"), F.coalesce(F.col("_b.action") != "block", F.lit(True)).alias("kept"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in kept], "host", F.col("_b.rule").alias("rule"), F.col("_b.action").alias("rule_action"), F.col("_b.valid_from").alias("rule_from"), F.coalesce(F.col("_b.action") != "block", F.lit(True)).alias("kept"))
