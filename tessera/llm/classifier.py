@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from tessera.llm._common import Scratch, small_batches
+from tessera.llm._common import Scratch, fresh, small_batches
 from tessera.llm._words import PIECE, word_hashes
 
 THRESHOLD = 0.3
@@ -126,26 +126,31 @@ class Model:
         return np.clip(np.interp(self.raw(x), *self.knots), 0.0, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, features: int = FEATURES, gamma: float = GAMMA, ridge: float = RIDGE, seed: int = 7) -> Model:
-    """Learns from labelled documents that are not held out; a quarter of them only calibrates."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    small_batches(spark)
+def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (_id, x): the statistics of each text."""
+    small_batches(docs.sparkSession)
+    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [statistics(t).tolist() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["_id", "x"])
+
+    return picked.mapInArrow(measure, StructType([picked.schema["_id"], StructField("x", ArrayType(DoubleType()))]))
+
+
+def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = MAX_ROWS, features: int = FEATURES, gamma: float = GAMMA, ridge: float = RIDGE, seed: int = 7) -> Model:
+    """Learns from measured() rows of labelled documents that are not held out; a quarter of them only calibrates."""
+    scratch = Scratch(stats.sparkSession)
     rng = np.random.Generator(np.random.PCG64(seed))
     w, b = rng.normal(0, np.sqrt(2 * gamma), (N_STATS, features)), rng.uniform(0, 2 * np.pi, features)
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where(F.col("_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("_id")))
     count = known.count()
     mark = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 20))
     if count > max_rows:
         known = known.where(mark < int((1 << 20) * max_rows / count))
-    known = known.withColumn("_use", F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(4)))
-    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(known, "_id").select("_t", "_y", "_use")
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [statistics(t).tolist() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "y", "use"])
-
-    rows = scratch.write(joined.mapInArrow(measure, "x array<double>, y int, use long").repartition(FIT_PARTITIONS))
+    known = known.withColumn("use", F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(4)))
+    rows = scratch.write(stats.join(known, "_id").select("x", "y", "use").repartition(FIT_PARTITIONS))
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((3, N_STATS))
@@ -189,8 +194,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return model
 
 
+def _judge(model: Model, x: pa.Array) -> pa.Array:
+    return pa.array(model.score(np.array(x.to_pylist()).reshape(-1, N_STATS)))
+
+
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """The columns of docs with the score of each text. Columns that docs has already are not touched."""
+    """The columns of docs with the score of each text, in one pass over the texts."""
     small_batches(docs.sparkSession)
     names = docs.columns
     if out_col in names:
@@ -207,16 +216,24 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """Rows (id, held_out, score, predicted), one for each document."""
-    model = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
-    small_batches(docs.sparkSession)
+    """Rows (id, held_out, score, predicted), one for each document. Texts are read once; their statistics are written."""
+    stats = Scratch(docs.sparkSession).write(measured(docs, id_col=id_col, text_col=text_col))
+    model = fit(stats, labels, id_col=id_col, **options)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t) for t in batch.column(1).to_pylist()]).reshape(-1, N_STATS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _judge(model, batch.column(1))], names=["_id", "score"])
 
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    schema = StructType([picked.schema["_id"], StructField("score", DoubleType())])
-    scored = picked.mapInArrow(judge, schema)
+    scored = stats.mapInArrow(judge, StructType([stats.schema["_id"], StructField("score", DoubleType())]))
     return scored.select(F.col("_id").alias(id_col), F.coalesce(held_out(F.col("_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
+    """The documents that the classifier doesn't reject, with the columns of docs."""
+    scratch = Scratch(docs.sparkSession)
+    known = labels.where(F.col(id_col).isNotNull()).select(id_col).distinct()
+    stats = scratch.write(measured(docs, id_col=id_col, text_col=text_col).join(known.withColumnRenamed(id_col, "_id"), "_id", "left_semi"))
+    model = fit(stats, labels, id_col=id_col, **options)
+    scratch.drop(stats)
+    name = fresh(docs, "_score")
+    return score(docs, model, text_col=text_col, out_col=name).where(F.col(name) >= threshold).drop(name)
