@@ -5,6 +5,7 @@ Words are maximal runs of anything but space and the characters 0x09 to 0x0D. A
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -78,6 +79,9 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
+        # what the write shuffled is garbage now; Spark deletes such files once the driver has collected it
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:

@@ -2,7 +2,7 @@
 
 Sets hold 64-bit token hashes, ordered by rarity. Two sets whose Jaccard similarity reaches the threshold share one token
 at least within their prefixes, so only sets that share a prefix token need comparing. The pairs themselves are never
-rows. Each set gets one of its shared prefix tokens as its anchor, and what is emitted are the pairs of anchors that meet
+rows. Each set gets the most shared of its prefix tokens as its anchor, and what is emitted are the pairs of anchors that meet
 at some token; a pair of anchors is a job, which compares the sets of the one with those of the other. A pair of sets is
 compared in one job, however many tokens it shares. Groups of an anchor are cut into blocks of bounded size, and jobs
 into pairs of blocks, so a hot group spreads over many tasks and none holds more than two blocks. A token at which many
@@ -17,63 +17,71 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import Scratch, groups
-from tessera.llm._words import signed
+from tessera.llm._common import Scratch, packs
+from tessera.llm._words import mix, signed
 
-BUCKETS = 1 << 20
-_SLICE = 1 << 12
+#: Hash buckets in which tokens are counted: as many bytes are sent to each executor.
+BUCKET_BITS = 22
+_SLICE = 1 << 16
 #: Tokens and sets of a block at most (about; blocks are dealt by hash).
 BLOCK_TOKENS = 1 << 17
 BLOCK_SETS = 512
+#: Sets at a token that are compared pair by pair where they meet; of more, none is left out.
+SIFTED = 4096
+#: Bits of the map of sets that are read again: 2 MB.
+MARK_BITS = 24
 #: Anchors that may meet at a token as pairs; beyond that the token is a job of its own.
 PAIRED_ANCHORS = 24
 
 
 @dataclass(frozen=True)
 class Rarity:
-    """A level for each hash bucket of tokens: 0 for the usual, more for frequent ones. mean is the tokens of a bucket."""
+    """A level for each hash bucket of tokens: 4 * log2 of its count, or 0 where that doesn't stand out from the mean."""
 
     level: np.ndarray
-    mean: float
+    bits: int
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
-        return self.level[(tokens >> np.uint64(64 - 20)).astype(np.int64)]
+        return self.level[(tokens >> np.uint64(64 - self.bits)).astype(np.int64)]
 
     def frequency(self, tokens: np.ndarray) -> np.ndarray:
         """Estimated number of other sets that hold the token; 0 where it doesn't stand out."""
         level = self.of(tokens).astype(float)
-        return np.where(level > 0, self.mean * np.exp2(level / 4), 0.0)
+        return np.where(level > 0, np.exp2(level / 4), 0.0)
 
 
-def rarity(df: DataFrame, columns: list[str], tokens: Callable[[list], Iterator[np.ndarray]]) -> Rarity:
-    """Counts all tokens of all rows into BUCKETS hash buckets; tokens() yields the token arrays of a batch."""
+def rarity(df: DataFrame, columns: list[str], tokens: Callable[[list], Iterator[np.ndarray]], bits: int = BUCKET_BITS) -> Rarity:
+    """Counts all tokens of all rows into 2**bits hash buckets; tokens() yields the token arrays of a batch."""
+    buckets, kind = 1 << bits, np.uint32
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.uint64)
+        total = np.zeros(buckets, kind)
         for batch in batches:
             for x in tokens([batch.column(c).to_pylist() for c in columns]):
-                np.add(total, np.bincount((x >> np.uint64(64 - 20)).astype(np.int64), minlength=BUCKETS).astype(np.uint64), out=total)
-        ids = list(range(BUCKETS // _SLICE))
-        blobs = [pa.compress(total[i * _SLICE : (i + 1) * _SLICE].tobytes(), codec="zstd", asbytes=True) for i in ids]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs)], names=["slice", "n"])
+                np.add.at(total, (x >> np.uint64(64 - bits)).astype(np.int64), kind(1))
+        for i in range(0, buckets, _SLICE):
+            blob = pa.compress(total[i : i + _SLICE].tobytes(), codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([i // _SLICE], pa.int32()), pa.array([blob])], names=["slice", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(pa.decompress(blob, decompressed_size=_SLICE * 8, codec="zstd", asbytes=True), np.uint64)
-                total[i] = total[i] + x if i in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "n"])
+                x = np.frombuffer(pa.decompress(blob, decompressed_size=_SLICE * 4, codec="zstd", asbytes=True), kind)
+                total[i] = total.get(i, 0) + x.astype(np.uint64)
+        for i, x in total.items():
+            level = np.floor(4 * np.log2(np.maximum(x, 1))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([int(x.sum())], pa.int64()), pa.array([level.tobytes()])], names=["slice", "n", "level"])
 
-    out = np.zeros(BUCKETS, np.uint64)
-    for r in df.select(*columns).mapInArrow(count, "slice int, n binary").repartition("slice").mapInArrow(add, "slice int, n binary").toLocalIterator():
-        out[r.slice * _SLICE : (r.slice + 1) * _SLICE] += np.frombuffer(r.n, np.uint64)  # BUCKETS numbers in all
-    mean = max(1.0, float(out.sum()) / BUCKETS)
-    level = np.where(out > 2 * mean, np.minimum(255, np.floor(4 * np.log2(np.maximum(out, 1) / mean))), 0).astype(np.uint8)
-    return Rarity(level, mean)
+    level, n = np.zeros(buckets, np.uint8), 0
+    for r in df.select(*columns).mapInArrow(count, "slice int, n binary").repartition("slice").mapInArrow(add, "slice int, n long, level binary").toLocalIterator():
+        level[r.slice * _SLICE : (r.slice + 1) * _SLICE] = np.frombuffer(r.level, np.uint8)  # 2**bits bytes in all
+        n += r.n
+    level[level <= 4 * np.log2(max(1.0, 2 * n / buckets))] = 0
+    return Rarity(level, bits)
 
 
 def ordered_sets(tokens: np.ndarray, group: np.ndarray, n_groups: int, rare: Rarity) -> tuple[np.ndarray, np.ndarray]:
@@ -116,102 +124,194 @@ def prefix_length(n: int, percent: int, matches: int) -> int:
     return min(n, n - least + matches)
 
 
+def shared_tokens(postings: DataFrame, ids: list[str], percent: int) -> DataFrame:
+    """Those rows (token, ids, n, matches, bits) of prefix tokens whose set has a possible partner at the token.
+
+    bits is a parity bitmap of the set: the bits in which two differ are at most the tokens in which the sets differ, which
+    the threshold bounds (0 for all: no bitmap). Repeated rows count once.
+    """
+    names = list(dict.fromkeys(["token", *ids, "n", "matches", "bits"]))
+    rows = postings.select(*names).repartition("token").sortWithinPartitions("token", *ids)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in packs(batches, "token", 1 << 14):
+            token, n, bits = (pack.column(c).to_numpy() for c in ("token", "n", "bits"))
+            n, bits = n.astype(np.int64), bits.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
+            who = np.array([pack.column(c).to_numpy() for c in ids])
+            new = np.concatenate(([True], (token[1:] != token[:-1]) | (who[:, 1:] != who[:, :-1]).any(0)))
+            if not new.all():
+                pack, token, n, bits, who = pack.filter(pa.array(new)), token[new], n[new], bits[new], who[:, new]
+            edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            size = np.diff(np.append(edge, len(token)))
+            keep = np.repeat(size > SIFTED, size)  # too many to compare here: all go on to the jobs, which cut them up
+            live = np.flatnonzero(~keep)
+            step = 1
+            while len(live):
+                live = live[live + step < len(token)]
+                live = live[token[live] == token[live + step]]
+                a, b = live, live + step
+                both = n[a] + n[b]
+                ok = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent
+                ok &= np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64) <= both - 2 * -(-both * percent // (100 + percent))
+                keep[a[ok]] = keep[b[ok]] = True
+                step += 1
+            if keep.any():
+                yield from pack.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(sift, ", ".join(f"{c} {kinds[c]}" for c in names))
+
+
+def marked(rows: DataFrame, ids: list[str]) -> np.ndarray:
+    """A bitmap of MARK_BITS bits with the hashes of ids: texts are read again only where it says so."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 << MARK_BITS, bool)
+        for batch in batches:
+            out[marks_of(*(batch.column(c).to_numpy() for c in ids))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([pa.compress(np.packbits(out).tobytes(), codec="zstd", asbytes=True)])], names=["b"])
+
+    total = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+    for r in rows.select(*ids).coalesce(8).mapInArrow(mark, "b binary").toLocalIterator():  # 8 bitmaps
+        total |= np.frombuffer(pa.decompress(r.b, decompressed_size=len(total), codec="zstd", asbytes=True), np.uint8)
+    return total
+
+
+def marks_of(*ids: np.ndarray) -> np.ndarray:
+    """Place of each row of ids in the bitmap."""
+    h = np.zeros(len(ids[0]), np.uint64)
+    for x in ids:
+        h = mix(h ^ x.astype(np.int64).view(np.uint64)) + np.uint64(1)
+    return (h >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
+def is_marked(bitmap: np.ndarray, *ids: np.ndarray) -> np.ndarray:
+    at = marks_of(*ids)
+    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def links_of_jobs(
-    postings: DataFrame,
+    shared: DataFrame,
     ids: list[str],
-    fetch: Callable[[DataFrame], DataFrame],
+    fetch: Callable[[np.ndarray], DataFrame],
     scratch: Scratch,
     *,
     percent: int,
     earlier: bool = False,
 ) -> DataFrame:
-    """Joins sets given by postings(ids, token, n), one row for each prefix token of a set.
+    """Joins sets given by shared(token, ids, n, matches), what shared_tokens() leaves, with ids to order them by.
 
-    fetch(rows of ids) returns (ids, n, matches, prefix int, tokens array<long> in order of rarity) of these sets. Links:
-    rows (ids with suffix _a, ids with suffix _b) that connect whatever is linked within a job; over all jobs they connect
-    exactly what the similarity links. earlier: instead the ids of the sets that have a partner with a smaller id.
+    fetch(bitmap) returns (ids, n, matches int, tokens array<long> in order of rarity) of the sets whose ids are marked,
+    at least. Only sets that have a candidate partner after the filters on prefixes are. Links: rows (ids with suffix _a,
+    ids with suffix _b) that connect whatever is linked within a job; over all jobs they connect exactly what the
+    similarity links. earlier: instead the ids of the sets that have a partner with a smaller id.
     """
-    counts = postings.groupBy("token").agg(F.count("*").alias("_c")).where("_c > 1")
-    shared = postings.join(counts.select("token"), "token").select(*ids, "token", "n")
-    anchors = shared.groupBy(*ids, "n").agg(F.min("token").alias("anchor"))
-    shared = scratch.write(shared.join(anchors, [*ids, "n"]))
-    meet = scratch.write(shared.groupBy("token", "anchor").agg(F.count("*").alias("sets")))
+    # each set with those of its prefix tokens that others share, a few as a rule; the most shared is its anchor, so
+    # that groups of near copies have few anchors
+    met = scratch.write(shared.select("token", *ids, "n", "matches"))
+    often = met.groupBy("token").agg(F.count("*").alias("_c"))
+    shared = met.join(often, "token").groupBy(*ids, "n", "matches").agg(F.sort_array(F.collect_set(F.struct("_c", "token")), asc=False)["token"].alias("tokens"))
+    shared = scratch.write(shared.withColumn("anchor", F.get("tokens", F.lit(0))))
+    scratch.drop(met)
+    meet = scratch.write(shared.select("anchor", F.explode("tokens").alias("token")).groupBy("token", "anchor").agg(F.count("*").alias("sets")))
     wide = scratch.write(meet.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > PAIRED_ANCHORS).select("token"))
     near = meet.join(wide, "token", "left_anti")
     pairs = near.select("token", F.col("anchor").alias("a"), F.col("sets").alias("_s")).join(near.select("token", F.col("anchor").alias("b")), "token")
     pairs = pairs.where("a < b or (a = b and _s > 1)").select("a", "b").distinct()
     # groups of sets: by anchor, and by wide token; a wide token's group is told apart from the anchor of that value
-    by_anchor = shared.select(*ids, "n", F.col("anchor").alias("g")).distinct()
-    by_token = shared.join(wide, "token").select(*ids, "n", F.xxhash64("token", F.lit("wide")).alias("g")).distinct()
+    by_anchor = shared.select(*ids, "n", F.col("anchor").alias("g"))
+    by_token = shared.select(*ids, "n", F.explode("tokens").alias("token")).join(wide, "token").select(*ids, "n", F.xxhash64("token", F.lit("wide")).alias("g"))
     pairs = pairs.union(wide.select(F.xxhash64("token", F.lit("wide")).alias("a"), F.xxhash64("token", F.lit("wide")).alias("b")))
-    members = by_anchor.union(by_token)
-    size = members.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
-    size = scratch.write(size)
-    members = members.join(size, "g").select(*ids, "g", F.pmod(F.xxhash64(*ids, F.lit(3)), F.col("blocks")).cast("int").alias("block"))
+    members = scratch.write(by_anchor.union(by_token))
+    size = scratch.write(members.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks")))
     jobs = pairs.join(size.select(F.col("g").alias("a"), F.col("blocks").alias("_na")), "a").join(size.select(F.col("g").alias("b"), F.col("blocks").alias("_nb")), "b")
     jobs = jobs.select("a", "b", "_nb", F.explode(F.sequence(F.lit(0), F.col("_na") - 1)).alias("i")).select("a", "b", "i", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("j")).where("a <> b or i <= j")
-    jobs = scratch.write(jobs.withColumn("job", F.xxhash64("a", "b", "i", "j")))
-    sides = jobs.select("job", F.col("a").alias("g"), F.col("i").alias("block"), F.lit(0).alias("side"))
-    sides = sides.union(jobs.where("a <> b or i <> j").select("job", F.col("b").alias("g"), F.col("j").alias("block"), F.lit(1).alias("side")))
-    # a job within one block has one side only
-    sides = sides.join(jobs.select("job", ((F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))).alias("own")).distinct(), "job")
-    work = scratch.write(sides.join(members, ["g", "block"]).select("job", "side", "own", *ids).distinct())
-    sets = fetch(work.select(*ids).distinct())
-    full = work.join(sets, ids).select("job", "side", "own", *ids, "n", "matches", "prefix", "tokens")
+    jobs = jobs.withColumn("job", F.xxhash64("a", "b", "i", "j")).withColumn("own", (F.col("a") == F.col("b")) & (F.col("i") == F.col("j")))
+    ends = F.array(F.struct(F.col("a").alias("g"), F.col("i").alias("block"), F.lit(0).alias("side")), F.when(~F.col("own"), F.struct(F.col("b").alias("g"), F.col("j").alias("block"), F.lit(1).alias("side"))))
+    sides = jobs.select("job", "own", F.inline(F.array_compact(ends)))
+    blocks = members.join(size, "g").select(*ids, "g", F.pmod(F.xxhash64(*ids, F.lit(3)), F.col("blocks")).cast("int").alias("block"))
+    # first the shared tokens of the prefixes: most sets that meet at a token are far from similar
+    kinds = {f.name: f.dataType.simpleString() for f in shared.schema.fields}
+    named = ", ".join(f"{c} {kinds[c]}" for c in ids)
+    work = sides.join(blocks, ["g", "block"]).select("job", "side", "own", *ids)
+    head = work.join(shared.select(*ids, "n", "matches", "tokens"), ids)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in packs(batches, "job", BLOCK_SETS):
+            a, b, _ = _candidates(pack, ids, percent, heads_only=True)
+            keep = pa.array(np.unique(np.concatenate((a, b))))
+            if len(keep):
+                yield pack.select(["job", "side", "own", *ids]).take(keep).combine_chunks().to_batches()[0]
+
+    head = head.repartition("job").sortWithinPartitions("job")
+    left = scratch.write(head.mapInArrow(sift, f"job long, side int, own boolean, {named}"))
+    scratch.drop(shared, meet, wide, members, size)
+    sets = fetch(marked(left, ids))
+    full = left.distinct().join(sets, ids).select("job", "side", "own", *ids, "n", "matches", "tokens")
     full = full.repartition("job").sortWithinPartitions("job")
-    kinds = {f.name: f for f in postings.schema.fields}
-    if earlier:
-        schema = ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in ids)
-    else:
-        schema = ", ".join(f"{c}_{x} {kinds[c].dataType.simpleString()}" for x in "ab" for c in ids)
+    schema = named if earlier else ", ".join(f"{c}_{x} {kinds[c]}" for x in "ab" for c in ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for job in groups(batches, "job"):
-            found = _compare(job, ids, percent, earlier)
+        for pack in packs(batches, "job", BLOCK_SETS // 4):
+            found = _linked(pack, ids, percent, earlier)
             if found is not None:
                 yield found
 
     out = scratch.write(full.mapInArrow(run, schema))
-    scratch.drop(shared, meet, wide, size, jobs, work)
+    scratch.drop(left, sets)
     return out
 
 
-def _compare(job: pa.Table, ids: list[str], percent: int, earlier: bool) -> pa.RecordBatch | None:
-    """Links of one job."""
-    names = [job.column(c).combine_chunks() for c in ids]
-    who = np.array([job.column(c).to_numpy() for c in ids])
-    side, own = job.column("side").to_numpy(), job.column("own")[0].as_py()
-    count = len(side)
-    lists = job.column("tokens").combine_chunks()
+def _lists(pack: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of the column tokens."""
+    lists = pack.column("tokens").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     offsets = lists.offsets.to_numpy()
-    tokens = lists.values.to_numpy()[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    n = np.diff(offsets)
-    prefix, matches = job.column("prefix").to_numpy(), job.column("matches").to_numpy()
-    of = np.repeat(np.arange(count), n)
-    place = np.arange(len(tokens)) - np.repeat(offsets[:-1], n)
-    head = place < np.repeat(prefix, n)
-    shared = _overlaps(tokens[head], of[head], count)
-    candidate = shared >= np.minimum(matches[:, None], matches[None, :])
-    candidate &= np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * percent  # lengths
-    # positions: whoever's prefix ends first has shared all it can up to there, so at most its rest can be added
+    return lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _candidates(pack: pa.Table, ids: list[str], percent: int, heads_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (rows a < b) of one job that pass the filters on their prefixes; and the ids as columns of numbers.
+
+    heads_only: tokens holds only tokens of the prefix, else the whole set.
+    """
+    who = np.array([pack.column(c).to_numpy() for c in ids])
+    job, side, own = pack.column("job").to_numpy(), pack.column("side").to_numpy(), pack.column("own").to_numpy()
+    n, matches = (pack.column(c).to_numpy().astype(np.int64) for c in ("n", "matches"))
+    prefix = np.minimum(n, n + n * -percent // 100 + matches)  # as prefix_length() has it
+    count = len(job)
+    tokens, offsets = _lists(pack)
+    held = np.diff(offsets)
+    of = np.repeat(np.arange(count), held)
+    head = slice(None) if heads_only else np.arange(len(tokens)) - np.repeat(offsets[:-1], held) < np.repeat(prefix, held)
+    # tokens of different jobs are kept apart
+    number = np.cumsum(np.concatenate(([0], job[1:] != job[:-1]))).astype(np.int64)
+    shared = _overlaps(tokens[head] ^ (number[of[head]] * 0x5851F42D4C957F2D), of[head], count)
+    a, b = np.nonzero(np.triu(shared, 1))
+    shared = shared[a, b]
     rest = n - prefix
-    candidate &= (shared + np.maximum(rest[:, None], rest[None, :])) * (100 + percent) >= (n[:, None] + n[None, :]) * percent
-    if not own:
-        candidate &= side[:, None] != side[None, :]
-    same = np.ones((count, count), bool)
-    for x in who:
-        same &= x[:, None] == x[None, :]
-    candidate = np.triu(candidate & ~same, 1)
-    a, b = np.nonzero(candidate)
+    ok = (number[a] == number[b]) & (shared >= np.minimum(matches[a], matches[b])) & (own[a] | (side[a] != side[b]))
+    ok &= np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent  # lengths
+    # positions: whoever's prefix ends first has shared all it can up to there, so at most its rest can be added
+    ok &= (shared + np.maximum(rest[a], rest[b])) * (100 + percent) >= (n[a] + n[b]) * percent
+    ok &= (who[:, a] != who[:, b]).any(0)
+    return a[ok], b[ok], who
+
+
+def _linked(pack: pa.Table, ids: list[str], percent: int, earlier: bool) -> pa.RecordBatch | None:
+    """Links of the jobs of a pack, verified on the whole sets."""
+    a, b, who = _candidates(pack, ids, percent)
     if not len(a):
         return None
+    count, names = pack.num_rows, [pack.column(c).combine_chunks() for c in ids]
+    tokens, offsets = _lists(pack)
+    n = np.diff(offsets)
     if len(a) > 8 * count:  # a dense group: all overlaps at once
         used = np.zeros(count, bool)
         used[a] = used[b] = True
+        of = np.repeat(np.arange(count), n)
         keep = used[of]
-        inter = _overlaps(tokens[keep], of[keep], count)[a, b]
+        inter = _overlaps(tokens[keep], of[keep], count)[a, b].astype(np.int64)
     else:
         inter, ordered = np.empty(len(a), np.int64), {}
         for i in np.unique(np.concatenate((a, b))).tolist():
@@ -222,13 +322,14 @@ def _compare(job: pa.Table, ids: list[str], percent: int, earlier: bool) -> pa.R
     a, b = a[linked], b[linked]
     if not len(a):
         return None
+    take = lambda x, rows: x.take(pa.array(rows))
     if earlier:
         rank = np.empty(count, np.int64)
         rank[np.lexsort(who[::-1])] = np.arange(count)
         late = np.unique(np.where(rank[a] > rank[b], a, b))
-        return pa.RecordBatch.from_arrays([x.take(pa.array(late)) for x in names], names=ids)
+        return pa.RecordBatch.from_arrays([take(x, late) for x in names], names=ids)
     a, b = _spanning(a, b, count)
-    return pa.RecordBatch.from_arrays([x.take(pa.array(s)) for s in (a, b) for x in names], names=[f"{c}_{x}" for x in "ab" for c in ids])
+    return pa.RecordBatch.from_arrays([take(x, s) for s in (a, b) for x in names], names=[f"{c}_{x}" for x in "ab" for c in ids])
 
 
 def _overlaps(tokens: np.ndarray, of: np.ndarray, count: int) -> np.ndarray:
@@ -247,7 +348,7 @@ def _overlaps(tokens: np.ndarray, of: np.ndarray, count: int) -> np.ndarray:
         dense = np.zeros((len(rows), width), np.float32)
         dense[np.searchsorted(rows, row[i:j]), column[i:j] - first] = 1
         out[np.ix_(rows, rows)] += dense @ dense.T
-    return out.astype(np.int64)
+    return out
 
 
 def _spanning(a: np.ndarray, b: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,9 +370,9 @@ def _spanning(a: np.ndarray, b: np.ndarray, count: int) -> tuple[np.ndarray, np.
     return a[kept], b[kept]
 
 
-def arrow_sets(ids: list[pa.Array], names: list[str], n: list[int], matches: list[int], prefix: list[int], tokens: list[np.ndarray]) -> pa.RecordBatch:
+def arrow_sets(ids: list[pa.Array], names: list[str], n: list[int], matches: list[int], tokens: list[np.ndarray]) -> pa.RecordBatch:
     """A batch as fetch() returns it."""
     lengths = [0, *np.cumsum([len(x) for x in tokens]).tolist()]
     flat = signed(np.concatenate(tokens)) if tokens else np.zeros(0, np.int64)
     lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64()))
-    return pa.RecordBatch.from_arrays([*ids, pa.array(n, pa.int32()), pa.array(matches, pa.int32()), pa.array(prefix, pa.int32()), lists], names=[*names, "n", "matches", "prefix", "tokens"])
+    return pa.RecordBatch.from_arrays([*ids, pa.array(n, pa.int32()), pa.array(matches, pa.int32()), lists], names=[*names, "n", "matches", "tokens"])

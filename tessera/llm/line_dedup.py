@@ -3,7 +3,8 @@
 A line is its set of words. Words are ordered by rarity over all lines; two lines whose Jaccard similarity reaches the
 threshold share a word within their prefixes (prefix filter), their sizes are in proportion (length filter), and the words
 that they share up to the end of the prefixes leave enough room for the overlap (positional filter). What passes is verified on the whole sets. Lines with equal sets are one set from the start, so a line that a third of all
-documents hold is one row after a partial aggregation. Every line that has a similar earlier one (smaller document id, or
+documents hold is one row after a partial aggregation. A set is known by a 64-bit hash, a 64-bit parity bitmap and its
+size; the bitmap also bounds the difference of two sets, which rules most pairs out where they first meet. Every line that has a similar earlier one (smaller document id, or
 the same document further up) is a later match and goes; lines are judged on the input, not on what is left.
 
 Defined results: lines are separated by \\n; lines without words are never matched nor removed. Null and empty texts
@@ -24,6 +25,11 @@ from tessera.llm import _setjoin
 from tessera.llm._common import Scratch, small_batches
 from tessera.llm._words import gathered, hashes_and_starts, signed
 
+#: Words repeat far more than shingles do, so telling rare from unique ones pays: 16 MB of levels.
+BUCKET_BITS = 24
+#: Keys of lines that a task remembers so as not to send the same prefix twice.
+SEEN = 200_000
+
 
 def lines_of(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of texts: (text number of each line, line number in its text, word hashes, line of each word)."""
@@ -47,7 +53,7 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         for _, _, hashes, _ in lines_of(columns[0]):
             yield hashes
 
-    sent = spark.sparkContext.broadcast(_setjoin.rarity(texts, ["t"], tokens))  # BUCKETS bytes
+    sent = spark.sparkContext.broadcast(_setjoin.rarity(texts, ["t"], tokens, BUCKET_BITS))  # a byte for each bucket
     lengths = np.array([0, *(_setjoin.prefix_length(n, percent, 1) for n in range(1, 4096))])
 
     def prefix_of(n: np.ndarray) -> np.ndarray:
@@ -56,44 +62,58 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         return np.array([_setjoin.prefix_length(int(x), percent, 1) if x else 0 for x in n])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             ids = batch.column("d").to_numpy()
             for text, number, hashes, line in lines_of(batch.column("t").to_pylist()):
                 flat, offsets = _setjoin.ordered_sets(hashes, line, len(text), sent.value)
                 n = np.diff(offsets)
-                p = prefix_of(n)
-                a, b = _setjoin.set_keys(flat, offsets)
+                key = _setjoin.set_keys(flat, offsets)[0]
+                # a line that the task has had needs no prefix again
+                if len(seen) > SEEN:
+                    seen = set()
+                again = np.zeros(len(n), bool)
+                for i, k in enumerate(key.tolist()):
+                    if k in seen:
+                        again[i] = True
+                    else:
+                        seen.add(k)
+                p = np.where(again, 0, prefix_of(n))
+                bits = np.zeros(len(text) + 1, np.uint64)
+                owner = np.repeat(np.arange(len(text)), n)
+                np.bitwise_xor.at(bits, owner, np.uint64(1) << (flat & np.uint64(63)))
                 heads = flat[np.arange(len(flat)) - np.repeat(offsets[:-1], n) < np.repeat(p, n)]
                 some = np.flatnonzero(n > 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(p[some]))), pa.int32()), pa.array(signed(heads), pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[text[some]]), pa.array(number[some], pa.int32()), pa.array(n[some], pa.int32()), pa.array(signed(a[some])), pa.array(signed(b[some])), lists], names=["d", "l", "n", "k1", "k2", "head"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[text[some]]), pa.array(number[some], pa.int32()), pa.array(n[some], pa.int32()), pa.array(signed(key[some])), pa.array(signed(bits[some])), lists], names=["d", "l", "n", "k", "bits", "head"])
+
+    rows = scratch.write(texts.mapInArrow(prefixes, "d long, l int, n int, k long, bits long, head array<long>"))
+    same = scratch.write(rows.groupBy("k", "bits", "n").agg(F.min(F.struct("d", "l")).alias("r"), F.count("*").alias("lines")))
+    postings = rows.select("k", "n", F.lit(1).alias("matches"), "bits", F.explode("head").alias("token"))
+    met = _setjoin.shared_tokens(postings, ["k", "bits"], percent)
+    shared = met.join(same.select("k", "bits", F.col("r.d").alias("d"), F.col("r.l").alias("l")), ["k", "bits"])
 
-    rows = scratch.write(texts.mapInArrow(prefixes, "d long, l int, n int, k1 long, k2 long, head array<long>"))
-    same = scratch.write(rows.groupBy("k1", "k2", "n").agg(F.min(F.struct("d", "l")).alias("r"), F.count("*").alias("lines")))
-    first = same.where("n > 0").select("k1", "k2", F.col("r.d").alias("d"), F.col("r.l").alias("l"))
-    postings = rows.where(F.size("head") > 0).join(first, ["k1", "k2", "d", "l"], "left_semi").select("d", "l", F.explode("head").alias("token"), "n")
+    def fetch(bitmap: np.ndarray) -> DataFrame:
+        asked = spark.sparkContext.broadcast(bitmap)
 
-    def fetch(wanted: DataFrame) -> DataFrame:
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, asked = batch.column("d").to_numpy(), batch.column("ls").to_pylist()
-                for text, number, hashes, line in lines_of(batch.column("t").to_pylist()):
+                ids, t = batch.column("d").to_numpy(), batch.column("t").to_pylist()
+                count = np.array([(x or "").count("\n") + 1 for x in t])
+                text = np.repeat(np.arange(len(t)), count)
+                number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+                some = np.unique(text[_setjoin.is_marked(asked.value, ids[text], number)])
+                ids, t = ids[some], [t[i] for i in some.tolist()]
+                for text, number, hashes, line in lines_of(t):
                     flat, offsets = _setjoin.ordered_sets(hashes, line, len(text), sent.value)
-                    want = np.zeros(len(text), bool)
-                    top = np.searchsorted(text, np.unique(text))
-                    for t, s in zip(text[top].tolist(), top.tolist(), strict=True):
-                        want[s + np.array(asked[t])] = True
-                    k = np.flatnonzero(want & (np.diff(offsets) > 0))
-                    n = np.diff(offsets)[k]
+                    k = np.flatnonzero(_setjoin.is_marked(asked.value, ids[text], number) & (np.diff(offsets) > 0))
                     own = [flat[offsets[i] : offsets[i + 1]] for i in k.tolist()]
-                    yield _setjoin.arrow_sets([pa.array(ids[text[k]]), pa.array(number[k], pa.int32())], ["d", "l"], n.tolist(), [1] * len(k), prefix_of(n).tolist(), own)
+                    yield _setjoin.arrow_sets([pa.array(ids[text[k]]), pa.array(number[k], pa.int32())], ["d", "l"], np.diff(offsets)[k].tolist(), [1] * len(k), own)
 
-        asked = wanted.groupBy("d").agg(F.collect_list("l").alias("ls"))  # the lines of one document
-        found = texts.join(asked, "d").where(F.array_max("ls") < F.size(F.split("t", "\n")))
-        return scratch.write(found.mapInArrow(read, "d long, l int, n int, matches int, prefix int, tokens array<long>"))
+        return scratch.write(texts.mapInArrow(read, "d long, l int, n int, matches int, tokens array<long>"))
 
-    late = _setjoin.links_of_jobs(postings, ["d", "l"], fetch, scratch, percent=percent, earlier=True)
-    equal = rows.join(same.where("lines > 1").select("k1", "k2", "n", "r"), ["k1", "k2", "n"]).where(F.struct("d", "l") != F.col("r")).select("d", "l")
+    late = _setjoin.links_of_jobs(shared, ["d", "l"], fetch, scratch, percent=percent, earlier=True)
+    equal = rows.join(same.where("lines > 1").select("k", "bits", "n", "r"), ["k", "bits", "n"]).where(F.struct("d", "l") != F.col("r")).select("d", "l")
     out = scratch.write(late.union(equal).groupBy("d").agg(F.array_sort(F.collect_set("l")).alias("removed_lines")))
     scratch.drop(rows, same)
     return out.withColumnRenamed("d", id_col)
@@ -101,7 +121,7 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with the later matches taken out of the text; the other lines stay as they are, in order."""
-    gone = removed_lines(docs, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("_gone"), F.col("removed_lines").alias("_lines"))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains("_lines", i)), "\n")
-    joined = docs.join(gone, docs[id_col] == F.col("_gone"), "left")
-    return joined.select(*[F.when(F.col("_lines").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    gone = removed_lines(docs, id_col=id_col, text_col=text_col, **options).toDF("_gone", "_lines")
+    kept = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda _, i: ~F.array_contains(gone["_lines"], i)), "\n")
+    joined = docs.join(gone, docs[id_col] == gone["_gone"], "left")
+    return joined.select(*[F.when(gone["_lines"].isNull(), docs[c]).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -71,7 +71,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield flat_shingles(hashes, offsets, k)[0]
 
     rare = _setjoin.rarity(texts, ["t"], tokens)
-    sent = spark.sparkContext.broadcast(rare)  # BUCKETS bytes
+    sent = spark.sparkContext.broadcast(rare)  # a byte for each bucket
 
     def sets(batch: pa.RecordBatch):
         """(first row, ordered tokens, offsets) of the texts of a batch."""
@@ -89,28 +89,32 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             for first, flat, offsets in sets(batch):
                 n = np.diff(offsets)
                 a, b = _setjoin.set_keys(flat, offsets)
-                heads = [flat[s : s + head(flat[s:e])[1]] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                chosen = [head(flat[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                heads = [flat[s : s + p] for s, (_, p) in zip(offsets[:-1].tolist(), chosen, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in heads]))), pa.int32()), pa.array(signed(np.concatenate(heads)), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("d").slice(first, len(n)), pa.array(n, pa.int32()), pa.array(signed(a)), pa.array(signed(b)), lists], names=["d", "n", "k1", "k2", "head"])
+                yield pa.RecordBatch.from_arrays([batch.column("d").slice(first, len(n)), pa.array(n, pa.int32()), pa.array(signed(a)), pa.array(signed(b)), pa.array([m for m, _ in chosen], pa.int32()), lists], names=["d", "n", "k1", "k2", "matches", "head"])
 
-    rows = scratch.write(texts.mapInArrow(prefixes, "d long, n int, k1 long, k2 long, head array<long>"))
+    rows = scratch.write(texts.mapInArrow(prefixes, "d long, n int, k1 long, k2 long, matches int, head array<long>"))
     full = rows.where("n > 0 and d is not null")
     same = scratch.write(full.groupBy("k1", "k2", "n").agg(F.min("d").alias("rep"), F.count("*").alias("copies")))
     reps = full.join(same.select("k1", "k2", F.col("rep").alias("d")), ["k1", "k2", "d"], "left_semi")
-    postings = reps.select("d", F.explode("head").alias("token"), "n")
+    postings = reps.select("d", "n", "matches", F.lit(0).cast("long").alias("bits"), F.explode("head").alias("token"))
+    shared = _setjoin.shared_tokens(postings, ["d"], percent)
+
+    def fetch(bitmap: np.ndarray) -> DataFrame:
+        asked = spark.sparkContext.broadcast(bitmap)
 
-    def fetch(wanted: DataFrame) -> DataFrame:
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                batch = batch.filter(pa.array(_setjoin.is_marked(asked.value, batch.column("d").to_numpy())))
                 for first, flat, offsets in sets(batch):
                     own = [flat[s:e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                     heads = [head(x) for x in own]
-                    yield _setjoin.arrow_sets([batch.column("d").slice(first, len(own))], ["d"], [len(x) for x in own], [h[0] for h in heads], [h[1] for h in heads], own)
+                    yield _setjoin.arrow_sets([batch.column("d").slice(first, len(own))], ["d"], [len(x) for x in own], [h[0] for h in heads], own)
 
-        found = texts.join(wanted, "d", "left_semi")
-        return scratch.write(found.mapInArrow(read, "d long, n int, matches int, prefix int, tokens array<long>").where("n > 0"))
+        return scratch.write(texts.where("d is not null").mapInArrow(read, "d long, n int, matches int, tokens array<long>").where("n > 0"))
 
-    links = _setjoin.links_of_jobs(postings, ["d"], fetch, scratch, percent=percent)
+    links = _setjoin.links_of_jobs(shared, ["d"], fetch, scratch, percent=percent)
     copies = full.join(same.where("copies > 1"), ["k1", "k2", "n"]).where("d <> rep").select(F.col("d").alias("a"), F.col("rep").alias("b"))
     nodes = scratch.write(connected(links.select(F.col("d_a").alias("a"), F.col("d_b").alias("b")).union(copies), scratch))
     out = rows.join(nodes, F.col("d") == F.col("node"), "left")
@@ -119,8 +123,11 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs whose id is the smallest of its class, once each; rows with a null id stay."""
-    labels = classes(docs, id_col=id_col, **options)
-    gone = labels.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
-    nulls = kept.where(F.col(id_col).isNull())
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(nulls)
+    scratch = Scratch(docs.sparkSession)
+    labels = classes(docs, id_col=id_col, **options).toDF("d", "n", "c").where("d is not null")
+    marks = scratch.write(labels.groupBy("d").agg((F.min("c") < F.col("d")).alias("gone"), F.count("*").alias("rows")).where("gone or rows > 1"))
+    out = docs.join(marks, docs[id_col] == marks["d"], "left_anti")
+    again = marks.where("not gone")
+    if not again.isEmpty():  # rows with equal ids: one stays
+        out = out.unionByName(docs.join(again, docs[id_col] == again["d"], "left_semi").dropDuplicates([id_col]))
+    return out
