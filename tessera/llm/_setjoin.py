@@ -1,13 +1,14 @@
 """Exact set-similarity joins by prefix filters, shared by the n-gram join and the line deduplication.
 
 Sets hold 64-bit token hashes, ordered by rarity. Two sets whose Jaccard similarity reaches the threshold share one token
-at least within their prefixes, so only sets that share a prefix token need comparing. The pairs themselves are never
-rows. Each set gets the most shared of its prefix tokens as its anchor, and what is emitted are the pairs of anchors that meet
-at some token; a pair of anchors is a job, which compares the sets of the one with those of the other. A pair of sets is
-compared in one job, however many tokens it shares. Groups of an anchor are cut into blocks of bounded size, and jobs
-into pairs of blocks, so a hot group spreads over many tasks and none holds more than two blocks. A token at which many
-anchors meet gets a job of its own, again in blocks. Jobs return links that span what they found linked (or just which
-sets have an earlier partner), never all pairs.
+at least within their prefixes, so only sets that meet at a prefix token need comparing. The pairs themselves are never
+rows. First, sets that meet at a token are sifted by size and parity bitmap; a set stays for the tokens where it has a
+possible partner. Then the sets at each token are compared by the tokens that they share within their prefixes: by their
+number, and by what the rest of either set can add. Of the candidate pairs at a token only links that span them are kept.
+Their connected components are clusters; similar sets are always in one cluster, so each set is read again once, and
+verified within its cluster. Groups at a token and clusters are cut into blocks of bounded size, and each two blocks meet
+in a job, so a hot group spreads over many tasks and none holds more than two blocks. Jobs return links that span what
+they found linked (or just which sets have an earlier partner), never all pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import Scratch, packs
+from tessera.llm._common import Scratch, connected, packs
 from tessera.llm._words import mix, signed
 
 #: Hash buckets in which tokens are counted: as many bytes are sent to each executor.
@@ -33,8 +34,6 @@ BLOCK_SETS = 512
 SIFTED = 4096
 #: Bits of the map of sets that are read again: 2 MB.
 MARK_BITS = 24
-#: Anchors that may meet at a token as pairs; beyond that the token is a job of its own.
-PAIRED_ANCHORS = 24
 
 
 @dataclass(frozen=True)
@@ -206,50 +205,33 @@ def links_of_jobs(
     ids with suffix _b) that connect whatever is linked within a job; over all jobs they connect exactly what the
     similarity links. earlier: instead the ids of the sets that have a partner with a smaller id.
     """
-    # each set with those of its prefix tokens that others share, a few as a rule; the most shared is its anchor, so
-    # that groups of near copies have few anchors
     met = scratch.write(shared.select("token", *ids, "n", "matches"))
-    often = met.groupBy("token").agg(F.count("*").alias("_c"))
-    shared = met.join(often, "token").groupBy(*ids, "n", "matches").agg(F.sort_array(F.collect_set(F.struct("_c", "token")), asc=False)["token"].alias("tokens"))
-    shared = scratch.write(shared.withColumn("anchor", F.get("tokens", F.lit(0))))
-    scratch.drop(met)
-    meet = scratch.write(shared.select("anchor", F.explode("tokens").alias("token")).groupBy("token", "anchor").agg(F.count("*").alias("sets")))
-    wide = scratch.write(meet.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > PAIRED_ANCHORS).select("token"))
-    near = meet.join(wide, "token", "left_anti")
-    pairs = near.select("token", F.col("anchor").alias("a"), F.col("sets").alias("_s")).join(near.select("token", F.col("anchor").alias("b")), "token")
-    pairs = pairs.where("a < b or (a = b and _s > 1)").select("a", "b").distinct()
-    # groups of sets: by anchor, and by wide token; a wide token's group is told apart from the anchor of that value
-    by_anchor = shared.select(*ids, "n", F.col("anchor").alias("g"))
-    by_token = shared.select(*ids, "n", F.explode("tokens").alias("token")).join(wide, "token").select(*ids, "n", F.xxhash64("token", F.lit("wide")).alias("g"))
-    pairs = pairs.union(wide.select(F.xxhash64("token", F.lit("wide")).alias("a"), F.xxhash64("token", F.lit("wide")).alias("b")))
-    members = scratch.write(by_anchor.union(by_token))
-    size = scratch.write(members.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks")))
-    jobs = pairs.join(size.select(F.col("g").alias("a"), F.col("blocks").alias("_na")), "a").join(size.select(F.col("g").alias("b"), F.col("blocks").alias("_nb")), "b")
-    jobs = jobs.select("a", "b", "_nb", F.explode(F.sequence(F.lit(0), F.col("_na") - 1)).alias("i")).select("a", "b", "i", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("j")).where("a <> b or i <= j")
-    jobs = jobs.withColumn("job", F.xxhash64("a", "b", "i", "j")).withColumn("own", (F.col("a") == F.col("b")) & (F.col("i") == F.col("j")))
-    ends = F.array(F.struct(F.col("a").alias("g"), F.col("i").alias("block"), F.lit(0).alias("side")), F.when(~F.col("own"), F.struct(F.col("b").alias("g"), F.col("j").alias("block"), F.lit(1).alias("side"))))
-    sides = jobs.select("job", "own", F.inline(F.array_compact(ends)))
-    blocks = members.join(size, "g").select(*ids, "g", F.pmod(F.xxhash64(*ids, F.lit(3)), F.col("blocks")).cast("int").alias("block"))
-    # first the shared tokens of the prefixes: most sets that meet at a token are far from similar
-    kinds = {f.name: f.dataType.simpleString() for f in shared.schema.fields}
-    named = ", ".join(f"{c} {kinds[c]}" for c in ids)
-    work = sides.join(blocks, ["g", "block"]).select("job", "side", "own", *ids)
-    head = work.join(shared.select(*ids, "n", "matches", "tokens"), ids)
+    own = met.groupBy(*ids).agg(F.collect_set("token").alias("tokens"))  # those of its prefix tokens that others share
+    blocks = met.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    rows = met.join(blocks, "token").join(own, ids).select(*ids, "n", "matches", "tokens", F.col("token").alias("g"), "blocks")
+    kinds = {f.name: f.dataType.simpleString() for f in met.schema.fields}
+    pair = ", ".join(f"{c}_{x} {kinds[c]}" for x in "ab" for c in ids)
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack in packs(batches, "job", BLOCK_SETS):
             a, b, _ = _candidates(pack, ids, percent, heads_only=True)
-            keep = pa.array(np.unique(np.concatenate((a, b))))
-            if len(keep):
-                yield pack.select(["job", "side", "own", *ids]).take(keep).combine_chunks().to_batches()[0]
-
-    head = head.repartition("job").sortWithinPartitions("job")
-    left = scratch.write(head.mapInArrow(sift, f"job long, side int, own boolean, {named}"))
-    scratch.drop(shared, meet, wide, members, size)
+            if len(a):
+                a, b = _spanning(a, b, pack.num_rows)
+                yield _pairs(pack, ids, a, b)
+
+    edges = scratch.write(_in_blocks(rows, ids).mapInArrow(near, pair).distinct())
+    # clusters of sets that candidate pairs connect: whatever is similar is within one
+    node = lambda x: F.col(f"{ids[0]}_{x}").cast("long") if len(ids) == 1 else F.xxhash64(*[f"{c}_{x}" for c in ids])
+    clusters = connected(edges.select(node("a").alias("a"), node("b").alias("b")), scratch)
+    ends = edges.select(node("a").alias("node"), *[F.col(f"{c}_a").alias(c) for c in ids]).union(edges.select(node("b").alias("node"), *[F.col(f"{c}_b").alias(c) for c in ids])).distinct()
+    left = scratch.write(ends.join(clusters, "node").select(*ids, F.col("component").alias("g")))
+    scratch.drop(met, edges)
     sets = fetch(marked(left, ids))
-    full = left.distinct().join(sets, ids).select("job", "side", "own", *ids, "n", "matches", "tokens")
-    full = full.repartition("job").sortWithinPartitions("job")
-    schema = named if earlier else ", ".join(f"{c}_{x} {kinds[c]}" for x in "ab" for c in ids)
+    full = left.join(sets, ids)
+    size = full.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
+    full = _in_blocks(full.join(size, "g").select(*ids, "n", "matches", "tokens", "g", "blocks"), ids)
+    named = ", ".join(f"{c} {kinds[c]}" for c in ids)
+    schema = named if earlier else pair
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack in packs(batches, "job", BLOCK_SETS // 4):
@@ -262,6 +244,23 @@ def links_of_jobs(
     return out
 
 
+def _in_blocks(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """Rows (ids, ..., g, blocks) dealt to jobs: each two blocks of a group g meet in one, sorted by job.
+
+    side tells the two blocks of a job apart; a job of one block (own) compares all its rows.
+    """
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64(*ids, F.lit(3)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    job = F.xxhash64("g", F.least("_b", "_o"), F.greatest("_b", "_o"))
+    rows = rows.withColumn("job", job).withColumn("own", F.col("_b") == F.col("_o")).withColumn("side", (F.col("_b") > F.col("_o")).cast("int"))
+    return rows.drop("g", "blocks", "_b", "_o").repartition("job").sortWithinPartitions("job")
+
+
+def _pairs(pack: pa.Table, ids: list[str], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    names = [pack.column(c).combine_chunks() for c in ids]
+    return pa.RecordBatch.from_arrays([x.take(pa.array(s)) for s in (a, b) for x in names], names=[f"{c}_{x}" for x in "ab" for c in ids])
+
+
 def _lists(pack: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Values and offsets of the column tokens."""
     lists = pack.column("tokens").combine_chunks()
@@ -303,7 +302,7 @@ def _linked(pack: pa.Table, ids: list[str], percent: int, earlier: bool) -> pa.R
     a, b, who = _candidates(pack, ids, percent)
     if not len(a):
         return None
-    count, names = pack.num_rows, [pack.column(c).combine_chunks() for c in ids]
+    count = pack.num_rows
     tokens, offsets = _lists(pack)
     n = np.diff(offsets)
     if len(a) > 8 * count:  # a dense group: all overlaps at once
@@ -322,14 +321,12 @@ def _linked(pack: pa.Table, ids: list[str], percent: int, earlier: bool) -> pa.R
     a, b = a[linked], b[linked]
     if not len(a):
         return None
-    take = lambda x, rows: x.take(pa.array(rows))
     if earlier:
         rank = np.empty(count, np.int64)
         rank[np.lexsort(who[::-1])] = np.arange(count)
         late = np.unique(np.where(rank[a] > rank[b], a, b))
-        return pa.RecordBatch.from_arrays([take(x, late) for x in names], names=ids)
-    a, b = _spanning(a, b, count)
-    return pa.RecordBatch.from_arrays([take(x, s) for s in (a, b) for x in names], names=[f"{c}_{x}" for x in "ab" for c in ids])
+        return pack.select(ids).take(pa.array(late)).combine_chunks().to_batches()[0]
+    return _pairs(pack, ids, *_spanning(a, b, count))
 
 
 def _overlaps(tokens: np.ndarray, of: np.ndarray, count: int) -> np.ndarray:

@@ -46,7 +46,7 @@ def test_ngram_join(docs, rows, k, percent):
 
 def test_ngram_join_in_small_blocks(docs, rows, monkeypatch):
     monkeypatch.setattr(_setjoin, "BLOCK_SETS", 3)
-    monkeypatch.setattr(_setjoin, "PAIRED_ANCHORS", 1)
+    monkeypatch.setattr(_setjoin, "SIFTED", 2)
     got = ngram_join.classes(docs, shingle_words=3, percent=60).collect()
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == {d: c for d, (_, c) in components(rows, 3, 60).items()}
 
