@@ -25,7 +25,7 @@ from tessera.llm._common import Scratch, connected, packs
 from tessera.llm._words import mix, signed
 
 #: Hash buckets in which tokens are counted: as many bytes are sent to each executor.
-BUCKET_BITS = 22
+BUCKET_BITS = 24
 _SLICE = 1 << 16
 #: Tokens and sets of a block at most (about; blocks are dealt by hash).
 BLOCK_TOKENS = 1 << 17
@@ -197,15 +197,18 @@ def links_of_jobs(
     *,
     percent: int,
     earlier: bool = False,
+    release: Callable[[], None] = lambda: None,
 ) -> DataFrame:
     """Joins sets given by shared(token, ids, n, matches), what shared_tokens() leaves, with ids to order them by.
 
     fetch(bitmap) returns (ids, n, matches int, tokens array<long> in order of rarity) of the sets whose ids are marked,
     at least. Only sets that have a candidate partner after the filters on prefixes are. Links: rows (ids with suffix _a,
     ids with suffix _b) that connect whatever is linked within a job; over all jobs they connect exactly what the
-    similarity links. earlier: instead the ids of the sets that have a partner with a smaller id.
+    similarity links. earlier: instead the ids of the sets that have a partner with a smaller id. release() is called once
+    shared has been read.
     """
     met = scratch.write(shared.select("token", *ids, "n", "matches"))
+    release()
     own = met.groupBy(*ids).agg(F.collect_set("token").alias("tokens"))  # those of its prefix tokens that others share
     blocks = met.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
     rows = met.join(blocks, "token").join(own, ids).select(*ids, "n", "matches", "tokens", F.col("token").alias("g"), "blocks")
@@ -227,9 +230,10 @@ def links_of_jobs(
     left = scratch.write(ends.join(clusters, "node").select(*ids, F.col("component").alias("g")))
     scratch.drop(met, edges)
     sets = fetch(marked(left, ids))
-    full = left.join(sets, ids)
-    size = full.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
-    full = _in_blocks(full.join(size, "g").select(*ids, "n", "matches", "tokens", "g", "blocks"), ids)
+    sizes = left.join(sets.select(*ids, "n"), ids)
+    blocks = sizes.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
+    dealt = scratch.write(left.join(blocks, "g").select(*ids, "g", "blocks"))
+    full = _in_blocks(dealt.join(sets, ids).select(*ids, "n", "matches", "tokens", "g", "blocks"), ids)
     named = ", ".join(f"{c} {kinds[c]}" for c in ids)
     schema = named if earlier else pair
 
@@ -240,7 +244,7 @@ def links_of_jobs(
                 yield found
 
     out = scratch.write(full.mapInArrow(run, schema))
-    scratch.drop(left, sets)
+    scratch.drop(left, dealt, sets)
     return out
 
 

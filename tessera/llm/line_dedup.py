@@ -25,8 +25,6 @@ from tessera.llm import _setjoin
 from tessera.llm._common import Scratch, small_batches
 from tessera.llm._words import gathered, hashes_and_starts, signed
 
-#: Words repeat far more than shingles do, so telling rare from unique ones pays: 16 MB of levels.
-BUCKET_BITS = 24
 #: Keys of lines that a task remembers so as not to send the same prefix twice.
 SEEN = 200_000
 
@@ -53,7 +51,7 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         for _, _, hashes, _ in lines_of(columns[0]):
             yield hashes
 
-    sent = spark.sparkContext.broadcast(_setjoin.rarity(texts, ["t"], tokens, BUCKET_BITS))  # a byte for each bucket
+    sent = spark.sparkContext.broadcast(_setjoin.rarity(texts, ["t"], tokens))  # a byte for each bucket
     lengths = np.array([0, *(_setjoin.prefix_length(n, percent, 1) for n in range(1, 4096))])
 
     def prefix_of(n: np.ndarray) -> np.ndarray:
