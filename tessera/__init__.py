@@ -1 +1 @@
-
+"""Retrieval and decision analytics on Spark."""

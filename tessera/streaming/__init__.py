@@ -1 +1 @@
-
+"""Keyed state over time, in batch and as streams."""
