@@ -211,7 +211,9 @@ def links_of_jobs(
     release()
     own = met.groupBy(*ids).agg(F.collect_set("token").alias("tokens"))  # those of its prefix tokens that others share
     blocks = met.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
-    rows = met.join(blocks, "token").join(own, ids).select(*ids, "n", "matches", "tokens", F.col("token").alias("g"), "blocks")
+    # a pair is judged at its smallest common token, so each row takes the tokens from its own on
+    onward = F.filter("tokens", lambda x: x >= F.col("token"))
+    rows = met.join(blocks, "token").join(own, ids).select(*ids, "n", "matches", onward.alias("tokens"), F.col("token").alias("g"), "blocks")
     kinds = {f.name: f.dataType.simpleString() for f in met.schema.fields}
     pair = ", ".join(f"{c}_{x} {kinds[c]}" for x in "ab" for c in ids)
 
