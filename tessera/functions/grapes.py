@@ -31,7 +31,7 @@ def folded_name(name: str) -> str:
 
 
 def canonical(phrase: Column) -> Column:
-    table = F.create_map(*[F.lit(folded_name(x)) for kv in SYNONYMS.items() for x in kv])
+    table = F.create_map(*[F.lit(x) for kv in {folded_name(k): folded_name(v) for k, v in SYNONYMS.items()}.items() for x in kv])
     return F.coalesce(F.try_element_at(table, phrase), phrase)
 
 
@@ -52,7 +52,7 @@ def vocabulary(cards: DataFrame, *, grapes_col: str = "grapes", winery_col: str
     heads = spark.createDataFrame([(folded_name(x),) for x in HEADS], "phrase string").join(winery, "phrase", "left_anti")
     heads = heads.join(plain.where(F.col("phrase").contains(" ")).select(F.split("phrase", " ")[0].alias("phrase")), "phrase", "left_semi")
     found = plain.union(heads).distinct().select("phrase", F.col("phrase").alias("canonical"))
-    synonyms = spark.createDataFrame([(folded_name(k), folded_name(v)) for k, v in SYNONYMS.items()], "phrase string, canonical string")
+    synonyms = spark.createDataFrame(list({folded_name(k): folded_name(v) for k, v in SYNONYMS.items()}.items()), "phrase string, canonical string")
     return found.union(synonyms.join(found.select("canonical"), "canonical", "left_semi").select("phrase", "canonical")).dropDuplicates(["phrase"])
 
 

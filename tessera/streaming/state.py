@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 # last writer wins
@@ -108,22 +107,39 @@ def rate_limit(events: DataFrame, *, key: str, ts: str, order: str, limit: int,
     return _by_key(events, key, [ts, order], lambda: limiter(limit, window_seconds), [ts], "allowed", "boolean")
 
 
-def rate_limit_stream(events: DataFrame, *, key: str, ts: str, limit: int, window_seconds: float, ttl_ms: int = 3_600_000) -> DataFrame:
-    """The same over a stream, in order of arrival: rows (key, ts, allowed). A quiet key's state goes after ttl_ms."""
+def rate_limit_into(path: str, *, key: str, ts: str, limit: int, window_seconds: float) -> Callable[[DataFrame, int], None]:
+    """foreachBatch target: the same over a stream. Each key's window is kept in numbered versions below path/state, the
+    answers (key, ts, allowed) go to path/answers; a repeated batch writes the same versions again."""
 
-    def run(group, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        step = limiter(limit, window_seconds, tuple(state.get) if state.exists else (None, 0))
-        for batch in batches:
-            batch = batch.sort_values(ts, kind="stable")
-            yield pd.DataFrame({key: batch[key], ts: batch[ts], "allowed": [step((x,)) for x in batch[ts]]})
-        state.update(step.state())
-        state.setTimeoutDuration(ttl_ms)
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark, rows = batch.sparkSession, batch.select(key, ts)
+        before = spark.read.parquet(f"{path}/state/version={batch_id - 1}") if batch_id else None
+        if before is None:
+            rows = rows.withColumn("start", F.lit(None).cast("double")).withColumn("n", F.lit(0).cast("long"))
+        else:
+            rows = rows.join(before, key, "left")
+
+        def fold():
+            inner = None
+
+            def step(values: tuple) -> dict:
+                nonlocal inner
+                at, start, n = values
+                if inner is None:
+                    inner = limiter(limit, window_seconds, (None, 0) if pd.isna(start) else (float(start), int(n)))
+                allowed = inner((at,))
+                return {"allowed": allowed, "start": inner.state()[0], "n": inner.state()[1]}
+
+            return step
+
+        out = _by_key(rows, key, [ts], fold, [ts, "start", "n"], "_r", "struct<allowed:boolean,start:double,n:bigint>").select(key, ts, "_r")
+        out.select(key, ts, "_r.allowed").write.mode("overwrite").parquet(f"{path}/answers/version={batch_id}")
+        last = out.groupBy(key).agg(F.max(F.struct("_r.start", "_r.n")).alias("s")).select(key, "s.start", "s.n")
+        if before is not None:
+            last = last.unionByName(before.join(last.select(key), key, "left_anti"))
+        last.write.mode("overwrite").parquet(f"{path}/state/version={batch_id}")
 
-    kinds = dict(events.dtypes)
-    return events.select(key, ts).groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {ts} {kinds[ts]}, allowed boolean", "start double, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return run
 
 
 def breaker(failures: int, cooldown_seconds: float):
