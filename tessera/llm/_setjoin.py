@@ -5,6 +5,7 @@ at least within their prefixes, so only sets that meet at a prefix token need co
 rows. First, sets that meet at a token are sifted by size and parity bitmap; a set stays for the tokens where it has a
 possible partner. Then the sets at each token are compared by the tokens that they share within their prefixes: by their
 number, and by what the rest of either set can add. Of the candidate pairs at a token only links that span them are kept.
+This is done at a few tokens of each set first, and then at those where sets of different clusters meet.
 Their connected components are clusters; similar sets are always in one cluster, so each set is read again once, and
 verified within its cluster. Groups at a token and clusters are cut into blocks of bounded size, and each two blocks meet
 in a job, so a hot group spreads over many tasks and none holds more than two blocks. Jobs return links that span what
@@ -32,6 +33,8 @@ BLOCK_TOKENS = 1 << 17
 BLOCK_SETS = 512
 #: Sets at a token that are compared pair by pair where they meet; of more, none is left out.
 SIFTED = 4096
+#: Tokens of each set that are compared before all others.
+FIRST_TOKENS = 6
 #: Bits of the map of sets that are read again: 2 MB.
 MARK_BITS = 24
 
@@ -209,13 +212,11 @@ def links_of_jobs(
     """
     met = scratch.write(shared.select("token", *ids, "n", "matches"))
     release()
-    own = met.groupBy(*ids).agg(F.collect_set("token").alias("tokens"))  # those of its prefix tokens that others share
-    blocks = met.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
-    # a pair is judged at its smallest common token, so each row takes the tokens from its own on
-    onward = F.filter("tokens", lambda x: x >= F.col("token"))
-    rows = met.join(blocks, "token").join(own, ids).select(*ids, "n", "matches", onward.alias("tokens"), F.col("token").alias("g"), "blocks")
     kinds = {f.name: f.dataType.simpleString() for f in met.schema.fields}
     pair = ", ".join(f"{c}_{x} {kinds[c]}" for x in "ab" for c in ids)
+    # each set with those of its prefix tokens that others share
+    own = scratch.write(met.groupBy(*ids, "n", "matches").agg(F.array_sort(F.collect_set("token")).alias("tokens")))
+    scratch.drop(met)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack in packs(batches, "job", BLOCK_SETS):
@@ -224,13 +225,30 @@ def links_of_jobs(
                 a, b = _spanning(a, b, pack.num_rows)
                 yield _pairs(pack, ids, a, b)
 
-    edges = scratch.write(_in_blocks(rows, ids).mapInArrow(near, pair).distinct())
+    def candidates(keys: DataFrame) -> DataFrame:
+        """Links that span the candidate pairs at each token of keys(ids, token). A pair is judged at its smallest common
+        token, so each row takes the tokens from its own on."""
+        blocks = keys.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+        onward = F.filter("tokens", lambda x: x >= F.col("token"))
+        rows = keys.join(blocks, "token").join(own, ids).select(*ids, "n", "matches", onward.alias("tokens"), F.col("token").alias("g"), "blocks")
+        return scratch.write(_in_blocks(rows, ids).mapInArrow(near, pair).distinct())
+
+    node = lambda x: F.col(f"{ids[0]}{x}").cast("long") if len(ids) == 1 else F.xxhash64(*[f"{c}{x}" for c in ids])
+    between = lambda e: e.select(node("_a").alias("a"), node("_b").alias("b"))
+    # near copies share many tokens; a few of each set find nearly all clusters of them
+    first = candidates(own.select(*ids, F.explode(F.slice("tokens", 1, FIRST_TOKENS)).alias("token")))
+    found = scratch.write(connected(between(first), scratch))
+    # then all tokens at which different clusters meet
+    label = own.withColumn("node", node("")).join(found, "node", "left").select(*ids, F.coalesce("component", "node").alias("label"), F.explode("tokens").alias("token"))
+    label = scratch.write(label)
+    mixed = label.groupBy("token").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l <> _h").select("token")
+    rest = candidates(label.join(mixed, "token", "left_semi").select(*ids, "token"))
+    edges = first.union(rest)
     # clusters of sets that candidate pairs connect: whatever is similar is within one
-    node = lambda x: F.col(f"{ids[0]}_{x}").cast("long") if len(ids) == 1 else F.xxhash64(*[f"{c}_{x}" for c in ids])
-    clusters = connected(edges.select(node("a").alias("a"), node("b").alias("b")), scratch)
-    ends = edges.select(node("a").alias("node"), *[F.col(f"{c}_a").alias(c) for c in ids]).union(edges.select(node("b").alias("node"), *[F.col(f"{c}_b").alias(c) for c in ids])).distinct()
+    clusters = connected(between(edges), scratch)
+    ends = edges.select(node("_a").alias("node"), *[F.col(f"{c}_a").alias(c) for c in ids]).union(edges.select(node("_b").alias("node"), *[F.col(f"{c}_b").alias(c) for c in ids])).distinct()
     left = scratch.write(ends.join(clusters, "node").select(*ids, F.col("component").alias("g")))
-    scratch.drop(met, edges)
+    scratch.drop(own, label, found, first, rest)
     sets = fetch(marked(left, ids))
     sizes = left.join(sets.select(*ids, "n"), ids)
     blocks = sizes.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
