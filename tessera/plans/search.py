@@ -80,14 +80,15 @@ def tfidf_char_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coverage_weighted(spark: SparkSession, sf: str) -> DataFrame:
-    """Weighted share of each item's words in the documents that share a rare word with it."""
+    """Weighted share of each item's words in every document that has one of them."""
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     idf = search.document_frequency(docs, "doc_id", _terms())
-    own = items.select("item_id", F.explode(F.array_distinct(_terms())).alias("term")).join(idf, "term", "left").select("item_id", "term", F.coalesce("idf", F.lit(1.0)).alias("w"), F.coalesce("df", F.lit(0)).alias("df"))
+    # a term's items come as one list, so a word of a document is joined once; the sums start before the shuffle
+    lists = own.groupBy("term").agg(F.collect_list(F.struct("item_id", "w")).alias("items"))
+    own = items.select("item_id", F.explode(F.array_distinct(_terms())).alias("term")).join(idf, "term", "left").select("item_id", "term", F.coalesce("idf", F.lit(1.0)).alias("w"))
     total = own.groupBy("item_id").agg(F.sum("w").alias("total"))
     words = docs.select("doc_id", F.explode(F.array_distinct(_terms())).alias("term"))
-    rare = own.where("df between 1 and 5").select("item_id", "term").join(words, "term").select("item_id", "doc_id").distinct()
-    hit = rare.join(words, "doc_id").join(own, ["item_id", "term"]).groupBy("item_id", "doc_id").agg(F.sum("w").alias("found"))
+    hit = words.join(lists, "term").select("doc_id", F.inline("items")).groupBy("item_id", "doc_id").agg(F.sum("w").alias("found"))
     return hit.join(total, "item_id").select("item_id", "doc_id", F.round(F.col("found") / F.col("total"), 6).alias("coverage"))
 
 

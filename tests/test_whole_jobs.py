@@ -1,11 +1,20 @@
 """The whole job: queries against brute force, or against their SQL without the cut that it has."""
 
+import hashlib
+import math
 import os
+import re
+import unicodedata
+from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import plans
+from tessera.functions.similarity import indel_ratio, jaro_winkler, token_set_ratio
+from tessera.functions.text import MULTI, SINGLE
+from tessera.operators import groups, search
 from tests.test_queries import SF, TABLES, plain
 
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
@@ -31,3 +40,20 @@ def same_as_sql(spark, name, *cuts):
 @pytest.mark.parametrize("name", "candidate_features theta_rivals guards sibling_swaps label_twin_cards confidence_summary rerank_windows verdict_metrics false_accept_rollup threshold_grid utility_pick auroc tie_aware_mrr operating_point crop_audit label_rule_grid".split())
 def test_candidates_of_all_orders(spark, name):
     same_as_sql(spark, name, "where l_orderkey % 2 = 0")
+
+
+def saved(spark, folder, **frames):
+    for name, df in frames.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+@tables
+def test_coverage_of_all_documents(spark):
+    same_as_sql(spark, "coverage_weighted", " where df between 1 and 5")
+
+
+def test_coverage_without_rare_words(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "frequent words only") for i in range(9)] + [(9, "something else")], "doc_id long, text string")
+    sf = saved(spark, tmp_path, documents=docs, benchmark=spark.createDataFrame([(1, "frequent words only")], "item_id long, text string"))
+    assert sorted(tuple(r) for r in plans.QUERIES["coverage_weighted"](spark, sf).collect()) == [(1, i, 1.0) for i in range(9)]
