@@ -69,6 +69,65 @@ def vector_topk_blocked(queries: DataFrame, items: DataFrame, k: int, *, query_i
 
 
 def document_frequency(docs: DataFrame, id_col: str, terms: Column, *, smooth: bool = True) -> DataFrame:
+def spanning_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest links (node, smallest node of its class) that join what the links a-b join."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    links = [(x, find(x)) for x in list(root) if find(x) != x]
+    return np.array([x for x, _ in links], np.int64), np.array([y for _, y in links], np.int64)
+
+
+def vector_links(items: DataFrame, least: float, *, item_id: str = "item_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+    """Links (a, b) whose classes are those of all pairs of vectors with a dot product of `least` or more. Blocks are multiplied
+    as in vector_topk_blocked; no pair is left out, and what leaves a batch are spanning links, fewer than its vectors and the block's."""
+    spark = items.sparkSession
+    width = items.select(F.size(vector)).first()
+    if width is None:
+        return spark.createDataFrame([], "a long, b long")
+    rows = max(1, min(block, MATRIX_BYTES // (8 * max(1, width[0]))))
+    numbered = items.select(F.col(item_id).cast("long").alias("i"), F.col(vector).alias("v"))
+    blocks = -(-numbered.count() // rows)
+    found = None
+    for part in range(blocks):
+        own = numbered.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == part).toPandas()  # one block
+        if own.empty:
+            continue
+        sent = spark.sparkContext.broadcast((own["i"].to_numpy(), np.vstack(own["v"].to_numpy()).astype(np.float64)))
+
+        def link(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            ids, matrix = sent.value
+            for batch in batches:
+                if batch.empty:
+                    continue
+                items_, vectors = batch["i"].to_numpy(), np.vstack(batch["v"].to_numpy()).astype(np.float64).T
+                a, b = [], []
+                for at in range(0, len(ids), 256):
+                    some, near = ids[at : at + 256], matrix[at : at + 256] @ vectors >= least
+                    hit, first = near.any(0), near.argmax(0)
+                    x, y = np.nonzero(near)
+                    met = np.zeros((len(some), len(some)), bool)
+                    met[x, first[y]] = True  # an item's first row stands for it, so a row meets rows and not items
+                    x, y = np.nonzero(met)
+                    a += [items_[hit], some[x]]
+                    b += [some[first[hit]], some[y]]
+                x, y = spanning_links(np.concatenate(a), np.concatenate(b))
+                yield pd.DataFrame({"a": x, "b": y})
+
+        near = numbered.mapInPandas(link, "a long, b long")
+        found = near if found is None else found.union(near)
+    return found
+
+
     """Rows (term, df, idf) over all documents. A term counts once for a document."""
     n = docs.select(F.count("*").alias("n"))
     df = docs.select(id_col, F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))

@@ -49,9 +49,7 @@ def nearest_crowding(spark: SparkSession, sf: str) -> DataFrame:
 
 def near_dup_vectors(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings")
-    near = search.vector_topk_blocked(v, v, 8, query_id="vec_id", item_id="vec_id", exclude_self=True)
-    edges = near.where("score >= 0.7").select(F.col("query_id").alias("a"), F.col("item_id").alias("b"))
-    classes = groups.components(edges)
+    classes = groups.components(search.vector_links(v, 0.7, item_id="vec_id"))
     return v.select("vec_id").join(classes, F.col("vec_id") == F.col("node"), "left").select("vec_id", F.coalesce("component", "vec_id").alias("class"))
 
 
@@ -83,10 +81,10 @@ def coverage_weighted(spark: SparkSession, sf: str) -> DataFrame:
     """Weighted share of each item's words in every document that has one of them."""
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     idf = search.document_frequency(docs, "doc_id", _terms())
-    # a term's items come as one list, so a word of a document is joined once; the sums start before the shuffle
-    lists = own.groupBy("term").agg(F.collect_list(F.struct("item_id", "w")).alias("items"))
     own = items.select("item_id", F.explode(F.array_distinct(_terms())).alias("term")).join(idf, "term", "left").select("item_id", "term", F.coalesce("idf", F.lit(1.0)).alias("w"))
     total = own.groupBy("item_id").agg(F.sum("w").alias("total"))
+    # a term's items come as one list, so a word of a document is joined once; the sums start before the shuffle
+    lists = own.groupBy("term").agg(F.collect_list(F.struct("item_id", "w")).alias("items"))
     words = docs.select("doc_id", F.explode(F.array_distinct(_terms())).alias("term"))
     hit = words.join(lists, "term").select("doc_id", F.inline("items")).groupBy("item_id", "doc_id").agg(F.sum("w").alias("found"))
     return hit.join(total, "item_id").select("item_id", "doc_id", F.round(F.col("found") / F.col("total"), 6).alias("coverage"))

@@ -57,3 +57,15 @@ def test_coverage_without_rare_words(spark, tmp_path):
     docs = spark.createDataFrame([(i, "frequent words only") for i in range(9)] + [(9, "something else")], "doc_id long, text string")
     sf = saved(spark, tmp_path, documents=docs, benchmark=spark.createDataFrame([(1, "frequent words only")], "item_id long, text string"))
     assert sorted(tuple(r) for r in plans.QUERIES["coverage_weighted"](spark, sf).collect()) == [(1, i, 1.0) for i in range(9)]
+
+
+def test_one_link_between_large_groups(spark, tmp_path):
+    """Two groups of 12 near copies; both ends of the only link between them have 11 closer partners."""
+    angles = {i: 0.01 * i for i in range(11)} | {11: 20} | {20 + i: 80 + 0.01 * i for i in range(11)} | {31: 60, 40: 200}
+    at = {i: (math.cos(math.radians(x)), math.sin(math.radians(x))) for i, x in angles.items()}
+    assert [(a, b) for a in range(12) for b in range(20, 32) if at[a][0] * at[b][0] + at[a][1] * at[b][1] >= 0.7] == [(11, 31)]
+    v = spark.createDataFrame([(i, list(x)) for i, x in at.items()], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r["class"] for r in plans.QUERIES["near_dup_vectors"](spark, saved(spark, tmp_path, embeddings=v)).collect()}
+    assert got == {i: 40 if i == 40 else 0 for i in at}
+    blocks = search.vector_links(v, 0.7, item_id="vec_id", block=5)
+    assert {r.node: r.component for r in groups.components(blocks).collect()} == {i: 0 for i in at if i != 40}
