@@ -69,3 +69,13 @@ def test_one_link_between_large_groups(spark, tmp_path):
     assert got == {i: 40 if i == 40 else 0 for i in at}
     blocks = search.vector_links(v, 0.7, item_id="vec_id", block=5)
     assert {r.node: r.component for r in groups.components(blocks).collect()} == {i: 0 for i in at if i != 40}
+
+
+@tables
+def test_classes_of_all_orders(spark):
+    same_as_sql(spark, "equivalence_classes", " where o_orderkey % 7 = 0")
+
+
+@tables
+def test_files_of_all_line_items(spark):
+    same_as_sql(spark, "catalog_match_cascade", " where l_linenumber <= 2 and l_suppkey % 3 = 0")
