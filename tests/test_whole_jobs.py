@@ -79,3 +79,19 @@ def test_classes_of_all_orders(spark):
 @tables
 def test_files_of_all_line_items(spark):
     same_as_sql(spark, "catalog_match_cascade", " where l_linenumber <= 2 and l_suppkey % 3 = 0")
+
+
+def parts(spark, folder):
+    """120 parts with keys on both sides of 400."""
+    names = ["old plate", "cold plate", "blue ring", "hot bolt", "large ring", "large bolt", "blue gear"]
+    rows = [(k, names[k * k % 7], f"B{k % 4}", f"T{k % 3}", k * 7 % 50) for k in range(340, 460)]
+    return saved(spark, folder, part=spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int")), rows
+
+
+def test_pairs_of_all_parts(spark, tmp_path):
+    sf, rows = parts(spark, tmp_path)
+    pairs = {(a[0], b[0]): (a[1], b[1]) for a in rows for b in rows if a[3] == b[3] and a[0] < b[0]}
+    for name, values in (("token_set_pairs", lambda x, y: (token_set_ratio(x, y), indel_ratio(x, y))), ("jaro_winkler_pairs", lambda x, y: (jaro_winkler(x, y),))):
+        got = {(r.a, r.b): tuple(r)[2:] for r in plans.QUERIES[name](spark, sf).collect()}
+        assert got == {k: pytest.approx(values(*v), abs=1e-6) for k, v in pairs.items()}
+    assert {(r.a, r.b) for r in plans.QUERIES["levenshtein_pairs"](spark, sf).collect()} == set(pairs)
