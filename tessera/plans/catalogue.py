@@ -79,9 +79,9 @@ def vintage_resolve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def analogues(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").where("p_partkey % 2 = 0")
-    items = p.select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("maker"), F.col("p_type").alias("category"), (F.col("p_size") % 7).cast("string").alias("region"), F.array_distinct(F.split("p_name", " ")).alias("grapes"), F.when(F.col("p_size") % 3 > 0, F.col("p_size") % 3).alias("color"), F.when(F.col("p_size") % 5 > 0, F.col("p_size") % 2).alias("sweetness"))
-    return recommend.analogues(items, 5).select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+    p = table(spark, sf, "part")
+    items = p.select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("maker"), F.col("p_type").alias("category"), (F.col("p_size") % 7).cast("string").alias("region"), F.array_distinct(F.split("p_name", " ")).alias("grapes"), F.when(F.col("p_size") % 3 > 0, F.col("p_size") % 3).alias("color"), F.when(F.col("p_size") % 5 > 0, F.col("p_size") % 2).alias("sweetness"), F.col("p_name").alias("description"))
+    return recommend.analogues(items, 5, descriptions=F.split(F.lower("description"), " ")).select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
 def fuzzy_best_match(spark: SparkSession, sf: str) -> DataFrame:

@@ -95,3 +95,25 @@ def test_pairs_of_all_parts(spark, tmp_path):
         got = {(r.a, r.b): tuple(r)[2:] for r in plans.QUERIES[name](spark, sf).collect()}
         assert got == {k: pytest.approx(values(*v), abs=1e-6) for k, v in pairs.items()}
     assert {(r.a, r.b) for r in plans.QUERIES["levenshtein_pairs"](spark, sf).collect()} == set(pairs)
+
+
+def test_analogues_of_all_parts(spark, tmp_path):
+    sf, rows = parts(spark, tmp_path)
+    df = Counter(w for r in rows for w in r[1].split())
+    idf = {w: math.log((len(rows) + 1) / (n + 1)) + 1 for w, n in df.items() if 2 <= n <= len(rows) / 2}
+
+    def cosine(x, y):
+        x, y = ({w: idf[w] for w in s.split() if w in idf} for s in (x, y))
+        length = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        return sum(v * y.get(w, 0) for w, v in x.items()) / length if length else 0
+
+    def score(a, b):
+        axes = [1.0 if x == y else 0.5 if None in (x, y) else 0.0 for x, y in zip(*((s % 3 or None, s % 2 if s % 5 else None) for s in (a[4], b[4])), strict=True) if (x, y) != (None, None)]
+        g, h = set(a[1].split()), set(b[1].split())
+        return round(0.4 * len(g & h) / len(g | h) + 0.15 * (a[4] % 7 == b[4] % 7) + 0.2 * (sum(axes) / len(axes) if axes else 0.5) + 0.25 * cosine(a[1], b[1]), 9)
+
+    want = {}
+    for a in rows:
+        best = sorted((-score(a, b), b[0]) for b in rows if a[3] == b[3] and a[2] != b[2])[:5]
+        want |= {(a[0], k): (i, pytest.approx(-s, abs=2e-6)) for k, (s, i) in enumerate(best) if s < 0}
+    assert {(r.query_id, r["rank"]): (r.item_id, r.score) for r in plans.QUERIES["analogues"](spark, sf).collect()} == want
