@@ -117,3 +117,19 @@ def test_analogues_of_all_parts(spark, tmp_path):
         best = sorted((-score(a, b), b[0]) for b in rows if a[3] == b[3] and a[2] != b[2])[:5]
         want |= {(a[0], k): (i, pytest.approx(-s, abs=2e-6)) for k, (s, i) in enumerate(best) if s < 0}
     assert {(r.query_id, r["rank"]): (r.item_id, r.score) for r in plans.QUERIES["analogues"](spark, sf).collect()} == want
+
+
+def test_whole_text_normalized(spark, tmp_path):
+    texts = ["Straße, Ê Í Ó", "well-known [brackets] §5", "Щука жёлтая «Ёлка»", "a/b_c\td"]
+    sf = saved(spark, tmp_path, documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = ["straße e i o", "well known brackets 5", "shchuka zheltaya elka", "a b_c d"]
+    assert [normalized(t) for t in texts] == want
+    assert [r[1] for r in plans.QUERIES["text_normalize"](spark, sf).orderBy("doc_id").collect()] == [hashlib.md5(t.encode()).hexdigest() for t in want]
+
+
+def normalized(t):
+    """normalize in plain Python."""
+    t = "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c))
+    single = dict(zip(SINGLE[0], SINGLE[1].ljust(len(SINGLE[0]), "\0"), strict=True))
+    t = "".join(MULTI.get(c, single.get(c, c)) for c in t).replace("\0", "")
+    return " ".join(re.sub(r"[^\w\s]", " ", t).split())
