@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.linalg import dot
+from tessera.functions.similarity import indel_ratio
 from tessera.functions.text import char_ngrams
 
 #: Vectors of the smaller side that are sent to each executor as one matrix, in bytes.
@@ -68,7 +69,6 @@ def vector_topk_blocked(queries: DataFrame, items: DataFrame, k: int, *, query_i
     return top_k(found, ["query_id"], "score", k, "item_id")
 
 
-def document_frequency(docs: DataFrame, id_col: str, terms: Column, *, smooth: bool = True) -> DataFrame:
 def spanning_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fewest links (node, smallest node of its class) that join what the links a-b join."""
     root: dict[int, int] = {}
@@ -128,6 +128,7 @@ def vector_links(items: DataFrame, least: float, *, item_id: str = "item_id", ve
     return found
 
 
+def document_frequency(docs: DataFrame, id_col: str, terms: Column, *, smooth: bool = True) -> DataFrame:
     """Rows (term, df, idf) over all documents. A term counts once for a document."""
     n = docs.select(F.count("*").alias("n"))
     df = docs.select(id_col, F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -182,15 +183,33 @@ def max_normalized(hits: DataFrame, by: str = "query_id", score: str = "score")
     return hits.withColumn(score, F.when(best > 0, F.col(score) / best).otherwise(F.col(score)))
 
 
-def coverage(asked: Column, own: Column, weights: Column | None = None, ratio: Column | None = None) -> Column:
-    """Weighted share of own words among the asked ones; 0 if a side is empty. Long words may differ by one edit."""
+def _token_hits(ratio: float) -> Callable[[Column, Column], Column]:
+    @F.pandas_udf("array<string>")
+    def hits(asked: pd.Series, own: pd.Series) -> pd.Series:
+        def hit(w: str, words: set[str], by_length: dict[int, list[str]]) -> bool:
+            if w in words:
+                return True
+            return len(w) > 3 and not w.isdigit() and any(indel_ratio(a, w) >= ratio for n in (-1, 0, 1) for a in by_length.get(len(w) + n, ()))
+
+        def row(q, o):
+            if q is None or o is None:
+                return None
+            words, by_length = {a for a in q if a is not None}, {}
+            for a in words:
+                by_length.setdefault(len(a), []).append(a)
+            return [w for w in o if w is not None and hit(w, words, by_length)]
+
+        return pd.Series([row(q, o) for q, o in zip(asked, own, strict=True)], dtype="object")
+
+    return hits
+
+
+def coverage(asked: Column, own: Column, weights: Column | None = None, ratio: float = 80.0) -> Column:
+    """Weighted share of own words among the asked ones; 0 if a side is empty. Words of four letters and more that are no numbers
+    may differ, if their indel ratio is `ratio` at least and their lengths differ by one at most."""
     weigh = (lambda w: F.coalesce(F.try_element_at(weights, w), F.lit(1.0))) if weights is not None else (lambda w: F.lit(1.0))
-    exact = lambda w: F.array_contains(asked, w)
-    # indel ratio of 80 at lengths that differ by one at most: below five letters only an equal word reaches it
-    near = lambda w: F.exists(asked, lambda a: (F.abs(F.length(a) - F.length(w)) <= 1) & (F.length(w) >= 5) & (F.levenshtein(a, w) <= 1))
-    hit = lambda w: exact(w) | ((F.length(w) > 3) & ~w.rlike(r"^\d+$") & near(w))
     total = F.aggregate(own, F.lit(0.0), lambda s, w: s + weigh(w))
-    found = F.aggregate(F.filter(own, hit), F.lit(0.0), lambda s, w: s + weigh(w))
+    found = F.aggregate(_token_hits(ratio)(asked, own), F.lit(0.0), lambda s, w: s + weigh(w))
     return F.when(total > 0, found / total).otherwise(0.0)
 
 

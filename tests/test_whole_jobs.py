@@ -133,3 +133,10 @@ def normalized(t):
     single = dict(zip(SINGLE[0], SINGLE[1].ljust(len(SINGLE[0]), "\0"), strict=True))
     t = "".join(MULTI.get(c, single.get(c, c)) for c in t).replace("\0", "")
     return " ".join(re.sub(r"[^\w\s]", " ", t).split())
+
+
+def test_coverage_by_indel_ratio(spark):
+    rows = [(["port"], ["porto"]), (["merlo"], ["merol"]), (["chardonnay"], ["chordonney"]), (["abcd"], ["abef"]), (["2024"], ["2023"]), (["abc"], ["abd"]), (["muskat"], ["muskatel"])]
+    r = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, asked array<string>, own array<string>")
+    assert [x[0] for x in r.orderBy("i").select(search.coverage(F.col("asked"), F.col("own"))).collect()] == [1.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0]
+    assert [x[0] for x in r.orderBy("i").select(search.coverage(F.col("asked"), F.col("own"), ratio=90.0)).collect()] == [0.0] * 7
