@@ -10,6 +10,8 @@ from tessera.plans._tables import table
 
 #: Queries by vectors and by texts: every row whose id is divisible by 20, against all rows.
 EVERY = 20
+#: Characters of the items' texts up to which their words are sent to each executor.
+SENT_CHARS = 8 << 20
 
 
 def _queries(df: DataFrame, key: str) -> DataFrame:
@@ -83,8 +85,11 @@ def coverage_weighted(spark: SparkSession, sf: str) -> DataFrame:
     idf = search.document_frequency(docs, "doc_id", _terms())
     own = items.select("item_id", F.explode(F.array_distinct(_terms())).alias("term")).join(idf, "term", "left").select("item_id", "term", F.coalesce("idf", F.lit(1.0)).alias("w"))
     total = own.groupBy("item_id").agg(F.sum("w").alias("total"))
-    # a term's items come as one list, so a word of a document is joined once; the sums start before the shuffle
+    # a term's items come as one list, so a word of a document is joined once; if the items' texts are small, the lists are
+    # sent, so that no word is shuffled and a document's sums are made where it is read
     lists = own.groupBy("term").agg(F.collect_list(F.struct("item_id", "w")).alias("items"))
+    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= SENT_CHARS:
+        lists = F.broadcast(lists)
     words = docs.select("doc_id", F.explode(F.array_distinct(_terms())).alias("term"))
     hit = words.join(lists, "term").select("doc_id", F.inline("items")).groupBy("item_id", "doc_id").agg(F.sum("w").alias("found"))
     return hit.join(total, "item_id").select("item_id", "doc_id", F.round(F.col("found") / F.col("total"), 6).alias("coverage"))
