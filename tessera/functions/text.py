@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Cyrillic letters and their usual Latin spelling. The second string holds those with one letter or none.
 MULTI = {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "yu", "я": "ya"}
-SINGLE = ("абвгдеёзийклмнопрстуфыэъь", "abvgdeezii" + "klmnoprstufye")
+SINGLE = ("абвгдеёзийклмнопрстуфыэъь", "abvgdeeziiklmnoprstufye")
 # Latin letters that look like Cyrillic ones.
 HOMOGLYPHS = ("abcehkmoptxy", "авсенкмортху")
 # Digits that readers put for letters, in Cyrillic and in Latin words.

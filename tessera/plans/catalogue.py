@@ -144,16 +144,16 @@ QUERIES = {f.__name__: f for f in (catalog_match_cascade, preferred_match, catal
 
 _CARDS = "cards as materialized (select 'p' || lpad(p_partkey::varchar, 7, '0') slug, string_split(p_name, ' ')[1] word, p_brand, p_type, case when p_partkey % 3 > 0 then 2000 + p_size % 25 end as year from part), g as materialized (select word, p_brand, p_type, min(slug) grp, string_agg(distinct year::varchar, ',' order by year::varchar) yrs from cards group by 1, 2, 3 having count(*) > 1 and count(year) > 0)"
 SQL = {
-    "catalog_match_cascade": "with f as (select l_partkey, l_suppkey || '/' || l_orderkey path, l_returnflag m from lineitem where l_linenumber <= 2 and l_suppkey % 3 = 0), g as (select l_partkey, count(*) files, count(distinct m) kinds, min(path) path from f group by 1) select p_partkey, coalesce(files, 0) files, case when files is null then 'missing' when files = 1 then 'exact' when kinds = 1 then 'bytes' else 'ambiguous' end as match, case when files = 1 or kinds = 1 then path end as path from part left join g on p_partkey = l_partkey",
+    "catalog_match_cascade": "with f as (select l_partkey, l_suppkey || '/' || l_orderkey path, l_returnflag m from lineitem), g as (select l_partkey, count(*) files, count(distinct m) kinds, min(path) path from f group by 1) select p_partkey, coalesce(files, 0) files, case when files is null then 'missing' when files = 1 then 'exact' when kinds = 1 then 'bytes' else 'ambiguous' end as match, case when files = 1 or kinds = 1 then path end as path from part left join g on p_partkey = l_partkey",
     "preferred_match": "select c_custkey, coalesce(a.n_name, b.n_name) as name from customer left join supplier on s_suppkey = c_custkey left join nation a on a.n_nationkey = s_nationkey left join nation b on b.n_nationkey = c_nationkey",
     "catalog_changes": "select o_orderkey, 'added' change from orders where o_orderkey % 2 <> 0 union all select o_orderkey, 'changed' from orders where o_orderkey % 10 = 0 and o_orderstatus <> 'X'",
     "one_to_one_join": "select o_orderkey, o_totalprice, l_partkey from orders join (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) r from lineitem) on l_orderkey = o_orderkey and r = 1",
     "duplicate_flags": "select doc_id, md5(text) md5, count(*) over (partition by md5(text)) > 1 duplicate from documents",
-    "equivalence_classes": "with recursive li as (select distinct o_custkey, l_partkey, date_trunc('month', o_orderdate) m from orders join lineitem on l_orderkey = o_orderkey where o_orderkey % 7 = 0), e as (select distinct h.a, o_custkey b from li join (select l_partkey, m, min(o_custkey) a from li group by 1, 2) h using (l_partkey, m) where o_custkey <> a), u as materialized (select a, b from e union select b, a from e), c(node, root) as (select distinct a, a from u union select u.b, c.root from c join u on c.node = u.a) select node o_custkey, min(root) as class from c group by 1",
+    "equivalence_classes": "with recursive li as (select distinct o_custkey, l_partkey, date_trunc('month', o_orderdate) m from orders join lineitem on l_orderkey = o_orderkey), e as (select distinct h.a, o_custkey b from li join (select l_partkey, m, min(o_custkey) a from li group by 1, 2) h using (l_partkey, m) where o_custkey <> a), u as materialized (select a, b from e union select b, a from e), c(node, root) as (select distinct a, a from u union select u.b, c.root from c join u on c.node = u.a) select node o_custkey, min(root) as class from c group by 1",
     "vintage_groups": f"with {_CARDS} select slug, grp as class, yrs as years from cards join g using (word, p_brand, p_type)",
     "vintage_pick": f"with {_CARDS}, m as (select word, p_brand, p_type, min(slug) pick from cards join g using (word, p_brand, p_type) where year = 2010 group by 1, 2, 3) select slug, case when year = 2010 then slug else coalesce(pick, slug) end picked from cards left join m using (word, p_brand, p_type)",
     "vintage_resolve": "with c as (select 'p' || lpad(p_partkey::varchar, 7, '0') slug, case when p_partkey % 3 > 0 then (2000 + p_size % 25)::int end own, case when p_partkey % 10 <> 0 then 2010 end asked from part) select slug, (case when own is not null and asked is not null and asked <> own then asked when own is not null then own else asked end)::int as year, case when own is not null and (asked is null or asked = own) then 'catalog' when asked is not null then 'text' else '' end as source, own is not null and asked is not null and asked <> own ask, case when asked is null then 0 when own = asked then 1 else -1 end as axis from c",
-    "analogues": "with i as (select p_partkey id, p_brand maker, p_type cat, (p_size % 7)::varchar region, list_distinct(string_split(p_name, ' ')) g, nullif(p_size % 3, 0) color, case when p_size % 5 > 0 then p_size % 2 end sweet from part where p_partkey % 2 = 0), s as (select a.id query_id, b.id item_id, 0.4::double * len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) + 0.15::double * (a.region = b.region)::int + 0.2::double * coalesce(list_avg(list_filter([case when a.color is null and b.color is null then null when a.color is null or b.color is null then 0.5 when a.color = b.color then 1 else 0 end::double, case when a.sweet is null and b.sweet is null then null when a.sweet is null or b.sweet is null then 0.5 when a.sweet = b.sweet then 1 else 0 end::double], lambda x: x is not null)), 0.5) score from i a join i b on a.cat = b.cat and a.maker <> b.maker and a.id <> b.id) select query_id, item_id, round(score, 6) score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, item_id) - 1 as rank from s where score > 0) where rank < 5",
+    "analogues": "with i as (select p_partkey id, p_brand maker, p_type cat, (p_size % 7)::varchar region, list_distinct(string_split(p_name, ' ')) g, nullif(p_size % 3, 0) color, case when p_size % 5 > 0 then p_size % 2 end sweet from part), tf as (select id, term, count(*) tf from (select p_partkey id, unnest(string_split(lower(p_name), ' ')) term from part) group by 1, 2), df as (select term, ln(((select count(*) from part) + 1)::double / (count(*) + 1)) + 1 idf from tf group by 1 having count(*) >= 2 and count(*) <= 0.5 * (select count(*) from part)), rw as (select id, term, (1 + ln(tf)) * idf w from tf join df using (term)), u as materialized (select id, term, w / sqrt(sum(w * w) over (partition by id)) w from rw), near as materialized (select a.id x, b.id y, sum(a.w * b.w) c from u a join u b on a.term = b.term and a.id <> b.id group by 1, 2), s as (select a.id query_id, b.id item_id, round(0.4::double * len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) + 0.15::double * (a.region = b.region)::int + 0.2::double * coalesce(list_avg(list_filter([case when a.color is null and b.color is null then null when a.color is null or b.color is null then 0.5 when a.color = b.color then 1 else 0 end::double, case when a.sweet is null and b.sweet is null then null when a.sweet is null or b.sweet is null then 0.5 when a.sweet = b.sweet then 1 else 0 end::double], lambda x: x is not null)), 0.5) + 0.25::double * coalesce(c, 0), 9) score from i a join i b on a.cat = b.cat and a.maker <> b.maker and a.id <> b.id left join near on x = a.id and y = b.id) select query_id, item_id, round(score, 6) score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, item_id) - 1 as rank from s where score > 0) where rank < 5",
     "star_join": "select r_name, c_mktsegment, round(sum(l_extendedprice * (1 - l_discount)), 2) revenue, count(*) n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where l_returnflag <> 'R' group by 1, 2",
     "set_operations": "with a as (select distinct l_partkey from lineitem where l_quantity > 45), b as (select distinct l_partkey from lineitem where l_discount > 0.08) select l_partkey, case when x and y then 'both' when x then 'large only' else 'cheap only' end as set from (select coalesce(a.l_partkey, b.l_partkey) l_partkey, a.l_partkey is not null x, b.l_partkey is not null y from a full join b using (l_partkey))",
     "merged_rows": "with n as (select o_orderkey, round(o_totalprice * case when o_orderkey % 8 = 0 then 1.1::double else 0.9::double end, 2) p from orders where o_orderkey % 4 = 0) select o_orderkey, case when p > o_totalprice then p else o_totalprice end o_totalprice, case when p > o_totalprice then 'N' else o_orderstatus end o_orderstatus from orders left join n using (o_orderkey)",

@@ -54,7 +54,7 @@ _C = f"""c as materialized (select l_orderkey query_id, row_number() over (parti
   {_pick(97)} / 97.0::double vis_score, case when {_pick(5)} = 0 then 999 else {_pick(50)} end vis_rank, {_pick(89, 5)} / 89.0::double txt_score, case when {_pick(4)} = 0 then 999 else {_pick(40, 3)} end txt_rank,
   {_pick(60, 1)} rrf_rank, {_pick(300)} inliers, {_pick(10)} / 10.0::double inlier_ratio, ({_pick(3)} > 0)::int homography_ok, {_pick(8)} / 8.0::double gq, {_pick(6)} / 6.0::double gc, {_pick(4)} / 4.0::double ge,
   {_pick(6, 2)} ocr_lines, {_pick(4, 1)} disc_n, {_pick(3, 1)} / 2.0::double disc_hit, {_pick(5, 2)} / 4.0::double name_cover, {_pick(2)} winery_hit, {_pick(3, 1)} - 1 color_match, {_pick(3, 2)} - 1 style_match, {_pick(7)} % 3 - 1 grape_match,
-  case when l_suppkey % 10 = 0 then '' else (l_suppkey % 10 % 3)::varchar end as family from lineitem where l_orderkey % 2 = 0)"""
+  case when l_suppkey % 10 = 0 then '' else (l_suppkey % 10 % 3)::varchar end as family from lineitem)"""
 
 
 def candidate_features(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,6 +12,8 @@ from tessera.plans._tables import table
 EVERY = 20
 #: Characters of the items' texts up to which their words are sent to each executor.
 SENT_CHARS = 8 << 20
+#: Cosine from which two vectors are linked: low enough for the given tables, whose vectors are random, to have links.
+NEAR = 0.4
 
 
 def _queries(df: DataFrame, key: str) -> DataFrame:
@@ -51,7 +53,7 @@ def nearest_crowding(spark: SparkSession, sf: str) -> DataFrame:
 
 def near_dup_vectors(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings")
-    classes = groups.components(search.vector_links(v, 0.7, item_id="vec_id"))
+    classes = groups.components(search.vector_links(v, NEAR, item_id="vec_id"))
     return v.select("vec_id").join(classes, F.col("vec_id") == F.col("node"), "left").select("vec_id", F.coalesce("component", "vec_id").alias("class"))
 
 
@@ -147,10 +149,10 @@ SQL = {
     "vector_topk_blocked": f"with {_Q} select query_id, item_id, round(score, 6) score, rank::int as rank from r where rank < 10",
     "vector_recall_mrr": f"with {_Q}, f as (select query_id, ql as label, min(case when ql = il then rank end) k from r where rank < 100 group by 1, 2) select label, count(*) n, " + ", ".join(f"round(avg(case when k < {c} then 1.0 else 0.0 end), 6) recall_{c}" for c in (1, 5, 10, 25, 50)) + ", round(avg(coalesce(1.0::double / (k + 1), 0)), 6) mrr from f group by label",
     "nearest_crowding": f"with {_VEC.format(where='true')} select round(avg(case when score > 0.5 then 1.0 else 0.0 end), 6) crowded, round(median(score), 6) median from r where rank = 0",
-    "near_dup_vectors": f"with recursive {_VEC.format(where='true')}, e as materialized (select query_id a, item_id b from r where rank < 8 and score >= 0.7), u as materialized (select a, b from e union select b, a from e), c(node, root) as (select distinct a, a from u union select u.b, c.root from c join u on c.node = u.a) select vec_id, coalesce(m, vec_id) as class from v left join (select node, min(root) m from c group by 1) x on vec_id = node",
+    "near_dup_vectors": f"with recursive {_VEC.format(where='true')}, e as materialized (select query_id a, item_id b from s where score >= {NEAR}), u as materialized (select a, b from e union select b, a from e), c(node, root) as (select distinct a, a from u union select u.b, c.root from c join u on c.node = u.a) select vec_id, coalesce(m, vec_id) as class from v left join (select node, min(root) m from c group by 1) x on vec_id = node",
     "bm25_topk": f"with d as materialized (select doc_id, {_TERMS} t, len({_TERMS}) n from documents), tf as materialized (select doc_id, n, term, count(*) tf from (select doc_id, n, unnest(t) term from d) group by 1, 2, 3), df as (select term, count(*) df from tf group by 1), raw as (select term, ln(((select count(*) from d) - df + 0.5)::double / (df + 0.5)::double) r from df), idf as (select term, case when r < 0 then 0.25::double * (select avg(r) from raw) else r end idf from raw), q as (select item_id, term, count(*) qf from (select item_id, unnest({_TERMS}) term from benchmark) group by 1, 2), s as (select item_id query_id, doc_id item_id, round(sum(qf * idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * n / (select avg(n) from d)))), 9) score from q join idf using (term) join tf using (term) group by 1, 2) select query_id, item_id, round(score, 6) score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, item_id) - 1 as rank from s) where rank < 10",
     "tfidf_char_topk": f"with words as materialized (select id, ' ' || w || ' ' w from (select p_partkey id, unnest(string_split_regex(trim(lower(p_name)), '\\s+')) w from part) where w <> ''), g as ({_G}), tf as (select id, term, count(*) tf from g group by 1, 2), df as (select term, ln(((select count(*) from part) + 1)::double / (count(*) + 1)) + 1 idf from tf group by 1), raw as (select id, term, (1 + ln(tf)) * idf w from tf join df using (term)), n as (select id, sqrt(sum(w * w)) l from raw group by 1), u as materialized (select id, term, w / l w from raw join n using (id)), s as (select a.id query_id, b.id item_id, round(sum(a.w * b.w), 9) score from u a join u b using (term) where a.id % 20 = 0 group by 1, 2) select query_id, item_id, round(score, 6) score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, item_id) - 1 as rank from s) where rank < 5",
-    "coverage_weighted": f"with w as materialized (select distinct doc_id, unnest({_TERMS}) term from documents), df as (select term, count(*) df, ln(((select count(*) from documents) + 1)::double / (count(*) + 1)) + 1 idf from w group by 1), own as materialized (select item_id, term, coalesce(idf, 1.0) wt, coalesce(df, 0) df from (select distinct item_id, unnest({_TERMS}) term from benchmark) left join df using (term)), t as (select item_id, sum(wt) total from own group by 1), rare as (select distinct item_id, doc_id from own join w using (term) where df between 1 and 5) select rare.item_id, rare.doc_id, round(sum(wt) / any_value(total), 6) coverage from rare join w using (doc_id) join own on own.item_id = rare.item_id and own.term = w.term join t on t.item_id = rare.item_id group by 1, 2",
+    "coverage_weighted": f"with w as materialized (select distinct doc_id, unnest({_TERMS}) term from documents), df as (select term, count(*) df, ln(((select count(*) from documents) + 1)::double / (count(*) + 1)) + 1 idf from w group by 1), own as materialized (select item_id, term, coalesce(idf, 1.0) wt from (select distinct item_id, unnest({_TERMS}) term from benchmark) left join df using (term)), t as (select item_id, sum(wt) total from own group by 1), rare as (select distinct item_id, doc_id from own join w using (term)) select rare.item_id, rare.doc_id, round(sum(wt) / any_value(total), 6) coverage from rare join w using (doc_id) join own on own.item_id = rare.item_id and own.term = w.term join t on t.item_id = rare.item_id group by 1, 2",
     "rrf_fusion": f"with {_RANKED} select query_id, item_id, round(sum(1.0::double / (60 + rank + 1)), 9) score from rk group by 1, 2",
     "fuse_max": f"with {_RANKED} select query_id, item_id, greatest(max(score), -1.0) score from rk group by 1, 2",
     "fuse_mean": f"with {_RANKED}, n as (select query_id, count(distinct list) n from rk group by 1) select query_id, item_id, round(sum(score) / any_value(n), 6) score from rk join n using (query_id) group by 1, 2",

