@@ -55,8 +55,12 @@ class Rarity:
         return np.where(level > 0, np.exp2(level / 4), 0.0)
 
 
-def rarity(df: DataFrame, columns: list[str], tokens: Callable[[list], Iterator[np.ndarray]], bits: int = BUCKET_BITS) -> Rarity:
-    """Counts all tokens of all rows into 2**bits hash buckets; tokens() yields the token arrays of a batch."""
+def rarity(df: DataFrame, columns: list[str], tokens: Callable[[list], Iterator[np.ndarray]], bits: int = BUCKET_BITS, floor: bool = True) -> Rarity:
+    """Counts all tokens of all rows into 2**bits hash buckets; tokens() yields the token arrays of a batch.
+
+    floor: counts that don't stand out from the mean of a bucket become level 0, as most tokens are rare ones that share
+    buckets. Without it, level 0 says that a token occurs once at most.
+    """
     buckets, kind = 1 << bits, np.uint32
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,22 +86,33 @@ def rarity(df: DataFrame, columns: list[str], tokens: Callable[[list], Iterator[
     for r in df.select(*columns).mapInArrow(count, "slice int, n binary").repartition("slice").mapInArrow(add, "slice int, n long, level binary").toLocalIterator():
         level[r.slice * _SLICE : (r.slice + 1) * _SLICE] = np.frombuffer(r.level, np.uint8)  # 2**bits bytes in all
         n += r.n
-    level[level <= 4 * np.log2(max(1.0, 2 * n / buckets))] = 0
+    if floor:
+        level[level <= 4 * np.log2(max(1.0, 2 * n / buckets))] = 0
     return Rarity(level, bits)
 
 
 def ordered_sets(tokens: np.ndarray, group: np.ndarray, n_groups: int, rare: Rarity) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens of each group, ordered by (level, hash), one group after another, and the groups' offsets."""
-    order = np.argsort(tokens)
-    tokens, group = tokens[order], group[order]
-    key = (group.astype(np.int64) << 8) | rare.of(tokens)
-    order = np.argsort(key, kind="stable")
+    level = rare.of(tokens)
+    bits = n_groups.bit_length()
+    keep = 56 - bits
+    if keep >= 24:  # one number of group, level and the upper bits of the hash; sorting numbers is fast
+        key = group.astype(np.uint64) << np.uint64(64 - bits) if bits else np.zeros(len(group), np.uint64)
+        key |= level.astype(np.uint64) << np.uint64(keep)
+        key |= tokens >> np.uint64(64 - keep)
+        order = np.argsort(key)
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        sorted_ = tokens[order]
+        if not (~new[1:] & (sorted_[1:] != sorted_[:-1])).any():
+            tokens, group = sorted_[new], group[order][new]
+            return tokens, np.concatenate(([0], np.cumsum(np.bincount(group, minlength=n_groups))))
+    order = np.lexsort((tokens, level, group))
     tokens, group = tokens[order], group[order]
-    if len(tokens):
-        new = np.empty(len(tokens), bool)
-        new[0] = True
-        new[1:] = (tokens[1:] != tokens[:-1]) | (group[1:] != group[:-1])
-        tokens, group = tokens[new], group[new]
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (group[1:] != group[:-1])
+    tokens, group = tokens[new], group[new]
     return tokens, np.concatenate(([0], np.cumsum(np.bincount(group, minlength=n_groups))))
 
 

@@ -1,15 +1,21 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is its set of words. Words are ordered by rarity over all lines; two lines whose Jaccard similarity reaches the
-threshold share a word within their prefixes (prefix filter), their sizes are in proportion (length filter), and the words
-that they share up to the end of the prefixes leave enough room for the overlap (positional filter). What passes is verified on the whole sets. Lines with equal sets are one set from the start, so a line that a third of all
-documents hold is one row after a partial aggregation. A set is known by a 64-bit hash, a 64-bit parity bitmap and its
-size; the bitmap also bounds the difference of two sets, which rules most pairs out where they first meet. Every line that has a similar earlier one (smaller document id, or
-the same document further up) is a later match and goes; lines are judged on the input, not on what is left.
+threshold share a word within their prefixes (prefix filter), their sizes are in proportion (length filter), and the place of
+the shared word in both leaves enough words for the overlap (positional filter). A parity bitmap of each set bounds in how
+many words two differ, which rules out nearly all other pairs. What passes is verified on the whole sets. Every line that has
+a similar earlier one (smaller document id, or the same document further up) is a later match and goes; lines are judged on
+the input, not on what is left.
+
+Lines with equal sets are one set, known by its size and 192 bits of its words; all but the earliest go at once. For a removal
+one earlier partner is enough, so at each prefix word a set asks to be verified with the earlier set that looks closest, and
+pairs of a large group are never rows. Only sets that no such partner verifies, and that had more partners to choose from,
+are then compared with all of them (in blocks). Words that occur once are in no posting. A word with more postings than
+BLOCK_SETS is cut into blocks, of which each two meet in one job.
 
 Defined results: lines are separated by \\n; lines without words are never matched nor removed. Null and empty texts
 have no lines. Rows with equal ids are one document, whose lines match across the rows by number. Rows with a null id are
-returned without removals.
+returned without removals. Ids are cast to long; one that is no number fails under ANSI rules and counts as null without.
 """
 
 from __future__ import annotations
@@ -22,11 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _setjoin
-from tessera.llm._common import Scratch, small_batches
+from tessera.llm._common import Scratch, packs, small_batches
 from tessera.llm._words import gathered, hashes_and_starts, signed
 
-#: Keys of lines that a task remembers so as not to send the same prefix twice.
+#: Keys of lines that a task remembers so as not to send equal ones twice.
 SEEN = 200_000
+#: Sets of a block at a word: larger groups are cut up.
+BLOCK_SETS = 2048
+#: Rows of the broadcast table of words that are cut into blocks; with more, it is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow table that sift() works on, at least.
+_PACK = 1 << 14
 
 
 def lines_of(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -41,6 +53,73 @@ def lines_of(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
         yield first + text, number, hashes, line
 
 
+def bitmaps(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words of 64 parities for each set: the bits in which two sets differ are at most the tokens in which they do."""
+    bit = np.uint64(1) << (tokens & np.uint64(63))
+    upper = (tokens >> np.uint64(6) & np.uint64(1)).astype(bool)
+    some = np.flatnonzero(np.diff(offsets))
+    out = np.zeros((2, len(offsets) - 1), np.uint64)
+    if len(some):
+        for i, own in enumerate((~upper, upper)):
+            out[i, some] = np.bitwise_xor.reduceat(np.where(own, bit, np.uint64(0)), offsets[some])
+    return out[0], out[1]
+
+
+def _nearest(pack: pa.Table, percent: int, every: bool) -> pa.RecordBatch | None:
+    """Pairs (later set, earlier set) of a pack of whole groups: of each later set at a word the one that looks closest, and
+    whether there are more (every: all that pass, of the sets that ask)."""
+    g, d, l, b0, b1 = (pack.column(c).to_numpy() for c in ("g", "d", "l", "b0", "b1"))
+    side, own, asks = (pack.column(c).to_numpy() for c in ("side", "own", "asks"))
+    b0, b1 = b0.view(np.uint64), b1.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
+    n, pos = pack.column("np").to_numpy() >> 32, pack.column("np").to_numpy() & 0xFFFFFFFF
+    count = len(g)
+    rank = np.empty(count, np.int64)
+    rank[np.lexsort((l, d))] = np.arange(count)
+    best, partner, passed = np.full(count, np.iinfo(np.int64).max), np.full(count, -1), np.zeros(count, np.int64)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    live, step = np.arange(count), 1
+    while len(live):
+        live = live[live + step < count]
+        live = live[(g[live] == g[live + step]) & (n[live] * 100 >= n[live + step] * percent)]  # sorted by n within g
+        a, b = live, live + step
+        both = n[a] + n[b]
+        least = -(-both * percent // (100 + percent))
+        ok = np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least
+        ok &= (own[a] | (side[a] != side[b]))
+        a, b, both, least = a[ok], b[ok], both[ok], least[ok]
+        differ = (np.bitwise_count(b0[a] ^ b0[b]) + np.bitwise_count(b1[a] ^ b1[b])).astype(np.int64)
+        ok = differ <= both - 2 * least
+        ok &= (d[a] != d[b]) | (l[a] != l[b])
+        a, b, differ = a[ok], b[ok], differ[ok]
+        later = rank[b] > rank[a]
+        # each row is at most once on either side of a step, so the assignments below don't collide
+        for x, y, z in ((b[later], a[later], differ[later]), (a[~later], b[~later], differ[~later])):
+            x, y, z = x[asks[x]], y[asks[x]], z[asks[x]]
+            if every:
+                if len(x):
+                    pairs.append((x, y))
+                continue
+            passed[x] += 1
+            key = z << 40 | rank[y]
+            closer = key < best[x]
+            best[x[closer]], partner[x[closer]] = key[closer], y[closer]
+        step += 1
+    if every:
+        if not pairs:
+            return None
+        x, y = (np.concatenate(p) for p in zip(*pairs, strict=True))
+        more = np.zeros(len(x), bool)
+    else:
+        x = np.flatnonzero(partner >= 0)
+        if not len(x):
+            return None
+        y, more = partner[x], passed[x] > 1
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in (d[x], l[x], d[y], l[y], more)], names=["d", "l", "d2", "l2", "more"])
+
+
+_PAIR = "d long, l int, d2 long, l2 int, more boolean"
+
+
 def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """Rows (id, removed_lines): the numbers from 0, ascending, of the lines that have a similar earlier line."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
@@ -48,10 +127,11 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).where("d is not null")
 
     def tokens(columns: list) -> Iterator[np.ndarray]:
-        for _, _, hashes, _ in lines_of(columns[0]):
-            yield hashes
+        for _, held in gathered(columns[0]):
+            yield hashes_and_starts(b"\n".join(held))[0]
 
-    sent = spark.sparkContext.broadcast(_setjoin.rarity(texts, ["t"], tokens))  # a byte for each bucket
+    sent = spark.sparkContext.broadcast(_setjoin.rarity(texts, ["t"], tokens, floor=False))  # a byte for each bucket
+    hot_level = int(4 * np.log2(BLOCK_SETS))
     lengths = np.array([0, *(_setjoin.prefix_length(n, percent, 1) for n in range(1, 4096))])
 
     def prefix_of(n: np.ndarray) -> np.ndarray:
@@ -59,61 +139,153 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             return lengths[n]
         return np.array([_setjoin.prefix_length(int(x), percent, 1) if x else 0 for x in n])
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple[int, int]] = {}
         for batch in batches:
             ids = batch.column("d").to_numpy()
             for text, number, hashes, line in lines_of(batch.column("t").to_pylist()):
                 flat, offsets = _setjoin.ordered_sets(hashes, line, len(text), sent.value)
                 n = np.diff(offsets)
-                key = _setjoin.set_keys(flat, offsets)[0]
-                # a line that the task has had needs no prefix again
-                if len(seen) > SEEN:
-                    seen = set()
-                again = np.zeros(len(n), bool)
-                for i, k in enumerate(key.tolist()):
-                    if k in seen:
-                        again[i] = True
-                    else:
-                        seen.add(k)
-                p = np.where(again, 0, prefix_of(n))
-                bits = np.zeros(len(text) + 1, np.uint64)
-                owner = np.repeat(np.arange(len(text)), n)
-                np.bitwise_xor.at(bits, owner, np.uint64(1) << (flat & np.uint64(63)))
-                heads = flat[np.arange(len(flat)) - np.repeat(offsets[:-1], n) < np.repeat(p, n)]
                 some = np.flatnonzero(n > 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(p[some]))), pa.int32()), pa.array(signed(heads), pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[text[some]]), pa.array(number[some], pa.int32()), pa.array(n[some], pa.int32()), pa.array(signed(key[some])), pa.array(signed(bits[some])), lists], names=["d", "l", "n", "k", "bits", "head"])
+                if not len(some):
+                    continue
+                k = _setjoin.set_keys(flat, offsets)[0]
+                b0, b1 = bitmaps(flat, offsets)
+                level = sent.value.of(flat)
+                # tokens that occur once come first; they meet nothing
+                once = np.concatenate(([0], np.cumsum(level == 0)))
+                once = once[offsets[1:]] - once[offsets[:-1]]
+                p = prefix_of(n)
+                place = np.arange(len(flat)) - np.repeat(offsets[:-1], n)
+                head = (place < np.repeat(p, n)) & (level > 0)
+                held = np.concatenate(([0], np.cumsum(head)))
+                hot = np.concatenate(([0], np.cumsum(head & (level >= hot_level))))
+                cool = (held - hot)[offsets[1:]] - (held - hot)[offsets[:-1]]
+                d, l = ids[text], number
+                # a line whose equal the task has had further up is a later match; what may be the first goes on
+                final = np.zeros(len(n), bool)
+                if len(seen) > SEEN:
+                    seen = {}
+                for i, key, x, y in zip(some.tolist(), k[some].tolist(), d[some].tolist(), l[some].tolist(), strict=True):
+                    at = seen.get(key)
+                    if at is not None and at < (x, y):
+                        final[i] = True
+                    elif at != (x, y):
+                        seen[key] = (x, y)
+                kept = head & ~np.repeat(final, n)
+                ends = np.concatenate(([0], np.cumsum(kept)))[offsets[np.append(some, len(n))]]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(flat[kept]), pa.int64()))
+                size = np.where(final, 0, n)[some]
+                own = np.where(final, k ^ (d.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), k)[some]  # finished rows are dealt evenly
+                yield pa.RecordBatch.from_arrays([pa.array(signed(own)), pa.array(size, pa.int32()), pa.array(signed(b0[some])), pa.array(signed(b1[some])), pa.array(d[some]), pa.array(l[some], pa.int32()), pa.array(once[some], pa.int32()), pa.array(cool[some], pa.int32()), lists], names=["k", "n", "b0", "b1", "d", "l", "skip", "cool", "head"])
 
-    rows = scratch.write(texts.mapInArrow(prefixes, "d long, l int, n int, k long, bits long, head array<long>"))
-    same = scratch.write(rows.groupBy("k", "bits", "n").agg(F.min(F.struct("d", "l")).alias("r"), F.count("*").alias("lines")))
-    postings = rows.select("k", "n", F.lit(1).alias("matches"), "bits", F.explode("head").alias("token"))
-    met = _setjoin.shared_tokens(postings, ["k", "bits"], percent)
-    shared = met.join(same.select("k", "bits", F.col("r.d").alias("d"), F.col("r.l").alias("l")), ["k", "bits"])
+    def first_of_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            k, n, b0, b1 = (batch.column(c).to_numpy() for c in ("k", "n", "b0", "b1"))
+            later = np.zeros(len(k), bool)
+            later[1:] = (k[1:] == k[:-1]) & (n[1:] == n[:-1]) & (b0[1:] == b0[:-1]) & (b1[1:] == b1[:-1])
+            d, l = batch.column("d").to_numpy(), batch.column("l").to_numpy()
+            if len(k):
+                later[0] = last is not None and last[:4] == (k[0], n[0], b0[0], b1[0])
+                # a repeated row is the same line and no match
+                same = np.zeros(len(k), bool)
+                same[1:] = later[1:] & (d[1:] == d[:-1]) & (l[1:] == l[:-1])
+                same[0] = later[0] and last[4:] == (d[0], l[0])
+                last = (k[-1], n[-1], b0[-1], b1[-1], d[-1], l[-1])
+                gone = (n == 0) | (later & ~same)
+                keep = pa.array(~same | (n == 0))
+                out = batch.set_column(1, "n", pa.array(np.where(gone, 0, n), pa.int32()))
+                yield out.filter(keep)
+
+    shape = "k long, n int, b0 long, b1 long, d long, l int, skip int, cool int, head array<long>"
+    dealt = texts.mapInArrow(cut, shape).repartition("k").sortWithinPartitions("k", "n", "b0", "b1", "d", "l")
+    sets = scratch.write(dealt.mapInArrow(first_of_equal, shape).drop("k"))
+    first = sets.where("n > 0 and size(head) > 0")
+    posting = first.select("d", "l", "n", "b0", "b1", "skip", "cool", F.posexplode("head").alias("i", "token"))
+    place = (F.col("n").cast("long") * F.lit(1 << 32) + F.col("skip") + F.col("i")).alias("np")
+    posting = posting.select("token", "d", "l", place, "b0", "b1", (F.col("i") >= F.col("cool")).alias("hot"))
+    # words that may have more postings than a block are counted
+    counts = first.select(F.explode(F.expr("slice(head, cool + 1, size(head))")).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    large = scratch.write(counts.where(F.col("c") > BLOCK_SETS).select("token", F.ceil(F.col("c") / BLOCK_SETS).cast("int").alias("blocks")))
+    n_large = large.count()
+    sizes = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
+
+    def jobs(rows: DataFrame) -> DataFrame:
+        """Postings (.., asks) as groups g of bounded size, sorted; each two blocks of a large word meet in one."""
+        names = ["d", "l", "np", "b0", "b1", "asks"]
+        plain = lambda df: df.select(F.col("token").alias("g"), *names, F.lit(0).alias("side"), F.lit(True).alias("own"))
+        if not n_large:
+            return plain(rows).repartition("g").sortWithinPartitions("g", "np")
+        cool, hot = rows.where("not hot"), rows.where("hot")
+        out = plain(cool.unionByName(hot.join(sizes, "token", "left_anti")))
+        block = F.pmod(F.xxhash64("d", "l", F.lit(3)), F.col("blocks")).cast("int")
+        cutup = hot.join(sizes, "token").withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        job = F.xxhash64("token", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("g")
+        cutup = cutup.select(job, *names, (F.col("_b") > F.col("_o")).cast("int").alias("side"), (F.col("_b") == F.col("_o")).alias("own"))
+        return out.unionByName(cutup).repartition("g").sortWithinPartitions("g", "np")
+
+    def pairs(rows: DataFrame, every: bool) -> DataFrame:
+        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for pack in packs(batches, "g", _PACK):
+                found = _nearest(pack, percent, every)
+                if found is not None:
+                    yield found
 
-    def fetch(bitmap: np.ndarray) -> DataFrame:
-        asked = spark.sparkContext.broadcast(bitmap)
+        found = jobs(rows).mapInArrow(sift, _PAIR)
+        return scratch.write(found.groupBy("d", "l", "d2", "l2").agg(F.max("more").alias("more")))
+
+    def whole(asked: DataFrame) -> DataFrame:
+        """Rows (d, l, tokens) of the lines asked for, at least: their sorted sets, from the texts."""
+        bitmap = spark.sparkContext.broadcast(_setjoin.marked(asked, ["d", "l"]))
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, t = batch.column("d").to_numpy(), batch.column("t").to_pylist()
-                count = np.array([(x or "").count("\n") + 1 for x in t])
-                text = np.repeat(np.arange(len(t)), count)
-                number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-                some = np.unique(text[_setjoin.is_marked(asked.value, ids[text], number)])
-                ids, t = ids[some], [t[i] for i in some.tolist()]
-                for text, number, hashes, line in lines_of(t):
-                    flat, offsets = _setjoin.ordered_sets(hashes, line, len(text), sent.value)
-                    k = np.flatnonzero(_setjoin.is_marked(asked.value, ids[text], number) & (np.diff(offsets) > 0))
-                    own = [flat[offsets[i] : offsets[i + 1]] for i in k.tolist()]
-                    yield _setjoin.arrow_sets([pa.array(ids[text[k]]), pa.array(number[k], pa.int32())], ["d", "l"], np.diff(offsets)[k].tolist(), [1] * len(k), own)
-
-        return scratch.write(texts.mapInArrow(read, "d long, l int, n int, matches int, tokens array<long>"))
-
-    late = _setjoin.links_of_jobs(shared, ["d", "l"], fetch, scratch, percent=percent, earlier=True)
-    equal = rows.join(same.where("lines > 1").select("k", "bits", "n", "r"), ["k", "bits", "n"]).where(F.struct("d", "l") != F.col("r")).select("d", "l")
-    out = scratch.write(late.union(equal).groupBy("d").agg(F.array_sort(F.collect_set("l")).alias("removed_lines")))
-    scratch.drop(rows, same)
+                ids, lines, held = [], [], []
+                own = batch.column("d").to_numpy()
+                for d, t in zip(own.tolist(), batch.column("t"), strict=True):
+                    t = (t.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")
+                    hit = np.flatnonzero(_setjoin.is_marked(bitmap.value, np.full(len(t), d), np.arange(len(t))))
+                    ids += [d] * len(hit)
+                    lines += hit.tolist()
+                    held += [t[i].decode("utf-8", "surrogatepass") for i in hit.tolist()]
+                at = 0
+                for text, _, hashes, line in lines_of(held):
+                    key = np.argsort(hashes)
+                    hashes, line = hashes[key], line[key]
+                    key = np.argsort(line, kind="stable")
+                    hashes, line = hashes[key], line[key]
+                    new = np.ones(len(hashes), bool)
+                    new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
+                    size = np.bincount(line[new], minlength=len(text))
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(signed(hashes[new]), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + len(text)], pa.int64()), pa.array(lines[at : at + len(text)], pa.int32()), lists], names=["d", "l", "tokens"])
+                    at += len(text)
+
+        return texts.mapInArrow(read, "d long, l int, tokens array<long>").where("size(tokens) > 0")
+
+    def verified(asked: DataFrame) -> DataFrame:
+        """The pairs with ok: whether the whole sets are similar."""
+        lines = scratch.write(whole(asked.select("d", "l").union(asked.select("d2", "l2")).distinct()).distinct())
+        other = lines.select(F.col("d").alias("d2"), F.col("l").alias("l2"), F.col("tokens").alias("tokens2"))
+        joined = asked.join(lines, ["d", "l"]).join(other, ["d2", "l2"])
+        both = F.size(F.array_intersect("tokens", "tokens2"))
+        return joined.select("d", "l", "more", (both * 100 >= (F.size("tokens") + F.size("tokens2") - both) * percent).alias("ok"))
+
+    near = pairs(posting.withColumn("asks", F.lit(True)), every=False)
+    judged = scratch.write(verified(near).groupBy("d", "l").agg(F.max("ok").alias("ok"), F.max("more").alias("more")))
+    scratch.drop(near)
+    late = judged.where("ok").select("d", "l")
+    rest = judged.where("not ok and more").select("d", "l")
+    if not rest.isEmpty():
+        met = scratch.write(first.join(rest, ["d", "l"], "left_semi").select(F.explode("head").alias("token")).distinct())
+        unsure = posting.join(met, "token", "left_semi").join(rest.withColumn("asks", F.lit(True)), ["d", "l"], "left")
+        again = pairs(unsure.withColumn("asks", F.coalesce("asks", F.lit(False))), every=True)
+        late = late.union(verified(again).where("ok").select("d", "l"))
+    gone = late.union(sets.where("n = 0").select("d", "l"))
+    out = scratch.write(gone.groupBy("d").agg(F.array_sort(F.collect_set("l")).alias("removed_lines")))  # of one document
+    scratch.drop(sets, large, judged)
+    sent.destroy()
     return out.withColumnRenamed("d", id_col)
 
 

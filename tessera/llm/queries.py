@@ -36,7 +36,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    solid = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0)
+    solid = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.select("doc_id", F.size(solid).cast("long").alias("n_lines"))
     out = rows.join(line_dedup.removed_lines(docs), "doc_id", "left")
     lines = F.coalesce("removed_lines", F.array().cast("array<int>"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import lower_az, words
-from tessera.llm import _setjoin, line_dedup, ngram_join, substring_dedup
+from tessera.llm import _setjoin, _words, line_dedup, ngram_join, substring_dedup
 from tessera.llm._common import Scratch, connected
 
 
@@ -100,6 +100,49 @@ def test_line_dedup(docs, rows, percent):
     assert got == later_matches(rows, percent)
 
 
+def test_line_dedup_in_small_blocks(docs, rows, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK_SETS", 3)
+    got = {r.doc_id: r.removed_lines for r in line_dedup.removed_lines(docs, percent=60).collect()}
+    assert got == later_matches(rows, 60)
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_line_dedup_when_the_closest_is_not_similar(spark, monkeypatch, block):
+    """Lines around the threshold whose bitmaps say nothing: most first partners fail, and all the others must be tried."""
+    monkeypatch.setattr(line_dedup, "bitmaps", lambda tokens, offsets: (np.zeros(len(offsets) - 1, np.uint64), tokens[offsets[:-1]] * np.uint64(0)))
+    monkeypatch.setattr(line_dedup, "BLOCK_SETS", block)
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(12)]
+    near = [" ".join([*rng.choice(base, 9, replace=False), f"v{rng.integers(4)}"]) for _ in range(120)]
+    rows = [(i // 3, None, None) for i in range(0, 120, 3)]
+    rows = [(d, "\n".join(near[3 * d : 3 * d + 3])) for d, *_ in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.removed_lines for r in line_dedup.removed_lines(docs, percent=80).collect()}
+    assert got == later_matches(rows, 80)
+    assert 0 < sum(map(len, got.values())) < 120
+
+
+def test_word_hashes():
+    rng = np.random.default_rng(5)
+    kinds = ["".join(rng.choice(list("abé"), n)) for n in [*range(1, 40), 63, 64, 65, 255, 256, 257, 300, 5000]]
+    together = _words.word_hashes(" ".join(kinds).encode())
+    assert together.tolist() == [int(_words.word_hashes(("\t " + x).encode())[0]) for x in kinds]
+    assert len(set(together.tolist())) == len(set(kinds))
+    places = np.arange(len(together) - 4)
+    assert (_words.run_hashes(together, places, 5) == _words.run_hashes(together, places, np.full(len(places), 5))).all()
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048, 8192])
+def test_thue_morse_words_and_runs_differ(n):
+    """The sequence whose two forms collide in any polynomial modulo 2**64 from 1,024 on."""
+    x = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    y = x.translate(str.maketrans("ab", "ba"))
+    assert _words.word_hashes(x.encode()) != _words.word_hashes(y.encode())
+    a, b = (_words.word_hashes(" ".join(z).encode()) for z in (x, y))
+    start, size = np.zeros(1, np.int64), np.array([n])
+    assert _words.run_hashes(a, start, size) != _words.run_hashes(b, start, size)
+
+
 def test_dedup_lines_keeps_the_rest(clashing, docs, rows):
     gone = later_matches(rows, 80)
     out = line_dedup.dedup_lines(clashing)
