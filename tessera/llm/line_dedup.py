@@ -8,10 +8,10 @@ a similar earlier one (smaller document id, or the same document further up) is
 the input, not on what is left.
 
 Lines with equal sets are one set, known by its size and 192 bits of its words; all but the earliest go at once. For a removal
-one earlier partner is enough, so at each prefix word a set asks to be verified with the earlier set that looks closest, and
-pairs of a large group are never rows. Only sets that no such partner verifies, and that had more partners to choose from,
-are then compared with all of them (in blocks). Words that occur once are in no posting. A word with more postings than
-BLOCK_SETS is cut into blocks, of which each two meet in one job.
+one earlier partner is enough, so at each prefix word a set takes down the earlier sets that look closest, CLOSEST at most, and
+the pairs of a large group are never rows. It is verified with the closest one first, with the others only if that fails. A set
+that none of them verifies and that had more to choose from at a word meets all sets of that word, in blocks that hold the whole
+sets and tell only who has a partner. Words that occur once are in no posting. A word with more postings than BLOCK_SETS is cut into blocks, of which each two meet in one job.
 
 Defined results: lines are separated by \\n; lines without words are never matched nor removed. Null and empty texts
 have no lines. Rows with equal ids are one document, whose lines match across the rows by number. Rows with a null id are
@@ -34,9 +34,16 @@ from tessera.llm._words import gathered, hashes_and_starts, signed
 #: Keys of lines that a task remembers so as not to send equal ones twice.
 SEEN = 200_000
 #: Sets of a block at a word: larger groups are cut up.
-BLOCK_SETS = 2048
-#: Rows of the broadcast table of words that are cut into blocks; with more, it is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BLOCK_SETS = 1024
+#: Earlier sets that a set takes down at a word; with more, all are compared if none of these is similar.
+CLOSEST = 8
+#: Pairs that a task holds before it leaves the farther ones out.
+HELD = 1 << 20
+#: Sets, and words of them, of a block where whole sets meet (about; sets are dealt by hash).
+WHOLE_SETS = 1024
+WHOLE_WORDS = 1 << 19
+#: Rows of a table of words or document ids that is sent to every executor; a larger one is joined by a shuffle, or not used.
+BROADCAST_ROWS = 200_000
 #: Rows of an Arrow table that sift() works on, at least.
 _PACK = 1 << 14
 
@@ -65,62 +72,110 @@ def bitmaps(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[0], out[1]
 
 
-def _nearest(pack: pa.Table, percent: int, every: bool) -> pa.RecordBatch | None:
-    """Pairs (later set, earlier set) of a pack of whole groups: of each later set at a word the one that looks closest, and
-    whether there are more (every: all that pass, of the sets that ask)."""
-    g, d, l, b0, b1 = (pack.column(c).to_numpy() for c in ("g", "d", "l", "b0", "b1"))
-    side, own, asks = (pack.column(c).to_numpy() for c in ("side", "own", "asks"))
-    b0, b1 = b0.view(np.uint64), b1.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
-    n, pos = pack.column("np").to_numpy() >> 32, pack.column("np").to_numpy() & 0xFFFFFFFF
+def _closest(x: np.ndarray, y: np.ndarray, key: np.ndarray, closest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of the smallest keys of each x, `closest` at most, sorted, and the place of each pair from 0."""
+    order = np.lexsort((key, x))
+    x, y, key = x[order], y[order], key[order]
+    edge = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    place = np.arange(len(x)) - np.repeat(edge, np.diff(np.append(edge, len(x))))
+    near = place < closest
+    return x[near], y[near], key[near], place[near]
+
+
+def _passing(n, pos, b0, b1, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs of rows (a, b) pass the filters by length, position and bitmap, and in how many bits they differ."""
+    both = n[a] + n[b]
+    least = -(-both * percent // (100 + percent))
+    ok = np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least
+    ok &= np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent
+    differ = np.zeros(len(a), np.int64)
+    x, y = a[ok], b[ok]
+    differ[ok] = np.bitwise_count(b0[x] ^ b0[y]).astype(np.int64) + np.bitwise_count(b1[x] ^ b1[y])
+    return ok & (differ <= both - 2 * least), differ
+
+
+def _columns(pack: pa.Table, order: np.ndarray):
+    d, l, b0, b1, np_ = (pack.column(c).to_numpy()[order] for c in ("d", "l", "b0", "b1", "np"))
+    # bitwise_count takes the absolute value of signed numbers
+    return d, l, b0.view(np.uint64), b1.view(np.uint64), np_ >> 32, np_ & 0xFFFFFFFF
+
+
+def _nearest(pack: pa.Table, percent: int, cutup: bool, closest: int, most: int) -> pa.RecordBatch | None:
+    """Pairs (later set, earlier set) of a pack of whole groups: of each later set at a word the ones that look closest, their
+    place by that, and with the first of them the word if there are more."""
+    g = pack.column("g").to_numpy()
+    order = np.lexsort((pack.column("np").to_numpy(), g))
+    g = g[order]
+    d, l, b0, b1, n, pos = _columns(pack, order)
+    token = pack.column("token").to_numpy()[order] if cutup else g
+    if cutup:
+        side, own = pack.column("side").to_numpy()[order], pack.column("own").to_numpy()[order]
     count = len(g)
     rank = np.empty(count, np.int64)
     rank[np.lexsort((l, d))] = np.arange(count)
-    best, partner, passed = np.full(count, np.iinfo(np.int64).max), np.full(count, -1), np.zeros(count, np.int64)
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    passed = np.zeros(count, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
     live, step = np.arange(count), 1
     while len(live):
         live = live[live + step < count]
         live = live[(g[live] == g[live + step]) & (n[live] * 100 >= n[live + step] * percent)]  # sorted by n within g
         a, b = live, live + step
-        both = n[a] + n[b]
-        least = -(-both * percent // (100 + percent))
-        ok = np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least
-        ok &= (own[a] | (side[a] != side[b]))
-        a, b, both, least = a[ok], b[ok], both[ok], least[ok]
-        differ = (np.bitwise_count(b0[a] ^ b0[b]) + np.bitwise_count(b1[a] ^ b1[b])).astype(np.int64)
-        ok = differ <= both - 2 * least
+        ok, differ = _passing(n, pos, b0, b1, a, b, percent)
         ok &= (d[a] != d[b]) | (l[a] != l[b])
+        if cutup:
+            ok &= own[a] | (side[a] != side[b])
         a, b, differ = a[ok], b[ok], differ[ok]
-        later = rank[b] > rank[a]
-        # each row is at most once on either side of a step, so the assignments below don't collide
-        for x, y, z in ((b[later], a[later], differ[later]), (a[~later], b[~later], differ[~later])):
-            x, y, z = x[asks[x]], y[asks[x]], z[asks[x]]
-            if every:
-                if len(x):
-                    pairs.append((x, y))
-                continue
-            passed[x] += 1
-            key = z << 40 | rank[y]
-            closer = key < best[x]
-            best[x[closer]], partner[x[closer]] = key[closer], y[closer]
+        if len(a):
+            later = rank[b] > rank[a]
+            x, y = np.where(later, b, a), np.where(later, a, b)
+            np.add.at(passed, x, 1)
+            held.append((x, y, differ << 40 | rank[y]))
+            size += len(x)
+            if size > most:
+                held = [_closest(*(np.concatenate(v) for v in zip(*held, strict=True)), closest)[:3]]
+                size = len(held[0][0])
         step += 1
-    if every:
-        if not pairs:
-            return None
-        x, y = (np.concatenate(p) for p in zip(*pairs, strict=True))
-        more = np.zeros(len(x), bool)
-    else:
-        x = np.flatnonzero(partner >= 0)
-        if not len(x):
-            return None
-        y, more = partner[x], passed[x] > 1
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in (d[x], l[x], d[y], l[y], more)], names=["d", "l", "d2", "l2", "more"])
-
-
-_PAIR = "d long, l int, d2 long, l2 int, more boolean"
-
-
-def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    if not held:
+        return None
+    x, y, _, place = _closest(*(np.concatenate(v) for v in zip(*held, strict=True)), closest)
+    more = passed[x] > closest
+    return pa.RecordBatch.from_arrays([pa.array(d[x]), pa.array(l[x], pa.int32()), pa.array(d[y]), pa.array(l[y], pa.int32()), pa.array(place, pa.int32()), pa.array(token[x], pa.int64(), mask=~more | (place > 0))], names=["d", "l", "d2", "l2", "place", "more"])
+
+
+def _matched(pack: pa.Table, percent: int) -> pa.RecordBatch | None:
+    """The asking sets (d, l) of whole jobs that have an earlier similar set there, verified on the whole sets."""
+    job, asks = pack.column("job").to_numpy(), pack.column("asks").to_numpy()
+    d, l, b0, b1, n, pos = _columns(pack, np.arange(len(job)))
+    lists = pack.column("tokens").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    offsets, tokens = lists.offsets.to_numpy(), lists.values.to_numpy()
+    edge = np.flatnonzero(np.concatenate(([True], job[1:] != job[:-1], [True])))
+    found = []
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        rows = np.arange(lo, hi)
+        asking, others = rows[asks[lo:hi]], rows[~asks[lo:hi]]
+        for x in asking.tolist():
+            y = others[(d[others] < d[x]) | ((d[others] == d[x]) & (l[others] < l[x]))]
+            ok, differ = _passing(n, pos, b0, b1, np.full(len(y), x), y, percent)
+            y = y[ok][np.argsort(differ[ok], kind="stable")]
+            own = np.sort(tokens[offsets[x] : offsets[x + 1]])
+            for i in y.tolist():
+                other = tokens[offsets[i] : offsets[i + 1]]
+                place = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                both = int(np.count_nonzero(own[place] == other))
+                if both * 100 >= (len(own) + len(other) - both) * percent:
+                    found.append(x)
+                    break
+    if not found:
+        return None
+    return pa.RecordBatch.from_arrays([pa.array(d[found]), pa.array(l[found], pa.int32())], names=["d", "l"])
+
+
+_PAIR = "d long, l int, d2 long, l2 int, place int, more long"
+
+
+def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, closest: int = CLOSEST, block_sets: int = BLOCK_SETS, whole_sets: int = WHOLE_SETS, held: int = HELD) -> DataFrame:
     """Rows (id, removed_lines): the numbers from 0, ascending, of the lines that have a similar earlier line."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
@@ -131,7 +186,7 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             yield hashes_and_starts(b"\n".join(held))[0]
 
     sent = spark.sparkContext.broadcast(_setjoin.rarity(texts, ["t"], tokens, floor=False))  # a byte for each bucket
-    hot_level = int(4 * np.log2(BLOCK_SETS))
+    hot_level = int(4 * np.log2(block_sets))
     lengths = np.array([0, *(_setjoin.prefix_length(n, percent, 1) for n in range(1, 4096))])
 
     def prefix_of(n: np.ndarray) -> np.ndarray:
@@ -158,9 +213,9 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 p = prefix_of(n)
                 place = np.arange(len(flat)) - np.repeat(offsets[:-1], n)
                 head = (place < np.repeat(p, n)) & (level > 0)
-                held = np.concatenate(([0], np.cumsum(head)))
+                heads = np.concatenate(([0], np.cumsum(head)))
                 hot = np.concatenate(([0], np.cumsum(head & (level >= hot_level))))
-                cool = (held - hot)[offsets[1:]] - (held - hot)[offsets[:-1]]
+                cool = (heads - hot)[offsets[1:]] - (heads - hot)[offsets[:-1]]
                 d, l = ids[text], number
                 # a line whose equal the task has had further up is a later match; what may be the first goes on
                 final = np.zeros(len(n), bool)
@@ -207,37 +262,37 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     posting = posting.select("token", "d", "l", place, "b0", "b1", (F.col("i") >= F.col("cool")).alias("hot"))
     # words that may have more postings than a block are counted
     counts = first.select(F.explode(F.expr("slice(head, cool + 1, size(head))")).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
-    large = scratch.write(counts.where(F.col("c") > BLOCK_SETS).select("token", F.ceil(F.col("c") / BLOCK_SETS).cast("int").alias("blocks")))
+    large = scratch.write(counts.where(F.col("c") > block_sets).select("token", F.ceil(F.col("c") / block_sets).cast("int").alias("blocks")))
     n_large = large.count()
     sizes = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
 
-    def jobs(rows: DataFrame) -> DataFrame:
-        """Postings (.., asks) as groups g of bounded size, sorted; each two blocks of a large word meet in one."""
-        names = ["d", "l", "np", "b0", "b1", "asks"]
-        plain = lambda df: df.select(F.col("token").alias("g"), *names, F.lit(0).alias("side"), F.lit(True).alias("own"))
-        if not n_large:
-            return plain(rows).repartition("g").sortWithinPartitions("g", "np")
-        cool, hot = rows.where("not hot"), rows.where("hot")
-        out = plain(cool.unionByName(hot.join(sizes, "token", "left_anti")))
-        block = F.pmod(F.xxhash64("d", "l", F.lit(3)), F.col("blocks")).cast("int")
-        cutup = hot.join(sizes, "token").withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        job = F.xxhash64("token", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("g")
-        cutup = cutup.select(job, *names, (F.col("_b") > F.col("_o")).cast("int").alias("side"), (F.col("_b") == F.col("_o")).alias("own"))
-        return out.unionByName(cutup).repartition("g").sortWithinPartitions("g", "np")
+    names = ["d", "l", "np", "b0", "b1"]
 
-    def pairs(rows: DataFrame, every: bool) -> DataFrame:
+    def sifted(rows: DataFrame, cutup: bool) -> DataFrame:
         def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for pack in packs(batches, "g", _PACK):
-                found = _nearest(pack, percent, every)
+                found = _nearest(pack, percent, cutup, closest, held)
                 if found is not None:
                     yield found
 
-        found = jobs(rows).mapInArrow(sift, _PAIR)
-        return scratch.write(found.groupBy("d", "l", "d2", "l2").agg(F.max("more").alias("more")))
+        return rows.repartition("g").sortWithinPartitions("g").mapInArrow(sift, _PAIR)  # one key of numbers: a radix sort
+
+    single = posting
+    if n_large:
+        single = posting.where("not hot").unionByName(posting.where("hot").join(sizes, "token", "left_anti").select(*posting.columns))
+    found = sifted(single.select(F.col("token").alias("g"), *names), False)
+    if n_large:
+        block = F.pmod(F.xxhash64("d", "l", F.lit(3)), F.col("blocks")).cast("int")
+        cutup = posting.where("hot").join(sizes, "token").withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        job = F.xxhash64("token", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("g")
+        found = found.union(sifted(cutup.select(job, "token", *names, (F.col("_b") > F.col("_o")).cast("int").alias("side"), (F.col("_b") == F.col("_o")).alias("own")), True))
+    near = scratch.write(found.groupBy("d", "l", "d2", "l2").agg(F.min("place").alias("place"), F.collect_set("more").alias("more")))
 
     def whole(asked: DataFrame) -> DataFrame:
-        """Rows (d, l, tokens) of the lines asked for, at least: their sorted sets, from the texts."""
+        """Rows (d, l, tokens) of the lines asked for, at least: their sets, from the texts."""
         bitmap = spark.sparkContext.broadcast(_setjoin.marked(asked, ["d", "l"]))
+        owners = scratch.write(asked.select("d").distinct())
+        some = texts.join(F.broadcast(owners), "d", "left_semi") if owners.count() <= BROADCAST_ROWS else texts
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -262,29 +317,54 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                     yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + len(text)], pa.int64()), pa.array(lines[at : at + len(text)], pa.int32()), lists], names=["d", "l", "tokens"])
                     at += len(text)
 
-        return texts.mapInArrow(read, "d long, l int, tokens array<long>").where("size(tokens) > 0")
+        out = scratch.write(some.mapInArrow(read, "d long, l int, tokens array<long>").where("size(tokens) > 0").distinct())
+        bitmap.destroy()
+        scratch.drop(owners)
+        return out
 
-    def verified(asked: DataFrame) -> DataFrame:
-        """The pairs with ok: whether the whole sets are similar."""
-        lines = scratch.write(whole(asked.select("d", "l").union(asked.select("d2", "l2")).distinct()).distinct())
+    def verified(asked: DataFrame, lines: DataFrame) -> DataFrame:
+        """The pairs with ok: whether the whole sets, among lines, are similar."""
         other = lines.select(F.col("d").alias("d2"), F.col("l").alias("l2"), F.col("tokens").alias("tokens2"))
         joined = asked.join(lines, ["d", "l"]).join(other, ["d2", "l2"])
         both = F.size(F.array_intersect("tokens", "tokens2"))
-        return joined.select("d", "l", "more", (both * 100 >= (F.size("tokens") + F.size("tokens2") - both) * percent).alias("ok"))
+        return joined.select("d", "l", (both * 100 >= (F.size("tokens") + F.size("tokens2") - both) * percent).alias("ok"))
 
-    near = pairs(posting.withColumn("asks", F.lit(True)), every=False)
-    judged = scratch.write(verified(near).groupBy("d", "l").agg(F.max("ok").alias("ok"), F.max("more").alias("more")))
-    scratch.drop(near)
+    ends = lambda df: df.select("d", "l").union(df.select("d2", "l2")).distinct()
+    lines = whole(ends(near))
+    judged = scratch.write(verified(near.where("place = 0"), lines).groupBy("d", "l").agg(F.max("ok").alias("ok")))
     late = judged.where("ok").select("d", "l")
-    rest = judged.where("not ok and more").select("d", "l")
-    if not rest.isEmpty():
-        met = scratch.write(first.join(rest, ["d", "l"], "left_semi").select(F.explode("head").alias("token")).distinct())
-        unsure = posting.join(met, "token", "left_semi").join(rest.withColumn("asks", F.lit(True)), ["d", "l"], "left")
-        again = pairs(unsure.withColumn("asks", F.coalesce("asks", F.lit(False))), every=True)
-        late = late.union(verified(again).where("ok").select("d", "l"))
+    asked = near.where("place > 0").join(judged.where("not ok"), ["d", "l"], "left_semi")
+    second = scratch.write(verified(asked, lines).groupBy("d", "l").agg(F.max("ok").alias("ok")))
+    late = late.union(second.where("ok").select("d", "l"))
+    rest = scratch.write(near.select("d", "l", F.explode("more").alias("token")).distinct().join(late, ["d", "l"], "left_anti"))
+    scratch.drop(near, lines)
+    n_rest = rest.count()
+    if n_rest:
+        words = rest.groupBy("token").agg(F.count("*").alias("asking"))
+        met = scratch.write(posting.join(F.broadcast(words) if n_rest <= BROADCAST_ROWS else words, "token").select("token", "asking", *names))
+        full = whole(met.select("d", "l").distinct())
+        # at each word the asking sets in blocks, and all its sets in blocks: each two meet in a job
+        size = F.sum(F.shiftright("np", 32))
+        in_blocks = lambda n: F.greatest(F.ceil(n / whole_sets), F.ceil(size * n / F.count("*") / WHOLE_WORDS)).cast("int")
+        blocks = met.groupBy("token").agg(in_blocks(F.count("*")).alias("_all"), in_blocks(F.max("asking")).alias("_asked"))
+        rows = met.drop("asking").join(blocks, "token")
+        deal = lambda by: F.pmod(F.xxhash64("d", "l", F.lit(5)), F.col(by)).cast("int")
+        every = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
+        members = rows.withColumn("_y", deal("_all")).withColumn("_x", every("_asked")).withColumn("asks", F.lit(False))
+        asking = rows.join(rest, ["token", "d", "l"], "left_semi").withColumn("_x", deal("_asked")).withColumn("_y", every("_all")).withColumn("asks", F.lit(True))
+        job = F.xxhash64("token", "_x", "_y").alias("job")
+        dealt = members.unionByName(asking).select(job, *names, "asks").join(full, ["d", "l"]).repartition("job").sortWithinPartitions("job")
+
+        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for pack in packs(batches, "job", 2 * whole_sets):
+                out = _matched(pack, percent)
+                if out is not None:
+                    yield out
+
+        late = late.union(dealt.mapInArrow(match, "d long, l int").distinct())
     gone = late.union(sets.where("n = 0").select("d", "l"))
     out = scratch.write(gone.groupBy("d").agg(F.array_sort(F.collect_set("l")).alias("removed_lines")))  # of one document
-    scratch.drop(sets, large, judged)
+    scratch.drop(sets, large, judged, second)
     sent.destroy()
     return out.withColumnRenamed("d", id_col)
 

@@ -14,8 +14,9 @@ For each shard an FM-index is built: the suffixes ordered by `width` words, thei
 matrix of packed bits with block counts, and sampled nothing else. All segments are streamed through it by backward
 search, in step: a match grows by one word to the left, and once it has `width` words its interval is widened to that of
 the first width - 1 words before it grows again, which keeps the matching statistics capped at the threshold. The
-interval of a full match holds all its occurrences, in the order of the text, so the first tells whether it is earlier. A
-minimizer with more words than a shard holds gets several shards, and later segments are streamed past the earlier ones.
+interval of a full match holds all its occurrences, in the order of the text, so the first tells whether it is earlier. The
+segments of a minimizer with more than BLOCK_WORDS words are cut into blocks, and each two blocks meet in a shard of their own, so
+no task holds more than two blocks beyond a shard, whatever a passage's frequency.
 
 Words are compared by 64-bit hashes within a shard. Defined results: a null text has no words, shorter texts than a
 window lose nothing, rows with equal ids must have equal texts and lose the same words, rows with a null id lose nothing.
@@ -38,6 +39,10 @@ WIDTH = 20
 ANCHOR = 6
 #: Words of a shard.
 SHARD_WORDS = 1 << 19
+#: Words of a block of a hot minimizer's segments (about; segments are dealt by hash).
+BLOCK_WORDS = 1 << 15
+#: Rows of the table of hot minimizers that is sent to every executor; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _PLAIN, _COPY, _REPEATS = 0, 1, 2
 
 
@@ -157,23 +162,6 @@ class FmIndex:
             out[at[done]] = self.order[low[done]] < at[done]
         return out
 
-    def holds(self, hashes: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        """Which windows (places in hashes) of other segments occur here."""
-        place = np.searchsorted(self.words, hashes)
-        known = place < len(self.words)
-        known[known] = self.words[place[known]] == hashes[known]
-        symbol = np.where(known, place + 1, -1)
-        low, high, live = np.zeros(len(windows), np.int64), np.full(len(windows), len(self.text), np.int64), np.arange(len(windows))
-        for k in range(self.width - 1, -1, -1):
-            c = symbol[windows[live] + k]
-            live, c = live[c > 0], c[c > 0]
-            a, b = self.step(c, low[live], high[live])
-            low[live], high[live] = a, b
-            live = live[a < b]
-        out = np.zeros(len(windows), bool)
-        out[live] = True
-        return out
-
 
 def _packed(start: np.ndarray, count: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
     return (start.astype(np.int64) << 32) | (count.astype(np.int64) << 2) | kind
@@ -228,18 +216,14 @@ class _Shard:
         self.parts.append((words, count))
         self.words += count
 
-    def judge(self, width: int, past: list[FmIndex]) -> tuple[FmIndex, pa.RecordBatch]:
-        """The shard's index, and the removals of its segments; those in past are earlier and of the same minimizer."""
+    def judge(self, width: int) -> pa.RecordBatch:
+        """The removals of the shard's segments by its index."""
         hashes = word_hashes(b" ".join(p[0] for p in self.parts))
         lengths = np.array([p[1] for p in self.parts])
         index = FmIndex(hashes, lengths, width)
         gap = np.repeat(np.arange(len(lengths)), lengths)
         gone = index.earlier()[np.arange(len(hashes)) + gap]
         place = np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        full = place + width <= np.repeat(lengths, lengths)
-        for other in past:
-            windows = np.flatnonzero(full & ~gone)
-            gone[windows[other.holds(hashes, windows)]] = True
         edge = np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))
         new = np.flatnonzero(np.concatenate(([True], gap[1:] != gap[:-1])) & gone) if len(gap) else np.zeros(0, np.int64)
         begin = np.union1d(np.flatnonzero(edge == 1), new)
@@ -249,10 +233,10 @@ class _Shard:
         owner = gap[begin] if len(begin) else np.zeros(0, np.int64)
         start = np.array(self.start, np.int64)[owner] + place[begin] if len(begin) else np.zeros(0, np.int64)
         d = np.array(self.d, np.int64)[owner]
-        return index, pa.RecordBatch.from_arrays([pa.array(d), pa.array(_packed(start, count, _COPY))], names=["d", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(_packed(start, count, _COPY))], names=["d", "at"])
 
 
-def removed_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
+def removed_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """(texts(d, t), removals(d, at)): at holds the first window's word and the number of windows, packed."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
@@ -292,31 +276,32 @@ def removed_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.int32())], names=["m", "d", "start", "words", "n"])
 
     found = texts.repartition("d").join(asked, "d").select("d", "t", "asked").mapInArrow(read, "m long, d long, start long, words binary, n int")
-    shards = found.repartition("m").sortWithinPartitions("m", "d", "start")
+    words_of = (F.shiftright(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), 2) + (width - 1)).cast("long")
+    hot = sifted.where("m is not null").groupBy("m").agg(F.sum(words_of).alias("w")).where(F.col("w") > block_words)
+    hot = scratch.write(hot.select(F.col("m").alias("hot"), F.ceil(F.col("w") / block_words).cast("int").alias("blocks")))
+    n_hot = hot.count()
+    dealt = found.withColumn("job", F.col("m"))
+    if n_hot:
+        near = found.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, F.col("m") == F.col("hot"), "left")
+        block = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("d", "start"), F.col("blocks")).cast("int"))
+        near = near.withColumn("b", block).withColumn("o", F.explode(F.coalesce(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("b")), F.array(F.lit(-1)))))
+        job = F.when(F.col("hot").isNull(), F.col("m")).otherwise(F.xxhash64("m", F.least("b", "o"), F.greatest("b", "o")))
+        dealt = near.select("m", "d", "start", "words", "n", job.alias("job"))
+    shards = dealt.repartition("job").sortWithinPartitions("job", "m", "d", "start")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, past = _Shard(), []
-        seen = None
+        shard, seen = _Shard(), None
         for batch in batches:
-            for m, d, start, words, n in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if (m, d, start) == seen:  # of a repeated row
+            for m, d, start, words, n, job in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (job, m, d, start) == seen:  # of a repeated row
                     continue
-                seen = (m, d, start)
-                if shard.words >= shard_words and shard.m[-1] != m:
-                    yield shard.judge(width, past)[1]
-                    shard, past = _Shard(), []
-                elif shard.words >= 2 * shard_words:
-                    index, out = shard.judge(width, past)
-                    yield out
-                    # only segments of this minimizer can match what follows
-                    past = [*(past if shard.m[0] == m else []), index]
+                if shard.m and seen[0] != job and (shard.words >= shard_words or job != m or seen[0] != seen[1]):
+                    yield shard.judge(width)  # a pair of blocks has a shard of its own, as its segments are in others too
                     shard = _Shard()
-                elif past and shard.m and shard.m[-1] != m:
-                    yield shard.judge(width, past)[1]
-                    shard, past = _Shard(), []
+                seen = (job, m, d, start)
                 shard.add(m, d, start, words, n)
         if shard.m:
-            yield shard.judge(width, past)[1]
+            yield shard.judge(width)
 
     return texts, sifted.where("m is null").select("d", "at").union(shards.mapInArrow(judge, "d long, at long"))
 

@@ -100,24 +100,22 @@ def test_line_dedup(docs, rows, percent):
     assert got == later_matches(rows, percent)
 
 
-def test_line_dedup_in_small_blocks(docs, rows, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BLOCK_SETS", 3)
-    got = {r.doc_id: r.removed_lines for r in line_dedup.removed_lines(docs, percent=60).collect()}
+def test_line_dedup_in_small_blocks(docs, rows):
+    got = {r.doc_id: r.removed_lines for r in line_dedup.removed_lines(docs, percent=60, block_sets=3).collect()}
     assert got == later_matches(rows, 60)
 
 
-@pytest.mark.parametrize("block", [3, 2048])
-def test_line_dedup_when_the_closest_is_not_similar(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "closest"), [(3, 1), (1024, 1), (1024, 8)])
+def test_line_dedup_when_the_closest_is_not_similar(spark, monkeypatch, block, closest):
     """Lines around the threshold whose bitmaps say nothing: most first partners fail, and all the others must be tried."""
     monkeypatch.setattr(line_dedup, "bitmaps", lambda tokens, offsets: (np.zeros(len(offsets) - 1, np.uint64), tokens[offsets[:-1]] * np.uint64(0)))
-    monkeypatch.setattr(line_dedup, "BLOCK_SETS", block)
     rng = np.random.default_rng(4)
-    base = [f"w{i}" for i in range(12)]
-    near = [" ".join([*rng.choice(base, 9, replace=False), f"v{rng.integers(4)}"]) for _ in range(120)]
+    base = [f"w{i}" for i in range(13)]
+    near = [" ".join([*rng.choice(base, 9, replace=False), "v"]) for _ in range(120)]
     rows = [(i // 3, None, None) for i in range(0, 120, 3)]
     rows = [(d, "\n".join(near[3 * d : 3 * d + 3])) for d, *_ in rows]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.removed_lines for r in line_dedup.removed_lines(docs, percent=80).collect()}
+    got = {r.doc_id: r.removed_lines for r in line_dedup.removed_lines(docs, percent=80, closest=closest, block_sets=block, whole_sets=20, held=50).collect()}
     assert got == later_matches(rows, 80)
     assert 0 < sum(map(len, got.values())) < 120
 
@@ -165,7 +163,7 @@ def expected_kept(rows, width):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"width": 8, "anchor": 3}, {"shard_words": 40}, {"width": 20, "anchor": 1}])
+@pytest.mark.parametrize("options", [{}, {"width": 8, "anchor": 3}, {"shard_words": 40}, {"width": 20, "anchor": 1}, {"block_words": 60}, {"block_words": 60, "shard_words": 40, "width": 6, "anchor": 2}])
 def test_substring_dedup(docs, rows, options):
     got = substring_dedup.dedup(docs, **options).collect()
     assert len(got) == len(rows)
@@ -188,9 +186,6 @@ def test_fm_index_finds_all_occurrences():
             if len(window) == 5:
                 seen.add(window)
     assert index.earlier().tolist() == expected
-    other = rng.integers(1, 5, 60).astype(np.uint64)
-    windows = np.arange(56)
-    assert index.holds(other, windows).tolist() == [tuple(other[i : i + 5].tolist()) in seen for i in windows]
 
 
 def test_wavelet_ranks():
