@@ -6,6 +6,7 @@ Words are maximal runs of anything but space and the characters 0x09 to 0x0D. A
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,8 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
-#: Rows of an Arrow batch at most, so that a batch of long texts stays small in a Python worker.
+#: Rows and bytes of an Arrow batch at most (or one row), so that a batch of long texts stays small in a Python worker.
 BATCH_ROWS = 500
+BATCH_BYTES = 16 << 20
 
 
 def words(text: Column) -> Column:
@@ -43,16 +45,20 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by rows; a smaller setting of the user stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bounds Arrow batches by rows and bytes for the session's later queries; smaller settings of the user stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master gets a folder of
+    its own; on a cluster that fails, as no machine's own folder would do."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")

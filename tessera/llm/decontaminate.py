@@ -22,8 +22,8 @@ from tessera.llm._common import Scratch, lower_az, words
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-#: Sketch rows (16 bytes each) that are sent to every executor; a larger set of benchmarks is joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Rows of a table made from the test items that are sent to every executor; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def _shingled(df: DataFrame, text_col: str, k: int) -> DataFrame:
@@ -51,25 +51,25 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
     k, scratch = shingle_words, Scratch(docs.sparkSession)
     percent = round(threshold * 1000)
     tests = _shingled(items.select(F.col(item_id_col).alias("_item"), F.col(item_text_col).alias("_t")), "_t", k).where("_n > 0")
-    tests = scratch.write(tests.select("_item", F.array_distinct(_strings(k)).alias("_shingles"), F.array_sort(F.array_distinct(_hashes(k))).alias("_sorted")).dropDuplicates(["_item", "_shingles"]))
+    tests = scratch.write(tests.select("_item", F.array_distinct(_strings(k)).alias("_shingles"), F.array_sort(F.array_distinct(_hashes(k))).alias("_sorted")).dropDuplicates(["_item", "_shingles"]).withColumn("_set", F.monotonically_increasing_id()))
     n = F.size("_sorted")
     need = F.ceil(n * percent / 1000)
     sketches = tests.select("_item", need.alias("_need"), F.explode(F.slice("_sorted", 1, (n - need + 1).cast("int"))).alias("_hash"))
     # of one hash the smallest need is enough for the lookup
     lookup = scratch.write(sketches.groupBy("_hash").agg(F.min("_need").alias("_need")))
     sketches = scratch.write(sketches)
-    small = lookup.count() <= BROADCAST_ROWS
-    sent = lambda df: F.broadcast(df) if small else df
+    parts = scratch.write(tests.select("_item", "_set", F.explode("_shingles").alias("_s")))
+    sent = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_t"))
     hashed = _shingled(texts, "_t", k).where("_n > 0").select("_doc", "_n", F.explode(_hashes(k)).alias("_hash"))
     hits = hashed.join(sent(lookup), "_hash").where("_n >= _need").select("_doc", "_n", "_hash").distinct()
     pairs = scratch.write(hits.join(sent(sketches), "_hash").where("_n >= _need").select("_doc", "_item").distinct())
-    # verification: the shingles of candidate documents against those of the items they may hold
-    asked = pairs.groupBy("_doc").agg(F.count("*").alias("_asked")).select(F.col("_doc").alias("_cand"))
+    # verification: the shingles of candidate documents meet those of the items one by one, and are counted
+    asked = pairs.select(F.col("_doc").alias("_cand")).distinct()
     found = texts.join(asked, texts["_doc"].eqNullSafe(asked["_cand"]), "left_semi")
-    found = _shingled(found, "_t", k).where("_n > 0").select("_doc", F.array_distinct(_strings(k)).alias("_own"))
-    both = pairs.join(found, pairs["_doc"].eqNullSafe(found["_doc"])).select(pairs["_doc"], "_item", "_own").join(tests, "_item")
-    both = both.select("_doc", "_item", F.size("_shingles").alias("n"), F.size(F.array_intersect("_shingles", "_own")).alias("m")).where(F.col("m") * 1000 >= F.col("n") * percent)
+    own = _shingled(found, "_t", k).where("_n > 0").select("_doc", F.xxhash64("_t").alias("_text"), F.explode(_strings(k)).alias("_s"))
+    m = own.join(sent(parts), "_s").groupBy("_doc", "_text", "_set").agg(F.count_distinct("_s").alias("m"))
+    both = m.join(tests.select("_item", "_set", F.size("_shingles").alias("n")), "_set").where(F.col("m") * 1000 >= F.col("n") * percent)
     best = both.groupBy("_doc", "_item").agg(F.max(F.struct((F.col("m") / F.col("n")).alias("c"), "n", "m")).alias("b"))
     return best.select(F.col("_doc").alias(id_col), F.col("_item").alias(item_id_col if item_id_col != id_col else f"item_{item_id_col}"), F.col("b.n").cast("long").alias("n_shingles"), F.col("b.m").cast("long").alias("n_found"), F.col("b.c").alias("containment"))
 

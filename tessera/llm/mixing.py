@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import words
+from tessera.llm._common import Scratch, words
 
 SEED = "mix-1"
 MAX_REPEATS = 3
+#: Sources whose targets are sent to every executor; the targets of more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def draw(key: Column, seed: str = SEED) -> Column:
@@ -55,7 +57,9 @@ def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     """Rows (_row, _size, _source_size, _target, _copies): each document as a struct, and how often it is emitted."""
     sized = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source_col).alias("_source"), F.size(words(F.col(text_col))).cast("long").alias("_size"))
     goal = targets(sized.select("_source", "_size"), source_col="_source", weights=weights, max_repeats=max_repeats)
-    goal = goal.select("_src", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    goal = Scratch(docs.sparkSession).write(goal.select("_src", F.col("source_size").alias("_source_size"), F.col("target").alias("_target")))
+    # a row for each source: sent, so that no document is shuffled and a hot source stays where it is read
+    goal = F.broadcast(goal) if goal.count() <= BROADCAST_ROWS else goal
     rows = sized.join(goal, F.col("_source").eqNullSafe(F.col("_src")), "left")
     rate = F.when(F.col("_source_size") > 0, F.least(F.lit(float(max_repeats)), F.col("_target") / F.col("_source_size"))).otherwise(F.lit(0.0))
     whole = F.floor(rate)

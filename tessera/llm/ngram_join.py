@@ -112,13 +112,17 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     heads = [head(x) for x in own]
                     yield _setjoin.arrow_sets([batch.column("d").slice(first, len(own))], ["d"], [len(x) for x in own], [h[0] for h in heads], own)
 
-        return scratch.write(texts.where("d is not null").mapInArrow(read, "d long, n int, matches int, tokens array<long>").where("n > 0"))
+        out = scratch.write(texts.where("d is not null").mapInArrow(read, "d long, n int, matches int, tokens array<long>").where("n > 0"))
+        asked.destroy()
+        return out
 
     slim = scratch.write(rows.select("d", "n", "k1", "k2"))
     links = _setjoin.links_of_jobs(shared, ["d"], fetch, scratch, percent=percent, release=lambda: scratch.drop(rows))
     full = slim.where("n > 0 and d is not null")
     copies = full.join(same.where("copies > 1"), ["k1", "k2", "n"]).where("d <> rep").select(F.col("d").alias("a"), F.col("rep").alias("b"))
+    sent.destroy()
     nodes = scratch.write(connected(links.select(F.col("d_a").alias("a"), F.col("d_b").alias("b")).union(copies), scratch))
+    scratch.drop(same, links)
     out = slim.join(nodes, F.col("d") == F.col("node"), "left")
     return out.select(F.col("d").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "d").alias("component_id"))
 

@@ -15,6 +15,7 @@ An empty table gives no rows. Columns other than the id and the text are ignored
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,7 +95,7 @@ def coder(ranks: bytes, pattern: str):
     """A tokenizer of the given vocabulary file's content; kept for the life of a Python worker."""
     import tiktoken
 
-    key = (len(ranks), pattern)
+    key = (hashlib.sha256(ranks).digest(), pattern)
     if key not in _CODERS:
         found = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         _CODERS[key] = tiktoken.Encoding("packed", pat_str=pattern, mergeable_ranks=found, special_tokens={})
@@ -135,7 +136,7 @@ def packed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        code = coder(ranks.value, pattern)
+        code = coder(ranks.value, pattern)  # once a task
         base, row = TaskContext.get().partitionId() << 33, 0
         names: list = []
         held: list[np.ndarray] = []
