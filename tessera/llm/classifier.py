@@ -5,8 +5,8 @@ standardised statistics; ridge regression on them is fitted from normal equation
 the driver adds the few partial sums up. Isotonic regression on rows that the fit didn't see turns the scores into
 probabilities of label 1. Every document is then scored in one pass over the texts.
 
-Labels are learned from at most max_rows labelled rows, the ones with the smallest hashes of their ids; that bounds the
-partial sums and the calibration rows on the driver. Rows for which held_out() is true are never learned from. Scores
+Labels are learned from about max_rows labelled rows where there are more: those whose ids have a hash below the share that
+max_rows is of them all; that bounds the calibration rows on the driver. The partial sums have a fixed size. Rows for which held_out() is true are never learned from. Scores
 depend on the text alone.
 
 Defined results: null and empty texts are scored like any other (all their statistics are 0). Without labels, or with one
@@ -89,22 +89,25 @@ def statistics(text: str | None) -> np.ndarray:
 
 
 def isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots (score, probability), probabilities not falling. Equal scores are pooled first."""
+    """Pool adjacent violators: knots (score, probability), both rising. Equal scores are pooled first.
+
+    A pooled block is one knot at its mean score, and two more beyond the ends lead half way to 0 and 1; between knots the
+    probability is interpolated. So different scores get different probabilities, and documents can be ranked by them.
+    """
     order = np.argsort(score, kind="stable")
     at, first = np.unique(score[order], return_index=True)
     weight = np.diff(np.append(first, len(order))).astype(float)
     total = np.add.reduceat(label[order].astype(float), first)
-    stack: list[list[float]] = []
+    stack: list[list[float]] = []  # label sum, weight, weighted sum of scores
     for x, s, w in zip(at.tolist(), total.tolist(), weight.tolist(), strict=True):
-        stack.append([s, w, x, x])
+        stack.append([s, w, x * w])
         while len(stack) > 1 and stack[-2][0] * stack[-1][1] >= stack[-1][0] * stack[-2][1]:
-            s2, w2, _, hi = stack.pop()
-            stack[-1][0] += s2
-            stack[-1][1] += w2
-            stack[-1][3] = hi
-    xs = np.array([v for b in stack for v in (b[2], b[3])])
-    ps = np.array([(b[0] + 0.5) / (b[1] + 1.0) for b in stack for _ in (0, 1)])
-    return xs, np.maximum.accumulate(ps)
+            top = stack.pop()
+            stack[-1] = [a + b for a, b in zip(stack[-1], top, strict=True)]
+    xs = np.array([b[2] / b[1] for b in stack])
+    ps = np.maximum.accumulate(np.array([(b[0] + 0.5) / (b[1] + 1.0) for b in stack]))
+    reach = max(1.0, float(at[-1] - at[0]))
+    return np.concatenate(([at[0] - reach], xs, [at[-1] + reach])), np.concatenate(([ps[0] / 2], ps, [(1 + ps[-1]) / 2]))
 
 
 class Model:

@@ -6,7 +6,7 @@ Jensen-Shannon distance (base 2, so 0 to 1). A reference is the mean histogram o
 long enough, so a few long documents don't rule it. All columns are built-in expressions; each text is read once and its
 small histograms are written to the shared folder, from which references and verdicts are made.
 
-Defined results: a null or empty text has no words and fails the base rule. A null language is a language of its own. A
+Defined results: a null or empty text has no words and fails the base rule. A null language counts as ''. A
 histogram is only compared if the document has min_char_words (min_common_words) words; if its language has no reference
 (no document is long enough), its distances are null and don't count against it. Repeated rows each get a result.
 """

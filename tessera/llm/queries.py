@@ -145,7 +145,7 @@ n as (select item_id, count(*) n from i group by 1), m as (select doc_id, item_i
 select doc_id, item_id, n::bigint n_shingles, m::bigint n_found, m::double / n containment from m join n using (item_id) where m * 1000 >= n * 800
 """
 
-_HOST = r"nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '')"
+_HOST = r"nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)', 1), '\.+$', ''), '')"
 _OP7 = f"""
 with c as (select page_id, url, date '2024-01-01' + (page_id * 37 % 730)::int fetched_on, {_HOST} host from pages),
 p as (select distinct unnest(case when len(string_split(host, '.')) > 3 then [host, regexp_replace(host, '^[^.]*\\.', '')] else [host] end) pattern from c where host is not null),
@@ -155,7 +155,7 @@ e as (select pattern, 'block' action, date '2024-01-01' + b % 400 f from v where
   union all select pattern, 'allow', date '2024-01-01' + c % 600 from v where a % 5 = 0),
 one as (select pattern, f, max(action) action from e group by 1, 2),
 iv as (select pattern, action, f, lead(f) over (partition by pattern order by f) u from one),
-hit as (select page_id, pattern, action, f, row_number() over (partition by page_id order by length(pattern) desc) r from c join iv on (host = pattern or ends_with(host, '.' || pattern)) and f <= fetched_on and (u is null or fetched_on < u) where action <> 'remove')
+hit as (select page_id, pattern, action, f, row_number() over (partition by page_id order by length(pattern) desc) r from c join iv on (host = pattern or (ends_with(host, '.' || pattern) and not regexp_matches(host, '^[0-9.]+$|^\\['))) and f <= fetched_on and (u is null or fetched_on < u) where action <> 'remove')
 select c.page_id, url, fetched_on, host, pattern as "rule", action as rule_action, f as rule_from, coalesce(action <> 'block', true) kept from c left join hit on c.page_id = hit.page_id and r = 1
 """
 

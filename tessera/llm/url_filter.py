@@ -8,7 +8,8 @@ The lookup is an equi-join on the pattern with the interval as a residual condit
 one interval at most. The list side is compact (an array of intervals for each pattern would grow without bound; rows
 don't), and hot hosts are collapsed first: captures are looked up once for each distinct host and fetch day.
 
-Defined results: a null URL, one without a host, or a null fetch time matches nothing and is kept with rule null. Of
+Defined results: a null URL, one without a host, or a null fetch time matches nothing and is kept with rule null. An address
+(IPv4, or IPv6 in brackets) has no parent domains: only an entry of the whole address matches it. Of
 entries with the same pattern and day the last action in the order allow, block, remove holds. Repeated captures each get
 a row. Patterns are compared in lower case without a leading "*." or dot.
 """
@@ -18,10 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Entries of a list that is sent to every executor; a larger one is joined by a shuffle on the pattern.
+BROADCAST_ROWS = 200_000
+
 
 def host_of(url: Column) -> Column:
     """Lower-cased host of a URL, without user, port and trailing dot; null where there is none."""
-    raw = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
+    raw = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)", 1)
     host = F.regexp_replace(raw, r"\.+$", "")
     return F.when(host != "", host)
 
@@ -42,8 +46,11 @@ def filter_captures(captures: DataFrame, entries: DataFrame, *, url_col: str = "
     looked_up = seen.where("host is not null and _day is not null").select("host", "_day").distinct()
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    parents = F.when(F.col("host").rlike(r"^[0-9.]+$|^\["), F.array("host")).otherwise(parents)
     asked = looked_up.select("host", "_day", F.explode(parents).alias("pattern"))
     valid = intervals(entries, **list_cols)
+    if entries.count() <= BROADCAST_ROWS:  # no host is shuffled to the domain that it shares with many
+        valid = F.broadcast(valid)
     hits = asked.join(valid, (asked["pattern"] == valid["pattern"]) & (F.col("valid_from") <= F.col("_day")) & (F.col("valid_to").isNull() | (F.col("_day") < F.col("valid_to"))))
     best = hits.groupBy(F.col("host").alias("_host"), F.col("_day").alias("_at")).agg(F.max(F.struct(F.length(valid["pattern"]).alias("n"), valid["pattern"].alias("rule"), F.col("action"), F.col("valid_from"))).alias("_b"))
     out = seen.join(best, (F.col("host") == F.col("_host")) & (F.col("_day") == F.col("_at")), "left")

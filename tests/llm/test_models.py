@@ -100,6 +100,36 @@ def test_classifier_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
 
 
+def test_classifier_equals_a_plain_fit(spark):
+    """Ridge on random features by one normal equation of all rows, and isotonic means by the max-min formula."""
+    docs, labels = labelled(spark, 300)
+    rng = np.random.Generator(np.random.PCG64(7))
+    w, b = rng.normal(0, np.sqrt(2 * classifier.GAMMA), (classifier.N_STATS, classifier.FEATURES)), rng.uniform(0, 2 * np.pi, classifier.FEATURES)
+    use = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(4)).alias("use")
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "quality", use).orderBy("doc_id").collect()
+    x, y = np.array([classifier.statistics(r.text) for r in rows]), np.array([r.quality for r in rows])
+    learned = np.array([zlib.crc32(str(r.doc_id).encode()) % 5 != 0 for r in rows])
+    fit, calibrate = (learned & np.array([(r.use > 0) == z for r in rows]) for z in (True, False))
+    mean, scale = x[fit].mean(0), np.sqrt(np.maximum(x[fit].var(0), 1e-6))
+    z = np.hstack([np.sqrt(2 / classifier.FEATURES) * np.cos((x - mean) / scale @ w + b), np.ones((len(x), 1))])
+    weight = np.where(y[fit] == 1, fit.sum() / (2 * y[fit].sum()), fit.sum() / (2 * (1 - y[fit]).sum()))
+    a = (z[fit] * weight[:, None]).T @ z[fit] + classifier.RIDGE * fit.sum() / classifier.FEATURES * np.eye(classifier.FEATURES + 1)
+    raw = z @ np.linalg.solve(a, (z[fit] * weight[:, None]).T @ y[fit])
+    order = np.argsort(raw[calibrate])
+    r, label = raw[calibrate][order], y[calibrate][order].astype(float)
+    means = [max(min(label[j : k + 1].mean() for k in range(i, len(r))) for j in range(i + 1)) for i in range(len(r))]
+    xs, ps = [r[0] - max(1.0, r[-1] - r[0])], [None]
+    for v in sorted({round(m, 12) for m in means}):
+        block = [i for i, m in enumerate(means) if round(m, 12) == v]
+        xs.append(r[block].mean())
+        ps.append((label[block].sum() + 0.5) / (len(block) + 1))
+    ps = [ps[1] / 2, *np.maximum.accumulate(ps[1:]), (1 + max(ps[1:])) / 2]
+    expected = np.interp(raw, [*xs, r[-1] + max(1.0, r[-1] - r[0])], ps)
+    got = {g.doc_id: g.score for g in classifier.classify(docs, labels).collect()}
+    assert [got[g.doc_id] for g in rows] == pytest.approx(expected.tolist(), abs=1e-6)
+    assert len(set(got.values())) > 250
+
+
 def test_classifier_ignores_held_out_labels_and_other_columns(spark):
     docs, labels = labelled(spark, 300)
     flipped = labels.withColumn("quality", F.when(classifier.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -148,3 +178,33 @@ def test_pipeline(spark, tmp_path):
     assert Counter(d for r in last.collect() for d, s in zip(r.doc_ids, r.piece_starts) if s == 0) == Counter(r.doc_id for r in mixed.collect())
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert whole.agg(F.sum("n_ids")).first() == last.agg(F.sum("n_ids")).first()
+
+
+def stages_alone(spark, docs, folder, labels, items):
+    """All stages after one another; the rows that each leaves, and the last one's result."""
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    out = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, folder)
+        assert left.columns == docs.columns
+        docs = spark.createDataFrame(left.collect(), left.schema)
+        out.append(docs.collect())
+    return out, corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+
+
+@needs_vocabulary
+def test_pipeline_with_null_ids_repeated_rows_and_clashing_columns(spark, clashing, rows, tmp_path):
+    (good, one, clean, mixed), packed = stages_alone(spark, clashing, str(tmp_path), [], [])
+    assert len(good) == len(rows)  # no labels: every score is 0.5
+    assert sum(r.doc_id is None for r in one) == sum(r[0] is None for r in rows)
+    left = [r.doc_id for r in one if r.doc_id is not None]
+    assert len(left) == len(set(left))
+    assert len(clean) == len(one)  # no items
+    assert sum(len(r.doc_ids) for r in packed) >= len(mixed)
+
+
+@needs_vocabulary
+def test_pipeline_of_nothing(spark, empty, tmp_path):
+    stages, packed = stages_alone(spark, empty, str(tmp_path), [(1, 1, 0), (2, 0, 0)], [(1, "some words of an item to find")])
+    assert stages == [[], [], [], []] and packed == []

@@ -113,6 +113,18 @@ def test_sharding_is_reproducible_and_seeded(spark):
     assert len({first[i][0] for i in range(20)}) > 4
 
 
+def test_sharding_is_uniform(spark):
+    """Over many rows and a few seeds every row may come to any shard and any place in it, whatever its part."""
+    rows = spark.range(4000).select("id")
+    pairs = Counter()
+    for seed in range(4):
+        got = sharding.shuffle_into_shards(rows, shards=4, seed=seed, part_rows=500).collect()
+        pairs += Counter((r.id // 1000, r.shard, r.slot // 250) for r in got)
+    expected = 4 * 4000 / 64
+    chi = sum((pairs[i, s, t] - expected) ** 2 / expected for i in range(4) for s in range(4) for t in range(4))
+    assert chi < 110  # 63 degrees of freedom at most: beyond 110 in one case of 5,000
+
+
 def test_communication_matrix_margins_and_law():
     parts, shards = [7, 0, 30, 13], [13, 13, 12, 12]
     seen = Counter()
@@ -137,6 +149,14 @@ def test_url_filter(spark):
     assert found == {1: (True, None), 2: (False, "bad.com"), 3: (False, "bad.com"), 4: (True, None), 5: (True, "ok.bad.com"), 6: (False, "org.example"), 7: (False, "same.net"), 8: (True, None), 9: (True, None), 10: (True, None)}
 
 
+def test_url_filter_takes_addresses_as_a_whole(spark, monkeypatch):
+    entries = spark.createDataFrame([("1", "block", "2024-01-01"), ("0.1", "block", "2024-01-01"), ("10.0.0.2", "block", "2024-01-01"), ("[::1]", "block", "2024-01-01")], "pattern string, action string, day string")
+    captures = spark.createDataFrame([(1, "http://10.0.0.1/x", "2024-02-01"), (2, "http://10.0.0.2:80/", "2024-02-01"), (3, "http://[::1]:8080/", "2024-02-01"), (4, "http://[::2]/", "2024-02-01")], "id long, url string, fetched_on string")
+    for rows in (10, 0):  # sent, and by a shuffle
+        monkeypatch.setattr(url_filter, "BROADCAST_ROWS", rows)
+        assert {r.id: r.kept for r in url_filter.filter_captures(captures, entries).collect()} == {1: True, 2: False, 3: False, 4: True}
+
+
 def fill(sizes, weights):
     """Water filling step by step."""
     caps, total, closed = {s: 3 * n for s, n in sizes.items()}, sum(sizes.values()), set()
