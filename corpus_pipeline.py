@@ -1,7 +1,14 @@
 """The corpus pipeline: five stages from raw documents to packed token ids.
 
 Each stage takes all that the one before kept and is written as Parquet to the shared folder before the next reads it, so
-a lost executor costs a stage's tasks at most. All stages but the last return the columns of documents.
+a lost executor costs a stage's tasks at most. All stages but the last return the columns of documents, whatever other columns
+these have and however they are named.
+
+Defined results: a null or empty text is scored, linked with nothing, free of benchmark items, of size 0, and packed as a
+document of just the end id if its source's rate takes it. Rows with a null id are scored like others, stay in the near-duplicate
+stage, go with any null-id row that holds an item, and draw alike in the mix. Of rows with equal ids and texts the near-duplicate
+stage leaves one. Empty documents give no packed rows; without labels every score is 0.5, which keeps all, and without benchmark
+items nothing is removed.
 """
 
 from __future__ import annotations
