@@ -66,7 +66,7 @@ def label_twins(rows: DataFrame, *, ratio: float = 0.5, epsilon: float = 0.05, l
     return twins.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list("t")), 1, limit)["i"].alias("twins"))
 
 
-def label_confirmed(*, max_txt_rank: int, min_disc_hit: float, min_name_cover: float) -> Column:
+def label_confirmed(*, max_txt_rank: int | Column, min_disc_hit: float | Column, min_name_cover: float | Column) -> Column:
     """The label alone confirms the card, whatever its probability."""
     clean = F.least(*[F.coalesce(F.col(x), F.lit(0)) for x in (*AXES, "vintage_match")]) != -1
     return clean & (F.col("txt_rank") <= max_txt_rank) & (F.col("winery_hit") == 1) & ((F.col("disc_hit") >= min_disc_hit) | (F.col("name_cover") >= min_name_cover))

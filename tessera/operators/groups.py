@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import key_text
+from tessera.sources.writers import shared_folder
 
 YEAR = r"(?<!\d)(?:19|20)\d{2}(?!\d)"
 
@@ -17,10 +18,8 @@ def components(edges: DataFrame, *, a: str = "a", b: str = "b", rounds: int = 50
     halves; every round is checkpointed to the folder in spark.checkpoint.dir. Self-loops are classes of their own.
     """
     spark = edges.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     links = links.union(links.select("v", "u")).distinct().checkpoint()
     labels = links.groupBy(F.col("u").alias("node")).agg(F.least("u", F.min("v")).alias("component")).checkpoint()

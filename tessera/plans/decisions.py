@@ -160,18 +160,6 @@ def crop_audit(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("family", "n", "lost", "clipped", *[F.round(c, 6).alias(c) for c in ("mean_iou", "iou_50", "iou_75", "whole")])
 
 
-def label_rule_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """All cells of a grid of label rules, with what each confirms."""
-    rows = _scored(spark, sf).where("position = 0")
-    out = None
-    for hit in (0.0, 0.5, 1.0):
-        for cover in (0.5, 0.75, 1.0):
-            ok = decisions.label_confirmed(max_txt_rank=20, min_disc_hit=hit, min_name_cover=cover)
-            cell = rows.withColumn("vintage_match", F.lit(0)).agg(F.count_if(ok).alias("confirmed"), F.count_if(ok & (F.col("inliers") % 3 > 0)).alias("right")).select(F.lit(hit).alias("min_disc_hit"), F.lit(cover).alias("min_name_cover"), "confirmed", "right")
-            out = cell if out is None else out.union(cell)
-    return out
-
-
 def retrieve_fuse_decide(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: two retrievals of vectors are fused, scored, decided and measured, by label."""
     v = table(spark, sf, "embeddings")
@@ -189,7 +177,7 @@ def retrieve_fuse_decide(spark: SparkSession, sf: str) -> DataFrame:
     return answered.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(1 / (F.col("rank") + 1), F.lit(0.0))), 6).alias("mrr"), F.count_if("answered").alias("answered"), F.count_if(F.col("answered") & F.col("right")).alias("right"))
 
 
-QUERIES = {f.__name__: f for f in (retrieve_fuse_decide, candidate_features, theta_rivals, guards, sibling_swaps, label_twin_cards, confidence_summary, rerank_windows, verdict_metrics, false_accept_rollup, threshold_grid, utility_pick, auroc, tie_aware_mrr, operating_point, micro_macro, crop_audit, label_rule_grid)}
+QUERIES = {f.__name__: f for f in (retrieve_fuse_decide, candidate_features, theta_rivals, guards, sibling_swaps, label_twin_cards, confidence_summary, rerank_windows, verdict_metrics, false_accept_rollup, threshold_grid, utility_pick, auroc, tie_aware_mrr, operating_point, micro_macro, crop_audit)}
 
 
 def _others(value: str, by: str, default: str, agg: str = "max") -> str:
@@ -218,6 +206,5 @@ SQL = {
     "operating_point": f"with {_O}, q as (select quantile_cont(raw, 0.2) cut from o where known) select round(cut, 6) cut, round(count(*) filter (raw >= cut and not known) / count(*) filter (not known), 6) false_accept, round(count(*) filter (raw >= cut and known and correct) / count(*) filter (known), 6) correct from o cross join q group by cut",
     "micro_macro": "with g as (select l_suppkey, avg((l_returnflag = 'R')::int) m, sum((l_returnflag = 'R')::int) s, count(*) n from lineitem group by 1) select round(sum(s) / sum(n), 6) returned_micro, round(avg(m), 6) returned_macro from g",
     "crop_audit": f"with {_C}, k as (select family, vis_score iou, greatest(vis_score, txt_score) kept, inliers % 7 = 0 clip from c) select family, count(*) n, count(*) filter (kept < 0.99) lost, count(*) filter (clip) clipped, round(avg(iou), 6) mean_iou, round(avg((iou >= 0.5)::int), 6) iou_50, round(avg((iou >= 0.75)::int), 6) iou_75, round(avg((kept >= 0.99)::int), 6) whole from k group by 1",
-    "label_rule_grid": f"with {_P}, g as (select h::double h, v::double v from (values (0.0), (0.5), (1.0)) a(h), (values (0.5), (0.75), (1.0)) b(v)) select h min_disc_hit, v min_name_cover, count(*) filter (ok) confirmed, count(*) filter (ok and inliers % 3 > 0) as \"right\" from (select *, least(color_match, style_match, grape_match) <> -1 and txt_rank <= 20 and winery_hit = 1 and (disc_hit >= h or name_cover >= v) ok from p cross join g where position = 0) group by 1, 2",
     "retrieve_fuse_decide": "with v as materialized (select vec_id, label, embedding::double[] e from embeddings), s as (select q.vec_id query_id, i.vec_id item_id, list_dot_product(q.e, i.e) a, list_dot_product(q.e[1:32], i.e[1:32]) b from v q join v i on q.vec_id <> i.vec_id where q.vec_id % 20 = 0), r as (select query_id, item_id, row_number() over (partition by query_id order by a desc, item_id) - 1 k from s union all select query_id, item_id, row_number() over (partition by query_id order by b desc, item_id) - 1 from s), f as (select query_id, item_id, round(sum(1.0::double / (61 + k)), 9) score from r where k < 50 group by 1, 2), t as (select * from (select *, row_number() over (partition by query_id order by score desc, item_id) - 1 k from f) where k < 10), p as (select query_id, q.label, min(case when i.label = q.label then k end) k, max(score) top from t join v q on q.vec_id = query_id join v i on i.vec_id = item_id group by 1, 2) select label, count(*) n, round(avg(coalesce(1.0::double / (k + 1), 0)), 6) mrr, count(*) filter (top >= 0.031) answered, count(*) filter (top >= 0.031 and k = 0) as \"right\" from p group by label",
 }

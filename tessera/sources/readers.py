@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -205,7 +203,3 @@ def frames(spark: SparkSession, per_second: int) -> DataFrame:
     """Stand-in for a video: a stream of numbered frames at a fixed rate."""
     return spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select(F.col("value").alias("frame_no"), F.col("timestamp").alias("ts"))
 
-
-def batches_of(iterator: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The identity for mapInPandas, where a source only needs partitioned reading."""
-    yield from iterator

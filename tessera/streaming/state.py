@@ -30,23 +30,74 @@ def first_added(events: DataFrame, key: list[str], *, updated: str, deleted: str
     return lives.where(~F.col(deleted)).groupBy(*key).agg(F.max_by(added, F.struct("_life", (-F.unix_micros(F.col(updated).cast("timestamp"))).alias("_u"))).alias(added))
 
 
-def merge_into(path: str, key: list[str], *, updated: str, deleted: str, tie: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch target: the table of latest rows, deletions among them, in numbered versions below path.
+BUCKETS = 64
 
-    Late events are just older and lose. A repeated batch writes the same version again.
+
+def merge_into(path: str, key: list[str], *, updated: str, deleted: str, tie: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """foreachBatch target: the table of latest rows, deletions among them, below path. Read it with merged().
+
+    The table lies in buckets of the key's hash. A batch writes new versions of the buckets that it touches and leaves the others
+    alone; a version is read once its marker is there. Late events are just older and lose. A repeated batch starts from the
+    versions before it and writes the same ones again. Versions that a newer one replaces are deleted a batch later.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if batch_id:
-            rows = spark.read.parquet(f"{path}/version={batch_id - 1}").unionByName(batch)
+        rows = batch.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        touched = sorted(r[0] for r in rows.select("_bucket").distinct().collect())  # `buckets` numbers at most
+        if not touched:
+            return
+        newest = {b: v for b, v in _versions(spark, path, batch_id).items() if b in touched}
+        old = [f"{path}/version={v}/_bucket={b}" for b, v in newest.items()]
+        if old:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(*old).withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")))
         best = F.max(F.struct(F.col(updated), F.col(deleted).cast("int").alias("_d"), F.col(tie).alias("_t"), F.struct(*batch.columns).alias("row")))
-        rows.groupBy(*key).agg(best.alias("b")).select("b.row.*").write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        latest = rows.groupBy("_bucket", *key).agg(best.alias("b")).select("_bucket", "b.row.*")
+        latest.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/version={batch_id}")
+        # nobody needs what the last batch but one left of these buckets
+        for b, v in _versions(spark, path, batch_id - 1).items():
+            if b in newest and newest[b] != v:
+                _delete(spark, f"{path}/version={v}/_bucket={b}")
 
     return merge
 
 
+def _files(spark, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _delete(spark, path: str) -> None:
+    fs, at = _files(spark, path)
+    fs.delete(at, True)
+
+
+def _versions(spark, path: str, before: int | None = None) -> dict[int, int]:
+    """Newest finished version of each bucket, of those below `before`."""
+    fs, at = _files(spark, path)
+    out: dict[int, int] = {}
+    if not fs.exists(at):
+        return out
+    for folder in fs.listStatus(at):
+        name = folder.getPath().getName()
+        if not name.startswith("version=") or not fs.exists(_files(spark, f"{path}/{name}/_SUCCESS")[1]):
+            continue
+        version = int(name.split("=")[1])
+        if before is not None and version >= before:
+            continue
+        for b in fs.listStatus(folder.getPath()):
+            part = b.getPath().getName()
+            if part.startswith("_bucket="):
+                bucket = int(part.split("=")[1])
+                out[bucket] = max(out.get(bucket, -1), version)
+    return out
+
+
+def merged(spark, path: str) -> DataFrame:
+    """The rows of a table that merge_into() keeps."""
+    return spark.read.parquet(*[f"{path}/version={v}/_bucket={b}" for b, v in _versions(spark, path).items()])
+
+
 # idempotence, rewards, limits
 
 
@@ -164,14 +215,17 @@ def circuit_breaker(events: DataFrame, *, key: str, ts: str, order: str, failed:
     return _by_key(events, key, [ts, order], lambda: breaker(failures, cooldown_seconds), [ts, failed], "call", "string")
 
 
-def planner(per_day: int, gap_seconds: float, stale_seconds: float, quiet: tuple[int, int] = (22, 9)):
-    """Push planner: a key once, nothing stale or in quiet hours, so many a day and apart by a gap."""
-    sent: set = set()
+def planner(per_day: int, gap_seconds: float, stale_seconds: float, quiet: tuple[int, int] = (22, 9), keep_seconds: float = 259_200):
+    """Push planner: a key once, nothing stale or in quiet hours, so many a day and apart by a gap. What was sent is forgotten
+    after keep_seconds, so the state of a user is bounded by what is sent in that time."""
+    sent: dict = {}
     day, count, last = None, 0, None
 
     def step(values: tuple) -> str:
         nonlocal day, count, last
         at, made, name = values
+        for old in [k for k, t in sent.items() if (at - t).total_seconds() >= keep_seconds]:
+            del sent[old]
         if name in sent:
             return "duplicate"
         if (at - made).total_seconds() > stale_seconds:
@@ -184,7 +238,7 @@ def planner(per_day: int, gap_seconds: float, stale_seconds: float, quiet: tuple
             return "cap"
         if last is not None and (at - last).total_seconds() < gap_seconds:
             return "gap"
-        sent.add(name)
+        sent[name] = at
         count, last = count + 1, at
         return "send"
 
@@ -240,6 +294,29 @@ def streaks(days: DataFrame, *, key: str, day: str, solved: str) -> DataFrame:
     return per.select(key, "current", "best")
 
 
+def inventory(moves: DataFrame, *, key: str, order: list[str], item: str, n: str, capacity: int) -> DataFrame:
+    """Moves of items into (n > 0) and out of a store, in order: ok, full (it holds `capacity` in all) or short (fewer are there).
+    Refused moves change nothing."""
+
+    def fold():
+        held: dict = {}
+
+        def step(values: tuple) -> str:
+            name, count = values[0], int(values[1])
+            if count > 0 and sum(held.values()) + count > capacity:
+                return "full"
+            if held.get(name, 0) + count < 0:
+                return "short"
+            held[name] = held.get(name, 0) + count
+            if not held[name]:
+                del held[name]
+            return "ok"
+
+        return step
+
+    return _by_key(moves, key, order, fold, [item, n], "outcome", "string")
+
+
 def experience(events: DataFrame, *, key: str, order: list[str], gain: str, levels: list[int], bonus: int) -> DataFrame:
     """Running experience: gains add up, each level that is reached adds a bonus once."""
 
