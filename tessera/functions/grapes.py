@@ -63,15 +63,31 @@ def same_word(a: str, b: str) -> bool:
 def find(texts: DataFrame, phrases: list[tuple[str, str]], *, words_col: str, out_col: str = "grapes") -> DataFrame:
     """Adds the canonical names found in arrays of folded words: from each place the longest phrase, fuzzily, then on.
 
-    phrases is the collected vocabulary, whose size is that of a dictionary. A phrase's first word is looked up by its
-    length and letters, so a text is scanned once.
+    phrases is the collected vocabulary, whose size is that of a dictionary. Phrases are looked up by their first word: equal
+    ones by a dictionary, nearly equal ones only among words of a length that differs by one at most; what a worker has looked up
+    it remembers.
     """
-    ordered = sorted(((tuple(p.split()), c) for p, c in phrases), key=lambda x: (-len(x[0]), x[0]))
+    by_word: dict[str, list[tuple[tuple[str, ...], str]]] = {}
+    for p, c in phrases:
+        parts = tuple(p.split())
+        by_word.setdefault(parts[0], []).append((parts, c))
+    lengths: dict[int, list[str]] = {}
+    for w in by_word:
+        lengths.setdefault(len(w), []).append(w)
+    known: dict[str, list] = {}
+
+    def starting(word: str) -> list[tuple[tuple[str, ...], str]]:
+        if word not in known:
+            if len(known) > 100_000:
+                known.clear()
+            first = [w for n in (-1, 0, 1) for w in lengths.get(len(word) + n, ()) if same_word(word, w)]
+            known[word] = sorted((x for w in first for x in by_word[w]), key=lambda x: (-len(x[0]), x[0]))
+        return known[word]
 
     def scan(words: list[str]) -> list[str]:
         found, i = set(), 0
         while i < len(words):
-            hit = next(((len(parts), name) for parts, name in ordered if len(words) - i >= len(parts) and all(map(same_word, words[i : i + len(parts)], parts))), None)
+            hit = next(((len(parts), name) for parts, name in starting(words[i]) if len(words) - i >= len(parts) and all(map(same_word, words[i + 1 : i + len(parts)], parts[1:]))), None)
             if hit:
                 found.add(hit[1])
             i += hit[0] if hit else 1
@@ -92,6 +108,11 @@ def in_name(words: Column, phrases: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(words, lambda w: F.filter(phrases, lambda p: ~p.contains(" ") & (F.length(p) >= 5) & w.startswith(p))))))
 
 
+def of_card(field: Column, name_words: Column, phrases: Column) -> Column:
+    """Varieties of a card: those of its field and those with which a word of its name begins."""
+    return F.array_sort(F.array_union(parse(field), F.transform(in_name(name_words, phrases), canonical)))
+
+
 def compare(label: Column, card: Column) -> Column:
     """1 if a name's words are within those of one on the other side, -1 if none is, 0 if a side has no names."""
     parts = lambda x: F.split(x, " ")

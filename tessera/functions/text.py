@@ -5,8 +5,10 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Cyrillic letters and their usual Latin spelling. The second string holds those with one letter or none.
 MULTI = {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "yu", "я": "ya"}
@@ -239,3 +241,68 @@ def phone(text: Column) -> Column:
     """Ten national digits as +7 000 000-00-00; null if there are not ten."""
     digits = F.regexp_replace(F.regexp_replace(text, r"\D", ""), "^[78](?=\\d{10}$)", "")
     return F.when(digits.rlike(r"^\d{10}$"), F.regexp_replace(digits, r"(\d{3})(\d{3})(\d{2})(\d{2})", "+7 $1 $2-$3-$4"))
+
+
+def initial(name: Column) -> Column:
+    """First letter in upper case, ? without one."""
+    n = F.trim(F.coalesce(name, F.lit("")))
+    return F.when(n == "", "?").otherwise(F.upper(F.substring(n, 1, 1)))
+
+
+def phone_input(digits: Column) -> Column:
+    """What an input field shows of the digits typed so far: (000) 000-00-00."""
+    d = F.coalesce(digits, F.lit(""))
+    part = lambda before, at, n: F.when(F.length(d) > at, F.concat(F.lit(before), F.substring(d, at + 1, n))).otherwise("")
+    return F.concat(part("(", 0, 3), part(") ", 3, 3), part("-", 6, 2), part("-", 8, 2))
+
+
+def masked_phone(digits: Column) -> Column:
+    """Ten digits with the middle hidden; empty if there are not ten."""
+    return F.when(F.length(digits) == 10, F.concat(F.lit("+7 ("), F.substring(digits, 1, 3), F.lit(") •••-••-"), F.substring(digits, 9, 2))).otherwise("")
+
+
+def file_safe(name: Column) -> Column:
+    """A name for a file: letters, digits, dots, dashes and underscores, 200 characters at most."""
+    return F.substring(F.regexp_replace(name, r"(?U)[^\w.\-]", "_"), 1, 200)
+
+
+# Serving temperatures by kind, in this order; sweet white and rose are served warmer.
+SERVING = (("игрист|шампан", "6–8°"), ("красн", "16–18°"), ("оранж", "12–14°"))
+SERVING_LIGHT = ("бел|роз", "10–12°", "8–10°")
+
+
+def serving_temperature(category: Column, name: Column, sweetness: Column) -> Column:
+    """Usual serving temperature of a kind of wine; null if nothing says it."""
+    kind = F.lower(F.concat_ws(" ", F.coalesce(category, F.lit("")), F.coalesce(name, F.lit(""))))
+    brut = F.coalesce(sweetness.isin("brut", "extra_brut"), F.lit(False))
+    out = F.when(kind.rlike(SERVING[0][0]) | brut, SERVING[0][1])
+    for pattern, value in SERVING[1:]:
+        out = out.when(kind.rlike(pattern), value)
+    pattern, sweet, other = SERVING_LIGHT
+    return out.when(kind.rlike(pattern) & F.coalesce(sweetness == "sweet", F.lit(False)), sweet).when(kind.rlike(pattern), other)
+
+
+def card_tags(category: Column, sweetness: Column, grapes: Column, limit: int = 5) -> Column:
+    """Category, sweetness and varieties without generic ones: varieties up to `limit` tags in all."""
+    names = F.filter(F.transform(F.split(F.coalesce(grapes, F.lit("")), ","), F.trim), lambda g: (g != "") & ~F.lower(g).contains("сорта"))
+    first = F.array_compact(F.array(F.nullif(category, F.lit("")), sweetness))
+    return F.concat(first, F.slice(names, F.lit(1), F.greatest(F.lit(0), limit - F.size(first))))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def name_keys(names: pd.Series) -> pd.Series:
+    """All forms under which a file's name may be listed: itself, and what it was before its UTF-8 bytes were read in a code page
+    (Spark's encode knows none of them, so this is an Arrow-batched function)."""
+
+    def keys(name):
+        if name is None:
+            return None
+        out = {unicodedata.normalize("NFC", name)}
+        for page in ("cp437", "cp866", "cp1251", "cp1252"):
+            try:
+                out.add(unicodedata.normalize("NFC", name.encode(page).decode("utf-8")))
+            except UnicodeError:
+                continue
+        return sorted(out)
+
+    return names.map(keys)

@@ -142,3 +142,75 @@ def assert_ordered_subset(names: list[str], reference: list[str]) -> None:
     missing = [n for n in names if n not in rest]
     if missing:
         raise ValueError(f"not an ordered subset of the reference: {missing}")
+
+
+def fit_ranker(pairs: DataFrame, features: list[str], *, reg: float = 1e-3) -> dict[str, float]:
+    """Weights of a linear pairwise ranker from preference_pairs(): a logistic regression without an intercept on the differences,
+    each taken both ways. Score a row with ranker_score()."""
+    both = pairs.select(*features, "weight", F.lit(1.0).alias("_y")).union(pairs.select(*[(-F.col(f)).alias(f) for f in features], "weight", F.lit(0.0).alias("_y")))
+    data = VectorAssembler(inputCols=features, outputCol="_f").transform(both)
+    m = LogisticRegression(featuresCol="_f", labelCol="_y", weightCol="weight", fitIntercept=False, regParam=reg, standardization=False, tol=1e-9, maxIter=200).fit(data)
+    return dict(zip(features, (float(x) for x in m.coefficients), strict=True))
+
+
+def ranker_score(weights: dict[str, float]) -> Column:
+    out = F.lit(0.0)
+    for f, w in weights.items():
+        out = out + F.lit(w) * F.col(f)
+    return out
+
+
+def out_of_fold(rows: DataFrame, features: list[str], group: Column, folds: int, *, label: str = "label", seed: int = 0, **options) -> DataFrame:
+    """rows with probability, predicted by a model that has not seen the row's group: one fit for each fold."""
+    from pyspark.ml.functions import vector_to_array
+
+    dealt = rows.withColumn("_fold", fold(group, folds, seed))
+    out = None
+    for k in range(folds):
+        assembler, model = fit_classifier(dealt.where(F.col("_fold") != k), features, label=label, **options)
+        one = model.transform(assembler.transform(dealt.where(F.col("_fold") == k)))
+        one = one.withColumn("probability", F.get(vector_to_array("probability"), F.lit(1))).select(*rows.columns, "_fold", "probability")
+        out = one if out is None else out.union(one)
+    return out.withColumnRenamed("_fold", "fold")
+
+
+def bagged_threshold(rows: DataFrame, thresholds: DataFrame, replicates: int, *, unknown_share: float = 0.5, wrong_cost: float = 1.0, false_cost: float = 1.0, seed: int = 0) -> DataFrame:
+    """rows(cluster, raw, known, correct): a threshold from each cluster bootstrap, their median, and what each does on the
+    clusters it didn't draw (means over replicates). One row.
+
+    Counts by cluster and threshold are made once, so a replicate is a weighted sum of them."""
+    met = rows.crossJoin(F.broadcast(thresholds))  # a grid of a few hundred rows
+    over = F.col("raw") >= F.col("threshold")
+    n = lambda c: F.count_if(c).cast("double")
+    per = met.groupBy("cluster", "threshold").agg(n(over & F.col("known") & F.col("correct")).alias("r"), n(over & F.col("known") & ~F.col("correct")).alias("w"), n(over & ~F.col("known")).alias("f"), n(F.col("known")).alias("k"), n(~F.col("known")).alias("u"))
+    drawn = per.join(bootstrap_weights(per.select("cluster").distinct(), replicates, seed), "cluster")
+    sums = lambda df, x: df.groupBy("replicate", "threshold").agg(*[F.sum(F.col(c) * x).alias(c) for c in "rwfku"])
+    part = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0.0))
+    inside = sums(drawn.where("weight > 0"), F.col("weight")).where("k > 0 and u > 0")
+    utility = F.round((1 - unknown_share) * (part("r", "k") - wrong_cost * part("w", "k")) - unknown_share * false_cost * part("f", "u"), 9)
+    best = inside.withColumn("_u", utility).withColumn("_m", F.max("_u").over(Window.partitionBy("replicate"))).where("_u = _m")
+    flat = best.groupBy("replicate").agg(F.array_sort(F.collect_list("threshold")).alias("t"))
+    picks = flat.select("replicate", F.get("t", F.floor(F.size("t") / 2).cast("int")).alias("pick"))
+    outside = sums(drawn.where("weight = 0"), F.lit(1.0)).where("k > 0 and u > 0")
+    judged = picks.join(outside, (picks["replicate"] == outside["replicate"]) & (picks["pick"] == outside["threshold"]), "left")
+    rate = lambda c: F.avg(c)
+    return judged.agg(F.median("pick").alias("threshold"), rate((F.col("r") + F.col("w")) / F.col("k")).alias("coverage"), rate(part("r", "k")).alias("right"), rate(part("f", "u")).alias("false_accept"))
+
+
+def save_decider(spark, assembler, model, meta: dict, path: str) -> None:
+    """A fitted decider as a pipeline of its parts, with its settings as JSON beside it."""
+    import json
+
+    from pyspark.ml import PipelineModel
+
+    PipelineModel([assembler, model]).write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def load_decider(spark, path: str) -> tuple:
+    """(pipeline model, settings)"""
+    import json
+
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/meta").first()[0])

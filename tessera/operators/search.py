@@ -237,3 +237,18 @@ def discriminative(items: DataFrame, *, family: str, words: Column, max_share: f
     df = w.groupBy("family", "word").agg(F.count("*").alias("df"))
     kept = w.join(df, ["family", "word"]).join(size, "family").where((F.col("size") > 1) & (F.col("df") <= max_share * F.col("size")) & ~F.col("word").isin(*generic) if generic else (F.col("size") > 1) & (F.col("df") <= max_share * F.col("size")))
     return kept.select("item_id", "family", "word", (F.ln(F.col("size") / F.col("df")) + 0.1).alias("weight"))
+
+
+def self_check(items: DataFrame, near: DataFrame, *, duplicate: float = 0.98) -> DataFrame:
+    """Quality of an index, from the nearest items(query_id, item_id, score, rank) of its own vectors: rows (item_id, finds_itself,
+    twin, twin_score). twin is the nearest other item at or above a similarity."""
+    itself = near.where("query_id = item_id").groupBy("query_id").agg((F.min("rank") == 0).alias("_f"))
+    other = near.where((F.col("query_id") != F.col("item_id")) & (F.col("score") >= duplicate)).groupBy("query_id").agg(F.max_by(F.struct("item_id", "score"), F.struct("score", (-F.col("item_id")).alias("i"))).alias("_t"))
+    out = items.join(itself, items["item_id"] == itself["query_id"], "left").drop("query_id").join(other, items["item_id"] == other["query_id"], "left")
+    return out.select("item_id", F.coalesce("_f", F.lit(False)).alias("finds_itself"), F.col("_t.item_id").alias("twin"), F.col("_t.score").alias("twin_score"))
+
+
+def verify_patch(old: DataFrame, new: DataFrame, probes: DataFrame, least: float) -> DataFrame:
+    """Probes(item_id) whose vector in a patched index isn't what it was: rows (item_id, cosine) below `least`; none if all is well."""
+    a, b = old.select("item_id", F.col("embedding").alias("_a")), new.select("item_id", F.col("embedding").alias("_b"))
+    return probes.join(a, "item_id").join(b, "item_id", "left").select("item_id", F.coalesce(dot(F.col("_a"), F.col("_b")), F.lit(-1.0)).alias("cosine")).where(F.col("cosine") < least)

@@ -284,12 +284,27 @@ def unknown_copies(spark: SparkSession, sf: str) -> DataFrame:
     return learning.with_unknowns(rows).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
+def bagged_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    rows = base._outcomes(spark, sf).withColumn("cluster", F.col("query_id") % 97)
+    out = learning.bagged_threshold(rows, metrics.grid(spark, 20, 0.05), 50, unknown_share=0.2, false_cost=0.5)
+    return _rounded(out, "threshold", "coverage", "right", "false_accept")
+
+
+def out_of_fold_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of three folds of orders, each scored by a model of the other two, and by a pairwise ranker."""
+    rows = base.candidates(spark, sf).withColumn("label", (F.col("inliers") % 4 == 0).cast("int"))
+    features = ["vis_score", "txt_score", "disc_hit"]
+    weights = learning.fit_ranker(learning.preference_pairs(rows, features), features)
+    out = learning.out_of_fold(rows, features, F.col("query_id"), 3, kind="lr")
+    return out.select("query_id", "pos", "fold", F.round("probability", 6).alias("probability"), F.round(learning.ranker_score(weights), 6).alias("rank_score"))
+
+
 def balanced_split(spark: SparkSession, sf: str) -> DataFrame:
     per = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("group")).agg(F.count("*").alias("n"))
     return learning.balanced_split(per, 3)
 
 
-QUERIES = {f.__name__: f for f in (counters_by_reason, per_item_report, intruders_at_50, mode_medians, vintage_tally, inference_summary, judge_variants, feature_ablation, reader_comparison, detector_evaluation, partial_boxes, crop_flags, label_rule_grid, out_of_fold_join, files_not_in_test, result_projection, answer_payload, judge_triggers, judge_options, judge_verdicts, consistent_picks, review_lists, rejected_entries, guard_effects, canonical_leaders, budget_threshold, family_wins, puzzle_cells, plot_rules, seeded_draws, frame_notes, preference_pairs, unknown_copies, balanced_split)}
+QUERIES = {f.__name__: f for f in (counters_by_reason, per_item_report, intruders_at_50, mode_medians, vintage_tally, inference_summary, judge_variants, feature_ablation, reader_comparison, detector_evaluation, partial_boxes, crop_flags, label_rule_grid, out_of_fold_join, files_not_in_test, result_projection, answer_payload, judge_triggers, judge_options, judge_verdicts, consistent_picks, review_lists, rejected_entries, guard_effects, canonical_leaders, budget_threshold, family_wins, puzzle_cells, plot_rules, seeded_draws, frame_notes, preference_pairs, unknown_copies, bagged_threshold, out_of_fold_scores, balanced_split)}
 
 _IOU = "{both} / ({a} + {b} - {both})"
 _SHARED = "(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)))"

@@ -190,6 +190,35 @@ def grape_comparisons(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", grapes.compare(F.array("p_name"), card).alias("match"), F.array_join(begins, "|").alias("begins"))
 
 
+@_query("select p_partkey, upper(p_name[1]) \"initial\", case when p_size % 2 = 0 then '+7 (9' || lpad((p_size % 100)::varchar, 2, '0') || ') •••-••-' || lpad((p_partkey % 100)::varchar, 2, '0') else '' end masked, '(9' || lpad((p_size % 100)::varchar, 2, '0') || ') 12' typed, replace(p_name, ' ', '_') || '_' || p_size || '.jpg' safe from part")
+def small_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Initials, phones as typed and as shown, and names for files."""
+    two = lambda c: F.lpad((c % 100).cast("string"), 2, "0")
+    digits = F.concat(F.lit("9"), two(F.col("p_size")), F.lit("12345"), two(F.col("p_partkey")))
+    shown = F.when(F.col("p_size") % 2 == 0, digits).otherwise(F.substring(digits, 1, 7))
+    return table(spark, sf, "part").select("p_partkey", text.initial(F.col("p_name")).alias("initial"), text.masked_phone(shown).alias("masked"), text.phone_input(F.substring(digits, 1, 5)).alias("typed"), text.file_safe(F.concat("p_name", F.lit("/"), "p_size", F.lit(".jpg"))).alias("safe"))
+
+
+KINDS = [("Красное", "Мерло", "dry", "16–18°", "Красное|dry|Мерло"), ("Белое", "Кокур", "sweet", "10–12°", "Белое|sweet|Мерло"), ("Розовое", "x", None, "8–10°", "Розовое|Мерло"), ("Белое", "Игристое", "dry", "6–8°", "Белое|dry|Мерло"), ("Красное", "x", "brut", "6–8°", "Красное|brut|Мерло"), ("Оранжевое", "x", "dry", "12–14°", "Оранжевое|dry|Мерло"), ("", "x", None, None, "Мерло")]
+
+
+@_query(_expected("category, name, sweetness, serving, tags", KINDS))
+def card_labels(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _cases(spark, "category string, name string, sweetness string", [r[:3] for r in KINDS])
+    c = F.col
+    return rows.select("category", "name", "sweetness", text.serving_temperature(c("category"), c("name"), c("sweetness")).alias("serving"), F.array_join(text.card_tags(c("category"), c("sweetness"), F.lit("Мерло, Белые сорта винограда")), "|").alias("tags"))
+
+
+NAMES = [("plain.jpg", True), ("Вино.jpg", True), ("Р’РёРЅРѕ.jpg", True), ("другое.jpg", False)]
+
+
+@_query(_expected("listed, known", NAMES))
+def spoilt_names(spark: SparkSession, sf: str) -> DataFrame:
+    """File names as listed, one of them read in a wrong code page, against the names of an annotation."""
+    keys = text.name_keys(F.col("listed"))
+    return _cases(spark, "listed string", [n for n, _ in NAMES]).select("listed", F.arrays_overlap(keys, F.array(F.lit("plain.jpg"), F.lit("Вино.jpg"))).alias("known"))
+
+
 # coverage and signals
 
 
@@ -497,6 +526,49 @@ def reminder_actions(spark: SparkSession, sf: str) -> DataFrame:
     return state.due_reminders(rows, now).select("event_id", "action")
 
 
+@_query("select e.event_id, (select max(s.ts) from events s where s.user_id = e.user_id and s.event_type = 'view' and s.ts <= e.ts and s.ts > e.ts - interval 2 days) seen from events e where event_type = 'purchase'")
+def remembered_scans(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases with the user's last view before them, if it is less than two days old."""
+    e = table(spark, sf, "events")
+    scans = e.where("event_type = 'view'").select("user_id", F.lit("x").alias("item"), "ts", "event_id")
+    asked = e.where("event_type = 'purchase'").select("user_id", F.lit("x").alias("item"), "ts", "event_id")
+    out = state.remembered(scans.drop("event_id"), asked, session="user_id", item="item", ts="ts", ttl_seconds=172_800)
+    return asked.join(out, ["user_id", "item", "ts"]).select("event_id", F.col("seen.ts").alias("seen"))
+
+
+_FRAMES = "f as (select user_id query_id, event_id frame, value sharpness, p % 17 item_id, ((event_id * 31 + p * 7) % 101)::double / 101 score from events cross join range(4) r(p)), d as (select *, dense_rank() over (partition by query_id order by sharpness desc, frame) s, row_number() over (partition by query_id, frame order by score desc, item_id) r from f)"
+
+
+@_query(f"with {_FRAMES} select 'sharpest' as mode, query_id, item_id, round(max(score), 6) score from d where s <= 1 group by 2, 3 union all select 'max3', query_id, item_id, round(max(score), 6) from d where s <= 3 group by 2, 3 union all select 'mean', d.query_id, item_id, round(sum(score) / any_value(n), 6) from d join (select query_id, count(distinct frame) n from f group by 1) c on c.query_id = d.query_id group by 2, 3 union all select 'rrf3', query_id, item_id, round(sum(1.0::double / (60 + r)), 6) from d where s <= 3 group by 2, 3")
+def fused_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Bursts of frames made of a user's events, each with four items, fused in four ways."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("frame"), F.col("value").alias("sharpness"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("p"))
+    rows = e.select("query_id", "frame", "sharpness", (F.col("p") % 17).alias("item_id"), (((F.col("frame") * 31 + F.col("p") * 7) % 101) / 101.0).cast("double").alias("score"))
+    out = None
+    for mode in ("sharpest", "max3", "mean", "rrf3"):
+        one = state.fuse_frames(rows, mode).select(F.lit(mode).alias("mode"), "query_id", "item_id", F.round("score", 6).alias("score"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@_query("with v as (select vec_id, embedding::double[] e from embeddings), s as (select a.vec_id q, b.vec_id i, list_dot_product(a.e, b.e) c from v a join v b on a.vec_id <> b.vec_id), t as (select q, i, c, row_number() over (partition by q order by c desc, i) r from s where c >= 0.3) select vec_id item_id, true finds_itself, i twin, round(c, 6) twin_score from v left join t on q = vec_id and r = 1")
+def index_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector looks for itself and for its nearest other one; a patched copy of the index is the same where it was not patched."""
+    v = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "item_id")
+    near = search.vector_topk_blocked(v, v, 2, query_id="item_id", item_id="item_id")
+    out = search.self_check(v.select("item_id"), near, duplicate=0.3)
+    changed = search.verify_patch(v, v, v.select("item_id"), 0.99).agg(F.count("*").alias("c"))
+    return out.crossJoin(changed).where("c = 0").select("item_id", "finds_itself", "twin", F.round("twin_score", 6).alias("twin_score"))  # changed is one row
+
+
+@_query("select 'distractor:' || p_partkey item_id, p_name as name from part order by p_partkey limit 100")
+def distractor_cards(spark: SparkSession, sf: str) -> DataFrame:
+    """The first hundred cards of a JSON file as items that nobody asks for: the limit is the reader's."""
+    path = _folder(spark)
+    table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"), "p_size").write.json(path)
+    return readers.distractors(spark, path, "item_id long, name string", 100)
+
+
 # streams, run to the end of their input
 
 
@@ -527,7 +599,11 @@ def logged_stream(spark: SparkSession, sf: str) -> DataFrame:
     """A stream appended to a log of JSON lines by one writer, each event once."""
     folder = _folder(spark)
     writers.log_stream(_stream(spark, sf).select("event_id", "user_id", "event_type"), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.schema("event_id long, user_id long, event_type string").json(f"{folder}/log")
+    # the log is polled as a stream in turn
+    name = f"polled_{uuid.uuid4().hex}"
+    polled = readers.polled_log(spark, f"{folder}/log", "event_id long, user_id long, event_type string")
+    polled.writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
 
 
 @_query("select time_bucket(interval 1 day, ts) as start, event_type, count(*) n from events group by 1, 2")

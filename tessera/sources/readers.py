@@ -203,3 +203,18 @@ def frames(spark: SparkSession, per_second: int) -> DataFrame:
     """Stand-in for a video: a stream of numbered frames at a fixed rate."""
     return spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select(F.col("value").alias("frame_no"), F.col("timestamp").alias("ts"))
 
+
+
+def distractors(spark: SparkSession, path: str, schema: str, limit: int, *, key: str = "item_id", prefix: str = "distractor:") -> DataFrame:
+    """The first `limit` cards by key of JSON lines, as items that no query asks for."""
+    return spark.read.schema(schema).json(path).orderBy(key).limit(limit).withColumn(key, F.concat(F.lit(prefix), F.col(key).cast("string")))
+
+
+def external_cards(spark: SparkSession, path: str, schema: str, files: DataFrame, *, key: str, rename: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cards of another catalogue's CSV: (those with a picture, those without)."""
+    return with_files(read_csv(spark, path, schema, rename=rename, key=key), files, key)
+
+
+def polled_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An append log as a stream: each poll reads the files that came since, so a revision is the set of files read."""
+    return spark.readStream.schema(schema).json(path)

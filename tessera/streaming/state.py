@@ -193,8 +193,9 @@ def rate_limit_into(path: str, *, key: str, ts: str, limit: int, window_seconds:
     return run
 
 
-def breaker(failures: int, cooldown_seconds: float):
-    """Circuit breaker: after consecutive failures calls are not made until the cooldown is over."""
+def breaker(failures: int, cooldown_seconds: float, deadline_seconds: float | None = None):
+    """Circuit breaker: after consecutive failures calls are not made until the cooldown is over. A call that takes longer than
+    the deadline has failed; failed may then be the seconds that it took, negative for a failure."""
     row, until = 0, None
 
     def step(values: tuple) -> str:
@@ -203,6 +204,8 @@ def breaker(failures: int, cooldown_seconds: float):
         at = at.timestamp() if hasattr(at, "timestamp") else float(at)
         if until is not None and at < until:
             return "open"
+        if deadline_seconds is not None:
+            failed = failed < 0 or failed > deadline_seconds
         row = row + 1 if failed else 0
         until = at + cooldown_seconds if row >= failures else None
         row = 0 if until is not None else row
@@ -211,8 +214,8 @@ def breaker(failures: int, cooldown_seconds: float):
     return step
 
 
-def circuit_breaker(events: DataFrame, *, key: str, ts: str, order: str, failed: str, failures: int, cooldown_seconds: float) -> DataFrame:
-    return _by_key(events, key, [ts, order], lambda: breaker(failures, cooldown_seconds), [ts, failed], "call", "string")
+def circuit_breaker(events: DataFrame, *, key: str, ts: str, order: str, failed: str, failures: int, cooldown_seconds: float, deadline_seconds: float | None = None) -> DataFrame:
+    return _by_key(events, key, [ts, order], lambda: breaker(failures, cooldown_seconds, deadline_seconds), [ts, failed], "call", "string")
 
 
 def planner(per_day: int, gap_seconds: float, stale_seconds: float, quiet: tuple[int, int] = (22, 9), keep_seconds: float = 259_200):
@@ -336,6 +339,34 @@ def experience(events: DataFrame, *, key: str, order: list[str], gain: str, leve
     return _by_key(events, key, order, fold, [gain], "xp", "long")
 
 
+def remembered(scans: DataFrame, asked: DataFrame, *, session: str, item: str, ts: str, ttl_seconds: int = 1800) -> DataFrame:
+    """asked(session, item, ts) with what the session's memory holds of the item: the latest scan before it, if that is younger
+    than the time to live. One ordered window over both, so a session of any length needs no list."""
+    value = F.struct(*[c for c in scans.columns if c not in (session, item)])
+    both = scans.select(session, item, F.col(ts).alias("_at"), F.lit(0).alias("_ask"), value.alias("_v")).unionByName(asked.select(session, item, F.col(ts).alias("_at"), F.lit(1).alias("_ask")), allowMissingColumns=True)
+    before = Window.partitionBy(session, item).orderBy("_at", "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("_last", F.last("_v", ignorenulls=True).over(before)).where("_ask = 1")
+    young = F.unix_micros(F.col("_at").cast("timestamp")) - F.unix_micros(F.col(f"_last.{ts}").cast("timestamp")) < ttl_seconds * 1_000_000
+    return seen.select(session, item, F.col("_at").alias(ts), F.when(young, F.col("_last")).alias("seen"))
+
+
+def fuse_frames(rows: DataFrame, mode: str) -> DataFrame:
+    """rows(query_id, frame, sharpness, item_id, score): one ranking of a burst. Modes: sharpest, max, mean, rrf, max3, rrf3 (the
+    last two over the three sharpest frames). Rows (query_id, item_id, score)."""
+    sharp = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.col("sharpness").desc(), "frame"))
+    used = rows.withColumn("_s", sharp)
+    keep = {"sharpest": 1, "max3": 3, "rrf3": 3}.get(mode)
+    if keep:
+        used = used.where(F.col("_s") <= keep)
+    if mode.startswith("rrf"):
+        place = F.row_number().over(Window.partitionBy("query_id", "frame").orderBy(F.col("score").desc(), "item_id"))
+        return used.withColumn("_r", place).groupBy("query_id", "item_id").agg(F.sum(1 / (60 + F.col("_r"))).alias("score"))
+    if mode == "mean":
+        n = used.groupBy("query_id").agg(F.count_distinct("frame").alias("_n"))
+        return used.groupBy("query_id", "item_id").agg(F.sum("score").alias("s")).join(n, "query_id").select("query_id", "item_id", (F.col("s") / F.col("_n")).alias("score"))
+    return used.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
+
+
 def cache_reads(reads: DataFrame, *, key: str, ts: str, order: str, failed: str, ttl_seconds: float) -> DataFrame:
     """What a cache with a time to live answers: fresh, cached, stale (the source failed, an old value is there) or error."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera import plans
 from tessera.functions import linalg
 from tessera.functions.similarity import indel_ratio
-from tessera.operators import answers, boxes, reports
+from tessera.operators import answers, boxes, learning, reports
 from tessera.streaming import state
 
 
@@ -109,6 +109,65 @@ def test_partial_box_becomes_the_whole(spark):
     assert got == {"a": (0.95, True), "b": (0.6, False)}
 
 
+def test_ranker_prefers_the_positive(spark):
+    rows = [(q, i, int(i == q % 4), 0.1 * i + (1.0 if i == q % 4 else 0.0), 0.5 - 0.1 * i, "f", 9, 9) for q in range(30) for i in range(4)]
+    df = spark.createDataFrame(rows, "query_id int, item_id int, label int, a double, b double, family string, vis_rank int, txt_rank int")
+    weights = learning.fit_ranker(learning.preference_pairs(df, ["a", "b"]), ["a", "b"])
+    best = df.withColumn("s", learning.ranker_score(weights)).groupBy("query_id").agg(F.max_by("label", "s").alias("label"))
+    assert all(r.label == 1 for r in best.collect()) and weights["a"] > 0
+
+
+def test_out_of_fold_never_sees_its_group(spark):
+    """The label is the group's parity, which the only feature tells within a group; a model of the others can't know it."""
+    rows = [(g, i, g % 2, float(g)) for g in range(40) for i in range(5)]
+    df = spark.createDataFrame(rows, "g int, i int, label int, x double")
+    out = learning.out_of_fold(df, ["x"], F.col("g"), 4, kind="lr").collect()
+    assert len(out) == len(rows) and len({(r.g, r.fold) for r in out}) == 40
+    assert all(0 < r.probability < 1 for r in out)
+
+
+def test_bagged_threshold(spark):
+    rows = [(c, round(0.02 * (i + c % 5), 4), i % 3 > 0, i % 4 > 0) for c in range(12) for i in range(40)]
+    df = spark.createDataFrame(rows, "cluster long, raw double, known boolean, correct boolean")
+    grid = spark.createDataFrame([(t / 10,) for t in range(10)], "threshold double")
+    weights = {(r.replicate, r.cluster): r.weight for r in learning.bootstrap_weights(df, 7, 3).collect()}
+    picks, outside = [], []
+    for b in range(7):
+        best = {}
+        for t in (t / 10 for t in range(10)):
+            s = dict.fromkeys("rwfku", 0)
+            for c, raw, known, correct in rows:
+                w = weights[b, c]
+                s["k" if known else "u"] += w
+                if raw >= t:
+                    s[("r" if correct else "w") if known else "f"] += w
+            best[t] = round(0.5 * (s["r"] - s["w"]) / s["k"] - 0.5 * s["f"] / s["u"], 9)
+        flat = sorted(t for t, u in best.items() if u == max(best.values()))
+        picks.append(flat[len(flat) // 2])
+        out = [r for r in rows if weights[b, r[0]] == 0]
+        if any(r[2] for r in out) and not all(r[2] for r in out):
+            outside.append(sum(r[1] >= picks[-1] for r in out if not r[2]) / sum(not r[2] for r in out))
+    got = learning.bagged_threshold(df, grid, 7, seed=3).first()
+    assert got.threshold == pytest.approx(sorted(picks)[3])
+    assert got.false_accept == pytest.approx(sum(outside) / len(outside))
+
+
+def test_decider_is_saved_and_loaded(spark, tmp_path):
+    df = spark.createDataFrame([(float(i), i % 2) for i in range(20)], "x double, label int")
+    assembler, model = learning.fit_classifier(df, ["x"], kind="lr")
+    learning.save_decider(spark, assembler, model, {"threshold": 0.5, "features": ["x"]}, str(tmp_path / "d"))
+    loaded, meta = learning.load_decider(spark, str(tmp_path / "d"))
+    assert meta == {"threshold": 0.5, "features": ["x"]}
+    want = [r.probability for r in model.transform(assembler.transform(df)).orderBy("x").collect()]
+    assert [r.probability for r in loaded.transform(df).orderBy("x").collect()] == want
+
+
+def test_breaker_with_a_deadline(spark):
+    e = spark.createDataFrame([(1, float(i), s) for i, s in enumerate([0.1, 9.0, -1.0, 0.1, 0.1])], "k int, ts double, took double")
+    out = state.circuit_breaker(e, key="k", ts="ts", order="ts", failed="took", failures=2, cooldown_seconds=1.5, deadline_seconds=5)
+    assert [r.call for r in out.orderBy("ts").collect()] == ["ok", "failed", "failed", "open", "ok"]
+
+
 def test_outcome_dump(spark, tmp_path):
     reports.outcome_dump(spark.range(5).select(F.col("id").alias("query_id"), F.lit("x").alias("verdict")), str(tmp_path / "out"))
     assert sorted(r.query_id for r in spark.read.json(str(tmp_path / "out")).collect()) == list(range(5))
