@@ -69,12 +69,30 @@ def latency_ranked(rows: DataFrame, by: str, value: str = "latency_ms") -> DataF
     return at.groupBy(by).agg(F.median(value).alias("p50"), F.max(F.when(F.col("_r") == F.least(F.floor(F.col("_n") * 0.95), F.col("_n") - 1), F.col(value))).alias("p95"), F.count("*").alias("n"))
 
 
+#: Ranges into which ordered values are cut, so that running sums need no single task.
+RANGES = 256
+
+
+def running(per: DataFrame, order: str, *values: str) -> DataFrame:
+    """Adds for each value the sum over all rows of a smaller order (names with _before). per has one row for each order.
+
+    Rows are dealt to ranges between approximate quantiles; a window within each range is added to the sums of the ranges before,
+    RANGES rows that are sent."""
+    cuts = per.agg(F.percentile_approx(order, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), 10_000).alias("c")).first()["c"] or []  # RANGES numbers
+    edges = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    ranged = per.withColumn("_range", F.size(F.filter(edges, lambda e: e < F.col(order))))
+    sums = ranged.groupBy("_range").agg(*[F.sum(v).alias(v) for v in values])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows
+    starts = sums.select("_range", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_{v}_start") for v in values])
+    within = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(starts), "_range")  # RANGES rows
+    return out.select(*per.columns, *[(F.coalesce(F.sum(v).over(within), F.lit(0)) + F.col(f"_{v}_start")).alias(f"{v}_before") for v in values])
+
+
 def auroc(rows: DataFrame, *, score: str = "score", positive: str = "known") -> DataFrame:
-    """Area under the curve from counts by distinct score; ties count half. The scores' cumulative sums are one ordered
-    window over distinct values, so round scores that are continuous."""
+    """Area under the curve from counts by distinct score and running sums over them; ties count half."""
     per = rows.groupBy(score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.withColumn("_b", below).agg(ratio(F.sum(F.col("p") * (F.col("_b") + F.col("n") / 2)), F.sum("p").cast("double") * F.sum("n")).alias("auroc"))
+    return running(per.where(F.col(score).isNotNull()), score, "n").agg(ratio(F.sum(F.col("p") * (F.col("n_before") + F.col("n") / 2)), F.sum("p").cast("double") * F.sum("n")).alias("auroc"))
 
 
 def grid(spark, count: int, step: float, first: float = 0.0) -> DataFrame:
@@ -161,8 +179,8 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Correlation of tie-averaged ranks, from counts by value."""
 
     def ranks(c: str) -> DataFrame:
-        per = rows.groupBy(c).agg(F.count("*").alias("_n"))
-        return per.select(c, (F.sum("_n").over(Window.orderBy(c)) - (F.col("_n") - 1) / 2).alias(f"_{c}"))
+        per = running(rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n")), c, "_n")
+        return per.select(c, (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(f"_{c}"))
 
     return rows.join(ranks(x), x).join(ranks(y), y).agg(F.corr(f"_{x}", f"_{y}").alias("spearman"))
 

@@ -15,6 +15,8 @@ from tessera.functions.text import char_ngrams
 
 #: Vectors of the smaller side that are sent to each executor as one matrix, in bytes.
 MATRIX_BYTES = 256 << 20
+#: Words of queries (and rows of query and word) that are sent to each executor; more are joined by a shuffle.
+TERMS_SENT = 200_000
 #: Sums are rounded to so many digits before they are ranked, so that the order of adding never decides a tie.
 DIGITS = 9
 
@@ -25,19 +27,15 @@ def top_k(rows: DataFrame, by: list[str], score: str, k: int, *tie: str, rank: s
     return rows.withColumn(rank, F.row_number().over(order) - 1).where(F.col(rank) < k)
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int, *, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
+def vector_topk(queries: DataFrame, items: DataFrame, k: int, **options) -> DataFrame:
     """Rows (query_id, item_id, score, rank): the k largest dot products of each query, ties by item id."""
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q"))
-    i = items.select(F.col(item_id).alias("item_id"), F.col(vector).alias("_i"))
-    pairs = q.crossJoin(i)
-    if exclude_self:
-        pairs = pairs.where("query_id <> item_id")
-    return top_k(pairs.select("query_id", "item_id", dot(F.col("_q"), F.col("_i")).alias("score")), ["query_id"], "score", k, "item_id")
+    return vector_topk_blocked(queries, items, k, **options)
 
 
-def vector_topk_blocked(queries: DataFrame, items: DataFrame, k: int, *, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", exclude_self: bool = False, block: int = 4096) -> DataFrame:
-    """The same at scale: queries go out as matrices in blocks, every item batch is multiplied by them, and only the k best
-    of a batch leave it. Each block is below MATRIX_BYTES; a query set of any size takes more passes over the items."""
+def vector_topk_blocked(queries: DataFrame, items: DataFrame, k: int, *, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", exclude_self: bool = False, block: int = 1 << 17, tile: int = 1 << 22) -> DataFrame:
+    """The k nearest by exact products, without pairs as rows: queries go out as matrices in blocks, every item batch is
+    multiplied by them, `tile` products at a time, and only the k best of a batch leave it. Each block is below MATRIX_BYTES; a
+    query set of any size takes more passes over the items."""
     spark = queries.sparkSession
     width = queries.select(F.size(vector)).first()
     if width is None:
@@ -58,11 +56,15 @@ def vector_topk_blocked(queries: DataFrame, items: DataFrame, k: int, *, query_i
                 if batch.empty:
                     continue
                 items_ = batch["i"].to_numpy()
-                scores = matrix @ np.vstack(batch["v"].to_numpy()).astype(np.float64).T
-                if exclude_self:
-                    scores[ids[:, None] == items_[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(items_, scores.shape), -scores), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "item_id": items_[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+                vectors = np.vstack(batch["v"].to_numpy()).astype(np.float64).T
+                step = max(1, tile // len(items_))
+                for at in range(0, len(ids), step):
+                    asked = ids[at : at + step]
+                    scores = matrix[at : at + step] @ vectors
+                    if exclude_self:
+                        scores[asked[:, None] == items_[None, :]] = -np.inf
+                    order = np.lexsort((np.broadcast_to(items_, scores.shape), -scores), axis=1)[:, :k]
+                    yield pd.DataFrame({"query_id": np.repeat(asked, order.shape[1]), "item_id": items_[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
 
         near = items.select(F.col(item_id).cast("long").alias("i"), F.col(vector).alias("v")).mapInPandas(best, "query_id long, item_id long, score double").where("score > double('-inf')")
         found = near if found is None else found.union(near)
@@ -149,31 +151,49 @@ def tfidf(docs: DataFrame, id_col: str, terms: Column, *, idf: DataFrame | None
     return raw.join(length, "id").select("id", "term", (F.col("w") / F.col("length")).alias("w"))
 
 
-def cosine_topk(queries: DataFrame, items: DataFrame, k: int, digits: int = DIGITS) -> DataFrame:
-    """Top k of sparse unit vectors (id, term, w) by an inverted-index join: rows (query_id, item_id, score, rank)."""
+def cosine_topk(queries: DataFrame, items: DataFrame, k: int | None, digits: int = DIGITS) -> DataFrame:
+    """Top k of sparse unit vectors (id, term, w) by an inverted-index join: rows (query_id, item_id, score, rank); k None: all
+    pairs with a common term, unranked."""
     met = queries.select(F.col("id").alias("query_id"), "term", F.col("w").alias("_q")).join(items.select(F.col("id").alias("item_id"), "term", F.col("w").alias("_i")), "term")
-    return top_k(met.groupBy("query_id", "item_id").agg(F.round(F.sum(F.col("_q") * F.col("_i")), digits).alias("score")), ["query_id"], "score", k, "item_id")
+    scored = met.groupBy("query_id", "item_id").agg(F.round(F.sum(F.col("_q") * F.col("_i")), digits).alias("score"))
+    return scored if k is None else top_k(scored, ["query_id"], "score", k, "item_id")
 
 
 def char_tfidf_topk(queries: DataFrame, items: DataFrame, k: int, *, query_id: str, item_id: str, query_text: Column, item_text: Column, low: int = 3, high: int = 5) -> DataFrame:
-    catalogue = items.select(F.col(item_id).alias("i"), char_ngrams(item_text, low, high).alias("g"))
-    idf = document_frequency(catalogue, "i", F.col("g"))
-    asked = queries.select(F.col(query_id).alias("i"), char_ngrams(query_text, low, high).alias("g"))
-    return cosine_topk(tfidf(asked, "i", F.col("g"), idf=idf), tfidf(catalogue, "i", F.col("g"), idf=idf), k)
+    """Top k by cosine of character n-grams. Equal texts are one row until the end: of an item text only the first k ids can be
+    among a query's k best, so copies cost nothing."""
+    own = items.select(F.col(item_id).alias("item_id"), item_text.alias("_t")).where("_t is not null")
+    first = own.withColumn("_r", F.row_number().over(Window.partitionBy("_t").orderBy("item_id"))).where(F.col("_r") <= k).drop("_r")
+    texts = own.groupBy("_t").agg(F.count("*").alias("_n")).select(F.col("_t").alias("i"), "_n", char_ngrams(F.col("_t"), low, high).alias("g"))
+    n = items.select(F.count("*").alias("n"))
+    df = texts.select("_n", F.explode(F.array_distinct("g")).alias("term")).groupBy("term").agg(F.sum("_n").alias("df"))
+    idf = df.crossJoin(F.broadcast(n)).select("term", "df", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # n is one row
+    asked = queries.select(F.col(query_id).alias("query_id"), query_text.alias("_q")).where("_q is not null")
+    kinds = asked.select(F.col("_q").alias("i")).distinct().withColumn("g", char_ngrams(F.col("i"), low, high))
+    near = cosine_topk(tfidf(kinds, "i", F.col("g"), idf=idf), tfidf(texts, "i", F.col("g"), idf=idf), None)
+    met = near.select(F.col("query_id").alias("_q"), F.col("item_id").alias("_t"), "score").join(first, "_t")
+    best = top_k(met, ["_q"], "score", k, "item_id")
+    return asked.join(best, "_q").select("query_id", "item_id", "score", "rank")
 
 
 def bm25_topk(queries: DataFrame, items: DataFrame, k: int, *, query_id: str, item_id: str, query_terms: Column, item_terms: Column, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """Okapi BM25; a negative idf becomes epsilon times the mean idf. Repeated query words count each time."""
+    """Okapi BM25; a negative idf becomes epsilon times the mean idf. Repeated query words count each time. Document frequencies
+    are counted from each document's distinct words, and only words that a query has are shuffled with their documents."""
     docs = items.select(F.col(item_id).alias("item_id"), item_terms.alias("t")).withColumn("len", F.size("t"))
     stats = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    tf = docs.select("item_id", "len", F.explode("t").alias("term")).groupBy("item_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(stats)).withColumn("raw", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # stats is one row
     mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", "avg_len", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(query_terms).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    terms = asked.select("term").distinct()
+    small = terms.count() <= TERMS_SENT
+    sent = lambda x: F.broadcast(x) if small else x
+    idf = raw.join(sent(terms), "term").crossJoin(F.broadcast(mean)).select("term", "avg_len", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # mean is one row
+    tf = docs.select("item_id", "len", F.explode("t").alias("term")).join(sent(terms), "term", "left_semi").groupBy("item_id", "len", "term").agg(F.count("*").alias("tf"))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = asked.join(idf, "term").join(tf, "term").groupBy("query_id", "item_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    weighed = asked.join(idf, "term")
+    weighed = F.broadcast(weighed) if asked.count() <= TERMS_SENT else weighed
+    scored = tf.join(weighed, "term").groupBy("query_id", "item_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
     return top_k(scored, ["query_id"], "score", k, "item_id")
 
 
