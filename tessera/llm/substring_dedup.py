@@ -306,6 +306,14 @@ def removed_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return texts, sifted.where("m is null").select("d", "at").union(shards.mapInArrow(judge, "d long, at long"))
 
 
+def intervals(docs: DataFrame, *, id_col: str = "doc_id", width: int = WIDTH, **options) -> DataFrame:
+    """Rows (id, start, length): the runs of words, `width` or more, that also start earlier, as they are reported; runs of one
+    document may overlap or touch."""
+    _, gone = removed_windows(docs, id_col=id_col, width=width, **options)
+    windows = F.shiftright(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), 2)
+    return gone.select(F.col("d").alias(id_col), F.shiftright("at", 32).alias("start"), (windows + (width - 1)).alias("length")).distinct()
+
+
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, **options) -> DataFrame:
     """Rows (id, n_words, n_removed, kept_sha256, kept): kept holds the words that are left, joined by one space."""
     texts, gone = removed_windows(docs, id_col=id_col, text_col=text_col, width=width, **options)

@@ -172,6 +172,14 @@ def test_substring_dedup(docs, rows, options):
     assert all(r.n_removed == 0 for r in got if r.doc_id is None)
 
 
+def test_intervals_cover_what_goes(docs, rows):
+    gone = defaultdict(set)
+    for r in substring_dedup.intervals(docs, width=8, anchor=3).collect():
+        assert r.length >= 8
+        gone[r.doc_id] |= set(range(r.start, r.start + r.length))
+    assert {d: len(x) for d, x in gone.items()} == {d: n for d, (_, n, *_) in expected_kept(rows, 8).items() if n}
+
+
 def test_fm_index_finds_all_occurrences():
     rng = np.random.default_rng(3)
     lengths = np.array([30, 50, 12, 40])
