@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import game, linalg
-from tessera.operators import answers, boxes, decisions, learning, metrics, reports, search
+from tessera.functions import game, linalg, similarity
+from tessera.operators import answers, boxes, decisions, fusion, groups, learning, metrics, reports, search
 from tessera.plans import decisions as base
 from tessera.plans import search as retrieval
 from tessera.plans._tables import table
+from tessera.sources import writers
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -284,6 +287,56 @@ def unknown_copies(spark: SparkSession, sf: str) -> DataFrame:
     return learning.with_unknowns(rows).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
+def head_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """The first three candidates of each order by the words that confirm them, then by their geometry."""
+    rows = base._scored(spark, sf).select("query_id", "pos", "position", "disc_hit", "inliers")
+    return fusion.head_rerank(rows, head=3, keys=["disc_hit", "inliers"]).select("query_id", "pos", "position")
+
+
+def two_stage(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest vectors by their first half, the best of them rescored by the second; excluded ids go before ranking."""
+    v = table(spark, sf, "embeddings")
+    items = search.without(v, v.where("vec_id % 7 = 3").select("vec_id"), "vec_id")
+    half = lambda df: df.select("vec_id", F.slice("embedding", 1, 32).alias("embedding"))
+    pool = search.vector_topk_blocked(half(retrieval._queries(v, "vec_id")), half(items), 40, query_id="vec_id", item_id="vec_id", exclude_self=True)
+    rest = lambda c: v.select(F.col("vec_id").alias(c), F.slice("embedding", 33, 32).alias(f"_{c}"))
+    rows = pool.withColumn("score", F.round("score", 9)).join(rest("query_id"), "query_id").join(rest("item_id"), "item_id")
+    out = search.two_stage(rows, F.round(linalg.dot(F.col("_query_id"), F.col("_item_id")), 9), 5, pool_size=30)
+    return out.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+
+
+def same_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of one name are one class; line items' parts against the next ones."""
+    p = table(spark, sf, "part")
+    classes = p.select(F.col("p_partkey").alias("slug"), F.concat("p_name", F.lit("/"), "p_brand").alias("class"))
+    pairs = p.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + F.col("p_size") % 3).alias("b"))
+    return groups.same_class(pairs, classes, "a", "b").select("a", "b", "same")
+
+
+def saved_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Whitened vectors by a model that was saved and loaded again are those of the model itself."""
+    v = table(spark, sf, "embeddings")
+    model = learning.fit_whitening(v, dim=8)
+    path = f"{writers.shared_folder(spark)}/tessera-whitening-{uuid.uuid4().hex}"
+    learning.save_whitening(spark, model, path)
+    a, b = (learning.whiten(F.col("embedding"), m) for m in (model, learning.load_whitening(spark, path)))
+    return v.select("vec_id", (F.round(linalg.dot(a, b), 6) == 1.0).alias("same"), linalg.is_unit(b).alias("is_unit"))
+
+
+def text_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Similarities of a part's name, as a read text, to the card of the part after the next."""
+    p = table(spark, sf, "part")
+    read = p.select(F.col("p_partkey").alias("query_id"), (F.col("p_partkey") + 2).alias("p_partkey"), F.col("p_name").alias("read"))
+    rows = read.join(p, "p_partkey")
+    features = similarity.text_pair_features(F.col("read"), F.col("p_name"), F.col("p_brand"), F.lit(None).cast("string"))
+    return rows.select("query_id", *[F.round(c, 6).alias(n) for n, c in features.items()])
+
+
+def bootstrap_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    out = learning.bootstrap_interval(base._outcomes(spark, sf).withColumn("cluster", F.col("query_id") % 97), 200, cluster="cluster", value=F.col("correct").cast("int"))
+    return _rounded(out, "mean", "low", "high")
+
+
 def bagged_threshold(spark: SparkSession, sf: str) -> DataFrame:
     rows = base._outcomes(spark, sf).withColumn("cluster", F.col("query_id") % 97)
     out = learning.bagged_threshold(rows, metrics.grid(spark, 20, 0.05), 50, unknown_share=0.2, false_cost=0.5)
@@ -304,7 +357,7 @@ def balanced_split(spark: SparkSession, sf: str) -> DataFrame:
     return learning.balanced_split(per, 3)
 
 
-QUERIES = {f.__name__: f for f in (counters_by_reason, per_item_report, intruders_at_50, mode_medians, vintage_tally, inference_summary, judge_variants, feature_ablation, reader_comparison, detector_evaluation, partial_boxes, crop_flags, label_rule_grid, out_of_fold_join, files_not_in_test, result_projection, answer_payload, judge_triggers, judge_options, judge_verdicts, consistent_picks, review_lists, rejected_entries, guard_effects, canonical_leaders, budget_threshold, family_wins, puzzle_cells, plot_rules, seeded_draws, frame_notes, preference_pairs, unknown_copies, bagged_threshold, out_of_fold_scores, balanced_split)}
+QUERIES = {f.__name__: f for f in (counters_by_reason, per_item_report, intruders_at_50, mode_medians, vintage_tally, inference_summary, judge_variants, feature_ablation, reader_comparison, detector_evaluation, partial_boxes, crop_flags, label_rule_grid, out_of_fold_join, files_not_in_test, result_projection, answer_payload, judge_triggers, judge_options, judge_verdicts, consistent_picks, review_lists, rejected_entries, guard_effects, canonical_leaders, budget_threshold, family_wins, puzzle_cells, plot_rules, seeded_draws, frame_notes, preference_pairs, unknown_copies, head_rerank, two_stage, same_classes, saved_whitening, text_features, bootstrap_intervals, bagged_threshold, out_of_fold_scores, balanced_split)}
 
 _IOU = "{both} / ({a} + {b} - {both})"
 _SHARED = "(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)))"
@@ -355,5 +408,9 @@ SQL = {
     "frame_notes": "with k as (select o_orderkey, ['easy', 'blur', 'catalog', 'night'][(o_orderkey % 4 + 1)::int] g, o_orderkey % 800 s, o_orderkey % 311 sh, o_orderkey % 23 / 100.0 fi, case when o_orderkey % 6 > 0 then o_orderkey % 97 / 100.0 end co from orders) select o_orderkey, array_to_string(list_filter([case when s < case when g in ('easy', 'catalog') then 600 else 250 end then 'small' end, case when g = 'blur' and sh < 5 then 'blurred' end, case when g <> 'blur' and sh < case when g in ('easy', 'catalog') then 250 else 40 end then 'smeared' end, case when g in ('easy', 'catalog') and fi < 0.1 then 'far' end, case when co is not null and sh > 200 and co < 0.65 then 'wrong_bottle' end], lambda x: x is not null), ',') notes from k",
     "preference_pairs": f"with {base._C} select a.query_id, count(*) n, round(sum(case when a.family = b.family or least(b.vis_rank, b.txt_rank) < 5 then 3.0::double else 1 end), 6) weight, round(sum(a.vis_score - b.vis_score), 6) vis, round(sum(a.txt_score - b.txt_score), 6) txt from c a join c b on a.query_id = b.query_id and a.inliers % 4 = 0 and b.inliers % 4 <> 0 group by 1",
     "unknown_copies": f"with {base._C} select query_id::varchar query_id, count(*) n from c group by 1 union all select 'unknown:' || query_id, count(*) from c where inliers % 3 = 0 group by 1",
+    "head_rerank": f"with {base._P} select query_id, pos::int pos, (row_number() over (partition by query_id order by position >= 3, case when position < 3 then disc_hit end desc nulls last, case when position < 3 then inliers end desc nulls last, position) - 1)::int as position from p",
+    "two_stage": "with v as materialized (select vec_id, embedding::double[] e from embeddings), s as (select a.vec_id q, b.vec_id i, list_dot_product(a.e[1:32], b.e[1:32]) raw, list_dot_product(a.e[33:64], b.e[33:64]) re from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0 and b.vec_id % 7 <> 3), t as (select *, round(raw, 9) sc, row_number() over (partition by q order by raw desc, i) r from s), m as (select *, max(sc) over (partition by q) mx from t where r <= 30), f as (select q, i, 0.5::double * case when mx > 0 then sc / mx else sc end + 0.5::double * round(re, 9) score from m) select q query_id, i item_id, round(score, 6) score, (r - 1)::int as rank from (select *, row_number() over (partition by q order by score desc, i) r from f) where r <= 5",
+    "same_classes": "select a.p_partkey a, a.p_partkey + a.p_size % 3 b, a.p_size % 3 = 0 or coalesce(a.p_name = b.p_name and a.p_brand = b.p_brand, false) same from part a left join part b on b.p_partkey = a.p_partkey + a.p_size % 3",
+    "saved_whitening": "select vec_id, true same, true is_unit from embeddings",
     "balanced_split": "with g as (select l_suppkey::varchar grp, count(*) n from lineitem group by 1), o as (select grp, row_number() over (order by n desc, grp) - 1 k from g) select grp as \"group\", (case when k // 3 % 2 = 0 then k % 3 else 2 - k % 3 end)::int part from o",
 }

@@ -189,6 +189,7 @@ def rate_limit_into(path: str, *, key: str, ts: str, limit: int, window_seconds:
         if before is not None:
             last = last.unionByName(before.join(last.select(key), key, "left_anti"))
         last.write.mode("overwrite").parquet(f"{path}/state/version={batch_id}")
+        _delete(spark, f"{path}/state/version={batch_id - 2}")  # a repeated batch starts from the version before it
 
     return run
 
