@@ -40,7 +40,7 @@ ANCHOR = 6
 #: Words of a shard.
 SHARD_WORDS = 1 << 19
 #: Words of a block of a hot minimizer's segments (about; segments are dealt by hash).
-BLOCK_WORDS = 1 << 15
+BLOCK_WORDS = 1 << 17
 #: Rows of the table of hot minimizers that is sent to every executor; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _PLAIN, _COPY, _REPEATS = 0, 1, 2
