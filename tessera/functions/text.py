@@ -147,9 +147,41 @@ def folded_variants(text: Column) -> Column:
     return F.array_distinct(F.transform(variants(text), fold))
 
 
+# How the system that stores uploads spells Cyrillic letters in file names.
+UPLOAD_LETTERS = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "yo", "ж": "zh", "з": "z", "и": "i", "й": "j", "к": "k", "л": "l",
+    "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "cz", "ч": "ch", "ш": "sh",
+    "щ": "shh", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+}
+
+
+def _compatible() -> dict[str, str]:
+    """Letters that stand for Latin letters and digits in a compatible form (full width, ligatures, raised), from the Unicode data."""
+    out = {}
+    for code in (*range(0xA0, 0x2200), *range(0xFB00, 0xFB07), *range(0xFF10, 0xFF5B)):
+        plain = unicodedata.normalize("NFKC", chr(code)).lower()
+        if plain != chr(code).lower() and plain.isascii() and plain.isalnum():
+            out[chr(code).lower()] = plain
+    return out
+
+
+COMPATIBLE = _compatible()
+
+
 def upload_key(name: Column) -> Column:
-    """Key of an uploaded file's name: Latin letters and digits alone."""
-    return F.regexp_replace(transliterate(strip_accents(F.lower(name))), "[^a-z0-9]", "")
+    """Key of an uploaded file's name: Latin letters and digits alone. Compatible forms count as what they stand for; accented
+    letters go, also where the accent is a mark of its own."""
+    out = F.lower(name)
+    for marks, letter in (("\u0438\u0306", "й"), ("\u0435\u0308", "ё")):
+        out = F.replace(out, F.lit(marks), F.lit(letter))
+    spelled = COMPATIBLE | UPLOAD_LETTERS
+    single = {k: v for k, v in spelled.items() if len(v) <= 1}
+    for k, v in spelled.items():
+        if len(v) > 1:
+            out = F.replace(out, F.lit(k), F.lit(v))
+    kept = "".join(k for k, v in single.items() if v)
+    out = F.translate(out, kept + "".join(k for k, v in single.items() if not v), "".join(v for v in single.values() if v))
+    return F.regexp_replace(out, r"[a-z]\p{Mn}+|[^a-z0-9]", "")
 
 
 def slugify(text: Column) -> Column:

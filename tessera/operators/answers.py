@@ -149,3 +149,19 @@ def valid_entries(rows: DataFrame, checks: dict[str, Column], key: str) -> tuple
     reasons = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()], F.when(F.count("*").over(Window.partitionBy(key)) > 1, F.lit(f"{key} repeats"))))
     judged = rows.withColumn("reasons", reasons)
     return judged.where(F.size("reasons") == 0).drop("reasons"), judged.where(F.size("reasons") > 0)
+
+
+def review_cards(reviews: DataFrame, shelf: DataFrame, *, user: str, slug: str, card: str, updated: str) -> DataFrame:
+    """Reviews with the card of the reviewer's own shelf entry, else the card that any shelf got last for the item."""
+    own = shelf.select(user, slug, F.col(card).alias("_own"))
+    latest = shelf.groupBy(slug).agg(F.max_by(card, F.struct(updated, card)).alias("_latest"))
+    return reviews.join(own, [user, slug], "left").join(latest, slug, "left").withColumn(card, F.coalesce("_own", "_latest")).drop("_own", "_latest")
+
+
+def box_pairs(inner: DataFrame, outer: DataFrame, *, image: str = "image", inside: float = 0.9) -> DataFrame:
+    """Pairs of boxes of one image of which the first lies within the second by a share of its area: an equi-join on the image with
+    the overlap as its condition."""
+    from tessera.functions.linalg import contains
+
+    b = outer.select(image, F.col("box").alias("outer"), *[F.col(c).alias(f"outer_{c}") for c in outer.columns if c not in (image, "box")])
+    return inner.join(b, image).withColumn("share", contains(F.col("outer"), F.col("box"))).where(F.col("share") >= inside)

@@ -569,6 +569,45 @@ def distractor_cards(spark: SparkSession, sf: str) -> DataFrame:
     return readers.distractors(spark, path, "item_id long, name string", 100)
 
 
+@_query("with s as (select user_id, event_id % 50 slug, max(value) card, max(ts) ts from events where event_type = 'view' group by 1, 2), l as (select slug, card from (select *, row_number() over (partition by slug order by ts desc, card desc) r from s) where r = 1), e as (select event_id, user_id, event_id % 50 slug from events where event_type = 'purchase') select event_id, coalesce(s.card, l.card) card from e left join s on s.user_id = e.user_id and s.slug = e.slug left join l on l.slug = e.slug")
+def reviewed_cards(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases as reviews, views as shelves."""
+    e = table(spark, sf, "events").withColumn("slug", F.col("event_id") % 50)
+    shelf = e.where("event_type = 'view'").groupBy("user_id", "slug").agg(F.max("value").alias("card"), F.max("ts").alias("ts"))
+    return answers.review_cards(e.where("event_type = 'purchase'").select("event_id", "user_id", "slug"), shelf, user="user_id", slug="slug", card="card", updated="ts").select("event_id", "card")
+
+
+@_query("with o as (select o_custkey c, o_orderkey k, (o_orderkey % 10)::double x, (o_orderkey % 7)::double y, (1 + o_orderkey % 4)::double s from orders) select a.k inner_key, b.k outer_key, round(greatest(0, least(a.x + a.s, b.x + b.s) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.s, b.y + b.s) - greatest(a.y, b.y)) / (a.s * a.s), 6) share from o a join o b on a.c = b.c and a.k <> b.k where greatest(0, least(a.x + a.s, b.x + b.s) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.s, b.y + b.s) - greatest(a.y, b.y)) / (a.s * a.s) >= 0.7")
+def contained_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    x, y, s = k % 10, k % 7, 1 + k % 4
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("image"), k.alias("key"), linalg.box(x, y, x + s, y + s).alias("box"))
+    return answers.box_pairs(rows, rows, inside=0.7).where("key <> outer_key").select(F.col("key").alias("inner_key"), "outer_key", F.round("share", 6).alias("share"))
+
+
+@_query("with n as (select user_id, event_id % 40 id, max(ts) due from events group by 1, 2), o as (select user_id, event_id % 40 id, count(*) a, max(ts) + interval 1 hour nx from events where event_id % 3 = 0 group by 1, 2) select n.user_id, n.id, coalesce(a, 0) attempts, coalesce(nx, greatest(due, timestamp '2024-01-20 00:01:00')) next_at from n left join o on o.user_id = n.user_id and o.id = n.id")
+def synced_reminders(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("id", F.col("event_id") % 40)
+    new = e.groupBy("user_id", "id").agg(F.max("ts").alias("due_at"))
+    old = e.where("event_id % 3 = 0").groupBy("user_id", "id").agg(F.count("*").alias("attempts"), (F.max("ts") + F.expr("interval 1 hour")).alias("next_at")).withColumn("sent_at", F.lit(None).cast("timestamp_ntz"))
+    return state.sync_reminders(old, new, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), device="user_id").select("user_id", "id", "attempts", "next_at")
+
+
+@_query("select event_type || ':' || event_id || ':' || event_id % 1000 id, event_id % 1000 <= 500 due from events where event_id % 4 <> 0 and event_id % 5 <> 0")
+def due_entries(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id")
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("slug"), k.alias("added_at"), F.when(k % 5 != 0, k % 1000).alias("remind_at"), F.when(k % 4 == 0, "liked").alias("reaction"))
+    return state.due_items(rows, F.lit(500)).select("id", "due")
+
+
+UPLOADS = [("Щука Ёлка й ц х", "shhukayolkajczh"), ("Café №5", "cafno5"), ("ｆｕｌｌ ２", "full2"), ("ﬁne²", "fine2"), ("и\u0306", "j"), ("e\u0301x", "x")]
+
+
+@_query(_expected("name, upload_key", UPLOADS))
+def upload_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return _cases(spark, "name string", [n for n, _ in UPLOADS]).select("name", text.upload_key(F.col("name")).alias("upload_key"))
+
+
 # streams, run to the end of their input
 
 

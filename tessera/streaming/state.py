@@ -269,6 +269,21 @@ def due_reminders(rows: DataFrame, now: Column, *, most_attempts: int = 6, late_
     return rows.withColumn("action", action)
 
 
+def sync_reminders(old: DataFrame, new: DataFrame, now: Column, *, device: str = "device", key: str = "id") -> DataFrame:
+    """The reminders that a device sends replace its old ones; what was sent, tried and planned is kept for those that stay.
+    new(device, id, due_at), old(device, id, sent_at, attempts, next_at). A new one is tried when due, a minute from now at the
+    earliest."""
+    was = old.select(device, key, "sent_at", "attempts", "next_at")
+    first = F.greatest(F.col("due_at"), now + F.expr("interval 1 minute"))
+    return new.join(was, [device, key], "left").withColumn("attempts", F.coalesce("attempts", F.lit(0))).withColumn("next_at", F.coalesce("next_at", first))
+
+
+def due_items(entries: DataFrame, now: Column) -> DataFrame:
+    """entries(slug, added_at, remind_at, reaction) that wait for a reaction: id of the reminder, and whether it is due."""
+    waiting = entries.where(F.col("reaction").isNull() & F.col("remind_at").isNotNull())
+    return waiting.withColumn("id", F.concat_ws(":", "slug", F.col("added_at").cast("string"), F.col("remind_at").cast("string"))).withColumn("due", F.col("remind_at") <= now)
+
+
 # sessions, streaks, folds
 
 
