@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from tessera.functions.similarity import token_set_ratio, token_set_ratio_udf
 
-from tessera.functions.similarity import token_set_ratio_udf
+#: Choices that are sent to each executor at a time.
+CHOICES = 10_000
 
 
 def assert_unique(df: DataFrame, key: str) -> DataFrame:
@@ -55,16 +62,36 @@ def first_per_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def fuzzy_best(rows: DataFrame, choices: DataFrame, *, text: str, choice: str, block: Column | None = None) -> DataFrame:
-    """Best choice of each row by token set ratio, ties by the choice. block narrows pairs to an equal key on both sides, as
-    `block` computes it from a column named text; without it all choices are compared, so they should be few."""
-    c = choices.select(F.col(choice).alias("choice")).distinct()
-    if block is None:
-        pairs = rows.crossJoin(F.broadcast(c) if c.count() <= 10_000 else c)
-    else:
-        pairs = rows.withColumn("_k", block).join(c.withColumn("_k", F.expr("lower(left(choice, 1))")), "_k").drop("_k")
-    scored = pairs.withColumn("score", token_set_ratio_udf(F.col(text), F.col("choice")))
+    """Best choice of each row by token set ratio, ties by the larger choice; a null text has none. block narrows pairs to an equal
+    key on both sides, as `block` computes it from a column named text. Without it every text is compared with all choices, which
+    go out in blocks of CHOICES; only the best of a block leaves a row, so pairs are never rows."""
+    c = choices.select(F.col(choice).alias("choice")).where("choice is not null").distinct()
     keys = rows.columns
-    return scored.groupBy(*keys).agg(F.max(F.struct("score", "choice")).alias("b")).select(*keys, F.col("b.choice").alias("choice"), F.col("b.score").alias("score"))
+    if block is not None:
+        pairs = rows.withColumn("_k", block).join(c.withColumn("_k", F.expr("lower(left(choice, 1))")), "_k").drop("_k")
+        scored = pairs.withColumn("score", token_set_ratio_udf(F.col(text), F.col("choice")))
+        return scored.groupBy(*keys).agg(F.max(F.struct("score", "choice")).alias("b")).select(*keys, F.col("b.choice").alias("choice"), F.col("b.score").alias("score"))
+    schema = StructType([*rows.schema.fields, StructField("choice", StringType()), StructField("score", DoubleType())])
+    parts, found = max(1, -(-c.count() // CHOICES)), None
+    for part in range(parts):
+        own = [r[0] for r in c.where(F.pmod(F.xxhash64("choice"), F.lit(parts)) == part).collect()]  # one block
+        sent = rows.sparkSession.sparkContext.broadcast(own)
+
+        def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            known: dict = {None: (None, None)}
+            for batch in batches:
+                for t in set(batch[text]) - known.keys():
+                    known[t] = max(((token_set_ratio(t, x), x) for x in sent.value), default=(None, None))
+                batch["choice"] = [known[t][1] for t in batch[text]]
+                batch["score"] = pd.Series([known[t][0] for t in batch[text]], dtype="float64", index=batch.index)
+                known = {None: (None, None)} if len(known) > 100_000 else known
+                yield batch
+
+        one = rows.mapInPandas(best, schema)
+        found = one if found is None else found.union(one)
+    if parts == 1:
+        return found
+    return found.groupBy(*keys).agg(F.max(F.struct("score", "choice")).alias("b")).select(*keys, F.col("b.choice").alias("choice"), F.col("b.score").alias("score"))
 
 
 def import_decision(score: Column, *, in_test: Column, excluded: Column, sure: float = 90, doubtful: float = 75) -> Column:

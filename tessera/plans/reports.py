@@ -279,7 +279,7 @@ def preference_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of a true and another candidate of one order, as feature differences."""
     rows = base.candidates(spark, sf).withColumn("label", (F.col("inliers") % 4 == 0).cast("int"))
     out = learning.preference_pairs(rows, ["vis_score", "txt_score"])
-    return out.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"), F.round(F.sum("vis_score"), 6).alias("vis"), F.round(F.sum("txt_score"), 6).alias("txt"))
+    return out.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"), (F.round(F.sum("vis_score"), 6) + F.lit(0.0)).alias("vis"), (F.round(F.sum("txt_score"), 6) + F.lit(0.0)).alias("txt"))
 
 
 def unknown_copies(spark: SparkSession, sf: str) -> DataFrame:
@@ -406,7 +406,7 @@ SQL = {
     "plot_rules": "with k as (select event_id, event_id % 120 * 3600000 nw, (10 + user_id % 40) * 3600000 rd, case when event_id % 3 = 0 then (5 + event_id % 30) * 3600000 end pa, event_id % 11 > 0 v, event_id % 2 = 0 fx, user_id u from events) select event_id, case when not v then 'empty' when pa is not null and not fx and nw >= pa and nw < pa + 10800000 then 'problem' when nw >= rd + 172800000 then 'overripe' when nw >= rd then 'ripe' when nw * 3 < rd then 'sapling' when nw * 3 < 2 * rd then 'leaves' else 'green' end stage, greatest(1, floor((u % 9 + 1) * case when nw >= rd + 172800000 then 0.5::double else 1 end * case when pa is not null and not fx and nw >= pa + 10800000 then 0.8::double else 1 end + 0.5))::bigint as yield, greatest(1, ceil(greatest(0, rd - nw)::double / 1000 / 1500))::bigint as skip, greatest(0.5::double, 1 - 0.1::double * (u % 8)) factor from k",
     "seeded_draws": f"select a.event_id, a.v as first, b.v as third from ({_draw(1)}) a join ({_draw(3)}) b on a.event_id = b.event_id",
     "frame_notes": "with k as (select o_orderkey, ['easy', 'blur', 'catalog', 'night'][(o_orderkey % 4 + 1)::int] g, o_orderkey % 800 s, o_orderkey % 311 sh, o_orderkey % 23 / 100.0 fi, case when o_orderkey % 6 > 0 then o_orderkey % 97 / 100.0 end co from orders) select o_orderkey, array_to_string(list_filter([case when s < case when g in ('easy', 'catalog') then 600 else 250 end then 'small' end, case when g = 'blur' and sh < 5 then 'blurred' end, case when g <> 'blur' and sh < case when g in ('easy', 'catalog') then 250 else 40 end then 'smeared' end, case when g in ('easy', 'catalog') and fi < 0.1 then 'far' end, case when co is not null and sh > 200 and co < 0.65 then 'wrong_bottle' end], lambda x: x is not null), ',') notes from k",
-    "preference_pairs": f"with {base._C} select a.query_id, count(*) n, round(sum(case when a.family = b.family or least(b.vis_rank, b.txt_rank) < 5 then 3.0::double else 1 end), 6) weight, round(sum(a.vis_score - b.vis_score), 6) vis, round(sum(a.txt_score - b.txt_score), 6) txt from c a join c b on a.query_id = b.query_id and a.inliers % 4 = 0 and b.inliers % 4 <> 0 group by 1",
+    "preference_pairs": f"with {base._C} select a.query_id, count(*) n, round(sum(case when a.family = b.family or least(b.vis_rank, b.txt_rank) < 5 then 3.0::double else 1 end), 6) weight, round(sum(a.vis_score - b.vis_score), 6) + 0.0::double vis, round(sum(a.txt_score - b.txt_score), 6) + 0.0::double txt from c a join c b on a.query_id = b.query_id and a.inliers % 4 = 0 and b.inliers % 4 <> 0 group by 1",
     "unknown_copies": f"with {base._C} select query_id::varchar query_id, count(*) n from c group by 1 union all select 'unknown:' || query_id, count(*) from c where inliers % 3 = 0 group by 1",
     "head_rerank": f"with {base._P} select query_id, pos::int pos, (row_number() over (partition by query_id order by position >= 3, case when position < 3 then disc_hit end desc nulls last, case when position < 3 then inliers end desc nulls last, position) - 1)::int as position from p",
     "two_stage": "with v as materialized (select vec_id, embedding::double[] e from embeddings), s as (select a.vec_id q, b.vec_id i, list_dot_product(a.e[1:32], b.e[1:32]) raw, list_dot_product(a.e[33:64], b.e[33:64]) re from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0 and b.vec_id % 7 <> 3), t as (select *, round(raw, 9) sc, row_number() over (partition by q order by raw desc, i) r from s), m as (select *, max(sc) over (partition by q) mx from t where r <= 30), f as (select q, i, 0.5::double * case when mx > 0 then sc / mx else sc end + 0.5::double * round(re, 9) score from m) select q query_id, i item_id, round(score, 6) score, (r - 1)::int as rank from (select *, row_number() over (partition by q order by score desc, i) r from f) where r <= 5",

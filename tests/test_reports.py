@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera import plans
 from tessera.functions import linalg
-from tessera.functions.similarity import indel_ratio
-from tessera.operators import answers, boxes, learning, reports
+from tessera.functions.similarity import indel_ratio, token_set_ratio
+from tessera.operators import answers, boxes, catalog, learning, reports
 from tessera.streaming import state
 
 
@@ -93,6 +93,16 @@ def test_push_plans(spark):
     assert set(want.values()) >= {"send", "duplicate", "stale", "quiet"}
 
 
+def test_fuzzy_best_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "CHOICES", 3)
+    texts = [("old plate",), ("blue rings",), ("blue ring",), (None,), ("old plate",), ("",)]
+    choices = ["plate", "old plate large", "blue ring", "ring", "large bolt", "gear", "hot gear", "x"]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.choice, r.score) for r in catalog.fuzzy_best(rows, spark.createDataFrame([(c,) for c in choices], "c string"), text="t", choice="c").collect()}
+    want = {i: (None, None) if t is None else max((token_set_ratio(t, c), c) for c in choices)[::-1] for i, (t,) in enumerate(texts)}
+    assert got == {i: (c, s if s is None else pytest.approx(s)) for i, (c, s) in want.items()}
+
+
 def test_supports_switch(spark):
     r = spark.createDataFrame([("reserve shiraz", "Estate Shiraz", "Estate Merlot"), ("estate", "Estate Shiraz", "Estate Merlot"), ("x", "same", "same")], "t string, a string, b string")
     assert [x[0] for x in r.select(answers.supports_switch(F.col("t"), F.col("a"), F.col("b"))).collect()] == [True, False, False]
