@@ -11,7 +11,8 @@ the copies are the edges whose connected components are the classes.
 
 Defined results: words are lower-cased (A-Z). A text with fewer words than a shingle is one shingle of all its words; a
 null text or one without words has no shingles and is linked with nothing. Rows with equal ids are one document: it has
-the links of all its texts. A row with a null id gets a null component and links nothing.
+the links of all its texts. A row with a null id gets a null component and links nothing. Ids are cast to long; one that is no
+number fails under ANSI rules and counts as null without.
 """
 
 from __future__ import annotations

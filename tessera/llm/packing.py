@@ -9,7 +9,8 @@ Packing is local to blocks of consecutive documents of a partition, so nothing i
 and a lost task is simply run again. A block leaves at most about one row partly filled, which is below 1 % of it.
 
 Defined results: a null or empty text is a document of just the end id. Repeated rows are packed as often as they occur.
-An empty table gives no rows. Columns other than the id and the text are ignored, whatever their names.
+An empty table gives no rows. Columns other than the id and the text are ignored, whatever their names. Ids are cast to long; one
+that is no number fails under ANSI rules and is packed as null without.
 """
 
 from __future__ import annotations

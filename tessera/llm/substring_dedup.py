@@ -20,6 +20,7 @@ no task holds more than two blocks beyond a shard, whatever a passage's frequenc
 
 Words are compared by 64-bit hashes within a shard. Defined results: a null text has no words, shorter texts than a
 window lose nothing, rows with equal ids must have equal texts and lose the same words, rows with a null id lose nothing.
+Ids are cast to long; one that is no number fails under ANSI rules and counts as null without.
 """
 
 from __future__ import annotations
