@@ -33,6 +33,8 @@ BLOCK_TOKENS = 1 << 17
 BLOCK_SETS = 512
 #: Sets at a token that are compared pair by pair where they meet; of more, none is left out.
 SIFTED = 4096
+#: Rows of a table of tokens that is sent to every executor; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Tokens of each set that are compared before all others.
 FIRST_TOKENS = 6
 #: Bits of the map of sets that are read again: 2 MB.
@@ -243,11 +245,17 @@ def links_of_jobs(
     def candidates(keys: DataFrame) -> DataFrame:
         """Links that span the candidate pairs at each token of keys(ids, token). A pair is judged at its smallest common
         token, so each row takes the tokens from its own on."""
-        blocks = keys.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+        # only frequent tokens are cut into blocks; their table is sent, so that no token's sets meet in one task for it
+        large = keys.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK_SETS)
+        large = scratch.write(large.select("token", F.ceil(F.col("c") / BLOCK_SETS).cast("int").alias("blocks")))
         onward = F.filter("tokens", lambda x: x >= F.col("token"))
-        rows = keys.join(blocks, "token").join(own, ids).select(*ids, "n", "matches", onward.alias("tokens"), F.col("token").alias("g"), "blocks")
-        return scratch.write(_in_blocks(rows, ids).mapInArrow(near, pair).distinct())
+        rows = keys.join(sent(large), "token", "left").join(own, ids)
+        rows = rows.select(*ids, "n", "matches", onward.alias("tokens"), F.col("token").alias("g"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
+        out = scratch.write(_in_blocks(rows, ids).mapInArrow(near, pair).distinct())
+        scratch.drop(large)
+        return out
 
+    sent = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     node = lambda x: F.col(f"{ids[0]}{x}").cast("long") if len(ids) == 1 else F.xxhash64(*[f"{c}{x}" for c in ids])
     between = lambda e: e.select(node("_a").alias("a"), node("_b").alias("b"))
     # near copies share many tokens; a few of each set find nearly all clusters of them
@@ -257,13 +265,14 @@ def links_of_jobs(
     label = own.withColumn("node", node("")).join(found, "node", "left").select(*ids, F.coalesce("component", "node").alias("label"), F.explode("tokens").alias("token"))
     label = scratch.write(label)
     mixed = label.groupBy("token").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l <> _h").select("token")
-    rest = candidates(label.join(mixed, "token", "left_semi").select(*ids, "token"))
+    mixed = scratch.write(mixed)
+    rest = candidates(label.join(sent(mixed), "token", "left_semi").select(*ids, "token"))
     edges = first.union(rest)
     # clusters of sets that candidate pairs connect: whatever is similar is within one
     clusters = connected(between(edges), scratch)
     ends = edges.select(node("_a").alias("node"), *[F.col(f"{c}_a").alias(c) for c in ids]).union(edges.select(node("_b").alias("node"), *[F.col(f"{c}_b").alias(c) for c in ids])).distinct()
     left = scratch.write(ends.join(clusters, "node").select(*ids, F.col("component").alias("g")))
-    scratch.drop(own, label, found, first, rest)
+    scratch.drop(own, label, found, first, rest, mixed)
     sets = fetch(marked(left, ids))
     sizes = left.join(sets.select(*ids, "n"), ids)
     blocks = sizes.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
