@@ -70,8 +70,11 @@ def measure(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     solid = F.length(F.translate(text, " \t\n\x0b\f\r", ""))
     out = out.withColumn("_c", F.filter(F.transform("_w", lambda w: F.lower(w)), lambda w: w.isin(*COMMON_WORDS)))
     common = F.transform(F.array_distinct("_c"), lambda w: F.struct(w.alias("k"), ((F.size("_c") - F.size(F.array_remove("_c", w))) / F.col("_n")).alias("v")))
-    counts = [(name, (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).alias(name)) for name, pattern in CHAR_CLASSES]
-    out = out.withColumn("_chars", F.struct(solid.alias("all"), *[c for _, c in counts]))
+    # lower-case letters and white space go first: what is left is short, and the other classes are counted in it
+    out = out.withColumn("_solid", solid).withColumn("_x", F.regexp_replace(text, r"[\p{Ll}\x20\x09-\x0D]+", ""))
+    left = F.col("_x")
+    counts = [((F.col("_solid") - F.length(left)) if name == "lower" else (F.length(left) - F.length(F.regexp_replace(left, pattern, "")))).alias(name) for name, pattern in CHAR_CLASSES]
+    out = out.withColumn("_chars", F.struct(F.col("_solid").alias("all"), *counts))
     share = lambda n: n / F.col("_chars.all")
     classed = [F.col(f"_chars.{name}") for name, _ in CHAR_CLASSES]
     chars = [F.struct(F.lit(name).alias("k"), share(c).alias("v")) for (name, _), c in zip(CHAR_CLASSES, classed, strict=True)]
@@ -85,13 +88,13 @@ def measure(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         F.struct(
             F.col("_n").cast("long").alias("n_words"),
             F.col("_chars.all").cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            (F.length(left) - F.length(F.translate(left, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
             F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
             F.when(some, F.map_from_entries(F.array(*chars))).alias("chars"),
             F.when(some, F.map_from_entries(F.concat(common, F.array(F.struct(F.lit("").alias("k"), ((F.col("_n") - F.size("_c")) / F.col("_n")).alias("v")))))).alias("common"),
         ),
-    ).drop("_w", "_n", "_h", "_s", "_p", "_lines", "_c", "_chars")
+    ).drop("_w", "_n", "_h", "_s", "_p", "_lines", "_c", "_chars", "_solid", "_x")
 
 
 def references(rows: DataFrame) -> DataFrame:
