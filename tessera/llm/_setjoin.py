@@ -34,7 +34,7 @@ BLOCK_SETS = 512
 #: Sets at a token that are compared pair by pair where they meet; of more, none is left out.
 SIFTED = 4096
 #: Rows of a table of tokens that is sent to every executor; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 #: Tokens of each set that are compared before all others.
 FIRST_TOKENS = 6
 #: Bits of the map of sets that are read again: 2 MB.
