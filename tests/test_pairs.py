@@ -50,3 +50,11 @@ def test_jaro_winkler_pairs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(similarity, "jaro_winkler_udf", udf)
     got, want = each_name_once(spark, tmp_path, "jaro_winkler_pairs", asked)
     assert got == {k: (None if None in v else pytest.approx(similarity.jaro_winkler(*map(str.lower, v)), abs=1e-9),) for k, v in want.items() if k[0] != k[1]}
+
+
+def test_token_set_pairs(spark, tmp_path, monkeypatch):
+    udf, asked = counting(spark, similarity.token_set_ratio)
+    monkeypatch.setattr(similarity, "token_set_ratio_udf", udf)
+    got, want = each_name_once(spark, tmp_path, "token_set_pairs", asked)
+    scores = lambda x, y: (similarity.token_set_ratio(x, y), similarity.indel_ratio(x, y))
+    assert got == {k: (None, None) if None in v else pytest.approx(scores(*map(str.lower, v)), abs=1e-6) for k, v in want.items() if k[0] != k[1]}
