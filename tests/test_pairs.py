@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera import plans
 from tessera.functions import similarity
-from tessera.operators import pairs
+from tessera.operators import pairs, search
 
 
 def parts(spark, folder, names=("old plate", "Old Plate", "blue ring", None, ""), n=300):
@@ -37,11 +37,11 @@ def test_blocks_of_a_common_value(spark):
 
 
 def each_name_once(spark, tmp_path, name, asked):
-    """The query's rows, after at most 4 names against 4 of each of two types were compared."""
+    """The query's rows, after at most 5 names against 5 of each of two types were compared."""
     sf, rows = parts(spark, tmp_path)
     got = plans.QUERIES[name](spark, sf).collect()
     want = {(a[0], b[0]): (a[1], b[1]) for a in rows for b in rows if a[0] % 20 == 0 and a[3] == b[3] is not None}
-    assert len(got) == len({tuple(r)[:2] for r in got}) and 0 < asked.value <= 32
+    assert len(got) == len({tuple(r)[:2] for r in got}) and 0 < asked.value <= 50
     return {tuple(r)[:2]: tuple(r)[2:] for r in got}, want
 
 
@@ -58,3 +58,18 @@ def test_token_set_pairs(spark, tmp_path, monkeypatch):
     got, want = each_name_once(spark, tmp_path, "token_set_pairs", asked)
     scores = lambda x, y: (similarity.token_set_ratio(x, y), similarity.indel_ratio(x, y))
     assert got == {k: (None, None) if None in v else pytest.approx(scores(*map(str.lower, v)), abs=1e-6) for k, v in want.items() if k[0] != k[1]}
+
+
+def test_word_coverage(spark, tmp_path, monkeypatch):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<string>")
+    def hits(read: pd.Series, own: pd.Series) -> pd.Series:
+        asked.add(len(read))
+        return pd.Series([None if q is None or o is None else [w for w in o if w in set(q)] for q, o in zip(read, own, strict=True)], dtype="object")
+
+    monkeypatch.setattr(search, "_token_hits", lambda ratio: hits)
+    # names are not folded here: old and Old Plate are two
+    got, want = each_name_once(spark, tmp_path, "word_coverage", asked)
+    share = lambda x, y: sum(len(w) for w in y if w in x) / max(1, sum(map(len, y)))
+    assert got == {k: (0.0 if None in v else pytest.approx(share(*(n.split(" ") for n in v)), abs=1e-6),) for k, v in want.items()}
