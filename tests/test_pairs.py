@@ -73,3 +73,21 @@ def test_word_coverage(spark, tmp_path, monkeypatch):
     got, want = each_name_once(spark, tmp_path, "word_coverage", asked)
     share = lambda x, y: sum(len(w) for w in y if w in x) / max(1, sum(map(len, y)))
     assert got == {k: (0.0 if None in v else pytest.approx(share(*(n.split(" ") for n in v)), abs=1e-6),) for k, v in want.items()}
+
+
+def test_levenshtein_pairs(spark, tmp_path, monkeypatch):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    udf, asked = counting(spark, distance, "int")
+    monkeypatch.setattr(F, "levenshtein", udf)
+    got, want = each_name_once(spark, tmp_path, "levenshtein_pairs", asked)
+    part = lambda x, y: distance(x, y) / max(len(x), len(y)) if x and y else 1.0
+    # with an empty name the share is 1 whatever the other one is
+    scores = lambda x, y: (None, 1.0 if "" in (x, y) else None) if None in (x, y) else (distance(x.lower(), y.lower()), pytest.approx(part(x.lower(), y.lower()), abs=1e-9))
+    assert got == {k: scores(*v) for k, v in want.items() if k[0] != k[1]}
