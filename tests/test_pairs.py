@@ -1,5 +1,6 @@
 """Pairs of rows that share a key: each two values are compared once, whatever the number of their rows."""
 
+import re
 from collections import Counter
 
 import pandas as pd
@@ -36,6 +37,16 @@ def test_blocks_of_a_common_value(spark):
     assert Counter(tuple(r) for r in got.collect()) == Counter((i, j, x and x + y) for i, x, k in a for j, y, m in [*b, b[1]] if k == m)
 
 
+def test_rows_are_handed_on(spark):
+    """Generated code keeps all that a row becomes within it until the next row: the join and both explodes are apart."""
+    left, right = (spark.range(100).selectExpr(f"id {i}", f"'same' {v}", "'k' key") for i, v in ("ax", "by"))
+    got = pairs.scored_pairs(left, right, "key", lambda x, y: {"s": F.concat(x, y)}, size=10)
+    assert sorted(got.collect()) == [(a, b, "samesame") for a in range(100) for b in range(100)]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    parts = [re.search(rf"\*\((\d+)\) {node}", plan)[1] for node in (r"\w+Join\b", r"Generate \w+\(_a", r"Generate \w+\(_b")]
+    assert len(set(parts)) == 3
+
+
 def each_name_once(spark, tmp_path, name, asked):
     """The query's rows, after at most 5 names against 5 of each of two types were compared."""
     sf, rows = parts(spark, tmp_path)
